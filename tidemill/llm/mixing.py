@@ -25,11 +25,12 @@ def uniform(seed: str, *parts: Column) -> Column:
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float = 1.0, source_col: str = "source") -> DataFrame:
     """``source`` and mean repetition ``rate`` for a mix of ``total`` times the rows.
 
-    ``weights``: target share by source (others get none); by default every source gets the same share.
+    ``weights``: target share by source (others get none); by default a source's share goes with the root of its rows,
+    which lifts small sources without emptying the large ones.
     """
     counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("n_docs"))
     if weights is None:
-        share = F.lit(1.0)
+        share = F.sqrt("n_docs")
     else:
         share = F.lit(0.0)
         for name, w in weights.items():
@@ -48,14 +49,16 @@ def poisson_count(rate: Column, seed: str, *key: Column) -> Column:
     start = F.struct(F.exp(-each).alias("term"), F.exp(-each).alias("sum"), F.lit(0).alias("n"))
 
     def draw(j: Column) -> Column:
-        u = uniform(seed, *key, j.cast("string"))
+        def step(u: Column):
+            def at(s: Column, k: Column) -> Column:
+                term = s["term"] * each / k
+                over = u >= s["sum"]
+                return F.struct(F.when(over, term).otherwise(s["term"]).alias("term"), F.when(over, s["sum"] + term).otherwise(s["sum"]).alias("sum"), F.when(over, k).otherwise(s["n"]).alias("n"))
 
-        def step(s: Column, k: Column) -> Column:
-            term = s["term"] * each / k
-            over = u >= s["sum"]
-            return F.struct(F.when(over, term).otherwise(s["term"]).alias("term"), F.when(over, s["sum"] + term).otherwise(s["sum"]).alias("sum"), F.when(over, k).otherwise(s["n"]).alias("n"))
+            return at
 
-        return F.aggregate(steps, start, step, lambda s: s["n"])
+        # a lambda's variable holds the hash, so that it isn't computed anew at each step
+        return F.transform(F.array(uniform(seed, *key, j.cast("string"))), lambda u: F.aggregate(steps, start, step(u), lambda s: s["n"]))[0]
 
     return F.aggregate(F.transform(F.sequence(F.lit(1), parts), draw), F.lit(0), lambda a, x: a + x)
 

@@ -19,7 +19,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ._common import Scratch, mix, utf8
 
@@ -164,31 +164,33 @@ def _cut(text: bytes, spans: list | None) -> tuple[int, int, bytes, bytes]:
 
 
 def _cut_rows(batches):
+    """Carries the column ``rest`` along."""
     unzip = zstandard.ZstdDecompressor()
     for b in batches:
         rows = [_cut(unzip.decompress(z), s) for z, s in zip(b.column("z").to_pylist(), b.column("spans").to_pylist())]
         n, gone, kept, text = zip(*rows) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(text, pa.binary()).cast(pa.string())], names=["key", "doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(text, pa.binary()).cast(pa.string()), b.column("rest")], names=["key", "doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "rest"])
 
 
 def _pack(batches):
     zip_ = zstandard.ZstdCompressor(level=3)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([zip_.compress(t or b"") for t in utf8(b.column(2))], pa.binary())], names=["key", "doc_id", "z"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([zip_.compress(t or b"") for t in utf8(b.column(2))], pa.binary()), b.column(3)], names=["key", "doc_id", "z", "rest"])
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 8, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Removes each word that a window of ``window`` words covers which also starts earlier in the corpus.
 
     Earlier: in a smaller id, or further up in the same document; null ids come last, and rows that
     repeat an id count as documents of their own.  Returns per row ``key`` (internal), ``doc_id``, ``n_words``,
     ``n_removed``, ``kept_sha256`` (of the kept words joined by one blank) and ``kept_text`` (the text
     without the removed words, its other white space as it was; unchanged if nothing goes).
-    Null text is an empty one.  Texts go between the steps as zstd blocks, to halve what is shuffled.
+    Null text is an empty one.  Columns named in ``carry`` come back as fields of the struct ``rest``.  Texts go between the steps as zstd blocks, to halve what is shuffled.
     """
     scratch = Scratch(docs.sparkSession, "substring")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    packed = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("key"), "doc_id", "text").mapInArrow(_pack, "key long, doc_id long, z binary")
+    rest = F.struct(*carry) if carry else F.lit(0)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest"))
+    packed = rows.mapInArrow(_pack, T.StructType([T.StructField("key", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("z", T.BinaryType()), rows.schema["rest"]]))
     texts = scratch.save(packed, "texts")
     if not texts.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         # ids that repeat or are missing: give every row a key of its own, in the order of ids
@@ -210,4 +212,5 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 8, id_col: str
     inner = windows.join(firsts, ["h", "w"]).where("key <> first.key or a <> first.a").select("key", F.col("a").alias("s"), (F.col("a") + window).alias("e"))
     spans = again.unionByName(inner).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = scratch.save(spans, "spans")
-    return texts.join(spans, "key", "left").select("key", "doc_id", "z", "spans").mapInArrow(_cut_rows, "key long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    out = T.StructType([*T._parse_datatype_string("key long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string").fields, texts.schema["rest"]])
+    return texts.join(spans, "key", "left").select("key", "doc_id", "z", "spans", "rest").mapInArrow(_cut_rows, out)

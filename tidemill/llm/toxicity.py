@@ -8,38 +8,57 @@ most of its n-grams with the word it hides.
 
 from __future__ import annotations
 
+import string
 from collections import Counter
 from dataclasses import dataclass
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import utf8
+from ._common import mix, utf8
 
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5)
 #: Words whose value a worker remembers at a time.
 REMEMBERED = 400_000
+#: Bytes of text counted at a time.
+PART_BYTES = 2 << 20
 
 
-def subwords(word: str) -> list[int]:
-    """Table rows of a normalised word's n-grams and of the word itself."""
-    w = f"<{word}>"
-    grams = {w} | {w[i : i + n] for n in SIZES for i in range(len(w) - n + 1)}
-    return [xxhash.xxh32_intdigest(g.encode()) % BUCKETS for g in sorted(grams)]
+#: Odd base of the n-gram hash (fixed arbitrary value), and what is taken off the ends of a token.
+BASE = 0x9E3779B97F4A7C15
+EDGES = string.punctuation + "«»„“”’‘…–—¡¿"
+
+
+def subwords(words: list[str]):
+    """For each of the words in turn, all at once: (word, table row) pairs of its n-grams and of the word itself."""
+    marked = [f"<{w}>" for w in words]
+    points = np.frombuffer("".join(marked).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) for w in marked], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(points)) - starts[of]
+    powers = np.multiply.accumulate(np.full(max(SIZES[-1], int(sizes.max(initial=1))), BASE, dtype=np.uint64))
+    found = [(np.arange(len(words)), _bucket(np.add.reduceat(points * powers[place], starts), 0))] if len(words) else []
+    for n in SIZES:
+        at = np.flatnonzero(place + n <= sizes[of])
+        h = np.zeros(len(at), dtype=np.uint64)
+        for j in range(n):
+            h += points[at + j] * powers[j]
+        found.append((of[at], _bucket(h, n)))
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+def _bucket(h: np.ndarray, n: int) -> np.ndarray:
+    return (mix(h + np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def normal(token: bytes) -> str:
-    """Lower case without what isn't a letter or digit at either end."""
-    w = token.decode("utf-8", "replace").lower()
-    a, b = 0, len(w)
-    while a < b and not w[a].isalnum():
-        a += 1
-    while b > a and not w[b - 1].isalnum():
-        b -= 1
-    return w[a:b]
+    """Lower case without punctuation at either end."""
+    return token.decode("utf-8", "replace").lower().strip(EDGES)
 
 
 @dataclass
@@ -52,29 +71,38 @@ class Model:
     constant: float | None = None
 
     def scorer(self):
-        """Function from text (bytes) to score; the softmax is linear, so each word has one number."""
+        """Function from a list of texts (bytes) to their scores; the softmax is linear, so each word has one number."""
         value = self.vectors @ (self.weights[1] - self.weights[0])
         bias = float(self.bias[1] - self.bias[0])
         known: dict[bytes, float] = {}
 
-        def of(token: bytes) -> float:
-            word = normal(token)
-            return float(value[subwords(word)].mean()) if word else 0.0
+        def learn(tokens: list[bytes]) -> None:
+            words = [normal(t) for t in tokens]
+            word, row = subwords(words)
+            mean = np.bincount(word, value[row], len(words)) / np.maximum(1, np.bincount(word, minlength=len(words)))
+            known.update(zip(tokens, np.where([bool(w) for w in words], mean, 0.0).tolist()))
 
-        def score(text: bytes | None) -> float:
+        def some(texts: list) -> list[float]:
             if self.constant is not None:
-                return self.constant
+                return [self.constant] * len(texts)
+            bags = [Counter((t or b"").split()) for t in texts]
             if len(known) > REMEMBERED:
                 known.clear()
-            total, n = 0.0, 0
-            for token, c in Counter((text or b"").split()).items():
-                x = known.get(token)
-                if x is None:
-                    x = known[token] = of(token)
-                total += c * x
-                n += c
-            z = total / max(n, 1) + bias
-            return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+            new = {t for bag in bags for t in bag if t not in known}
+            if new:
+                learn(list(new))
+            z = np.array([sum(map(mul, bag.values(), map(known.__getitem__, bag))) / max(bag.total(), 1) for bag in bags]) + bias
+            return (1 / (1 + np.exp(-np.clip(z, -500, 500)))).tolist()
+
+        def score(texts: list) -> list[float]:
+            out, part, size = [], [], 0
+            for t in texts:  # a few texts at a time, to bound what is counted at once
+                part.append(t)
+                size += len(t or b"")
+                if size > PART_BYTES:
+                    out += some(part)
+                    part, size = [], 0
+            return out + (some(part) if part else [])
 
         return score
 
@@ -107,9 +135,14 @@ def fit(bags: list[dict[str, int]], labels: np.ndarray, size: int = 4, steps: in
             wi.append(words.setdefault(word, len(words)))
             wt.append(c / n)
     di, wi, wt = np.array(di, dtype=np.int64), np.array(wi, dtype=np.int64), np.array(wt)
-    sub = [subwords(x) if x else [] for x in words]
-    first = np.cumsum([0, *(len(s) for s in sub)])
-    rows = np.array([x for s in sub for x in s], dtype=np.int64)
+    si, rows = subwords(list(words)) if words else (np.zeros(0, dtype=np.int64),) * 2
+    order = np.argsort(si, kind="stable")
+    si, rows = si[order], rows[order]
+    count = np.bincount(si, minlength=len(words))
+    empty = words.get("")
+    if empty is not None:  # tokens of punctuation alone
+        rows, si, count = rows[si != empty], si[si != empty], np.where(np.arange(len(words)) == empty, 0, count)
+    first = np.cumsum([0, *count])
 
     with_it = np.zeros((2, BUCKETS))  # documents of each class that have an n-gram
     cut = np.searchsorted(di, np.arange(len(bags) + 1))
@@ -122,10 +155,9 @@ def fit(bags: list[dict[str, int]], labels: np.ndarray, size: int = 4, steps: in
     on = e[:, 0] != 0
     e[on, 1:] = rng.normal(0, 0.05, (int(on.sum()), size - 1))
 
-    si = np.repeat(np.arange(len(sub)), np.diff(first))
-    sw = (1 / np.maximum(1, np.diff(first)))[si]
+    sw = (1 / np.maximum(1, count))[si]
     si, bi, sw = si[on[rows]], rows[on[rows]], sw[on[rows]]
-    live = np.zeros(len(sub), dtype=bool)
+    live = np.zeros(len(words), dtype=bool)
     live[si] = True
     di, wi, wt = di[live[wi]], wi[live[wi]], wt[live[wi]]
     share = 1 / len(labels)
@@ -134,16 +166,16 @@ def fit(bags: list[dict[str, int]], labels: np.ndarray, size: int = 4, steps: in
     def spread(to, frm, weight, x, n):
         return np.stack([np.bincount(to, weight * x[frm, k], n) for k in range(size)], axis=1)
 
-    scale = np.array([np.std(spread(di, wi, wt, spread(si, bi, sw, e, len(sub)), len(bags))[:, 0])])
+    scale = np.array([np.std(spread(di, wi, wt, spread(si, bi, sw, e, len(words)), len(bags))[:, 0])])
     e *= 2 / max(float(scale[0]), 1e-9)  # the texts' means start about as far apart as the softmax can tell
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (e, w, b)]
     unit = float(np.abs(e).max()) or 1.0
     for t in range(1, steps + 1):
-        doc = spread(di, wi, wt, spread(si, bi, sw, e, len(sub)), len(bags))
+        doc = spread(di, wi, wt, spread(si, bi, sw, e, len(words)), len(bags))
         z = doc @ w.T + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         g = (p / p.sum(axis=1, keepdims=True) - target) * share
-        back = spread(bi, si, sw, spread(wi, di, wt, g @ w, len(sub)), BUCKETS)
+        back = spread(bi, si, sw, spread(wi, di, wt, g @ w, len(words)), BUCKETS)
         for i, (x, d, r) in enumerate(((e, back, rate * unit * 0.2), (w, g.T @ doc, rate), (b, g.sum(axis=0), rate * 2))):
             m, v = state[i]
             m += 0.1 * (d - m)
@@ -202,7 +234,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         f = sent.value.scorer()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f(t) for t in utf8(b.column(1))], pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f(utf8(b.column(1))), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -215,6 +247,6 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col:
     def run(batches):
         f = sent.value.scorer()
         for b in batches:
-            yield b.filter(pa.array([f(t) < threshold for t in utf8(b.column(at))], pa.bool_()))
+            yield b.filter(pa.array([x < threshold for x in f(utf8(b.column(at)))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

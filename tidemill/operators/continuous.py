@@ -24,7 +24,7 @@ def slices(contracts: DataFrame, start_ns: int, end_ns: int, until_mode: str = "
     end = eod if until_mode == "end_of_day" else date_to_ns(F.col("vigent_until"))
     order = Window.partitionBy("symbol_root").orderBy("vigent_from", "contract_code")
     some = contracts.withColumn("from_ns", date_to_ns(F.col("vigent_from"))).withColumn("eod", eod).withColumn("end", end).where((F.col("eod") >= start_ns) & (F.col("from_ns") <= end_ns))
-    cut = some.withColumn("floor", F.lag(F.col("eod") + 1).over(order))
+    cut = some.withColumn("floor", F.lag(F.when(F.col("eod") < F.lit((1 << 63) - 1), F.col("eod") + 1).otherwise(F.col("eod"))).over(order))
     return cut.select("symbol_root", "contract_code", F.greatest("from_ns", F.coalesce("floor", "from_ns"), F.lit(start_ns)).alias("lo"), F.least("end", F.lit(end_ns)).alias("hi")).where("lo <= hi")
 
 

@@ -1,4 +1,425 @@
-"""Queries by name, and their SQL."""
+"""Queries by name, and their SQL.
+
+Each query runs operators of this package over whole tables; its SQL says the same for an independent engine.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from .. import schema
+from ..functions import symbols, timeutil as tu
+from ..operators import analytics as an, calendar as cal, catalog, continuous as co, ingest, integrity, migrate
+from .views import CONTRACTS, LINES_SQL, TICKS_SQL, contracts, lines, table, ticks
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+LO, HI = 1_704_412_800_000_000_000, 1_705_622_400_000_000_000  # 2024-01-05 to 2024-01-19
+HOUR = 60 * tu.MINUTE_NS
+START, END = "2024-01-01", "2024-02-05"
+T = f"WITH {TICKS_SQL}"
+L = f"WITH {LINES_SQL}"
+
+
+def query(sql: str | None = None, dates: tuple[str, ...] = ()):
+    """Registers a query; its date columns come out as ISO text, which all engines print alike."""
+
+    def add(f):
+        QUERIES[f.__name__] = (lambda s, d: f(s, d).withColumns({c: F.col(c).cast("string") for c in dates})) if dates else f
+        if sql:
+            ORACLE_SQL[f.__name__] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS VARCHAR) AS {c}' for c in dates)}) FROM ({sql})" if dates else sql
+        return f
+
+    return add
+
+
+def _names(expr: str) -> str:
+    return "CASE " + expr + " " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(schema.TRADE_TYPES))
+
+
+# --- scans ---------------------------------------------------------------------------------
+
+
+@query(f"{T} SELECT * FROM ticks WHERE timestamp_ns BETWEEN {LO} AND {HI}")
+def range_scan(spark: SparkSession, d: str) -> DataFrame:
+    return ticks(spark, d).where(F.col("timestamp_ns").between(LO, HI)).orderBy("timestamp_ns", "sequence_within_ns")
+
+
+@query("SELECT event_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-19'")
+def range_scan_projected(spark: SparkSession, d: str) -> DataFrame:
+    ts = F.col("ts")
+    return table(spark, d, "events").where(ts.between(F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-19").cast("timestamp_ntz"))).select("event_id", "value")
+
+
+@query(f"{T} SELECT symbol, exchange, count(*) AS n, sum(quantity)::BIGINT AS quantity, min(timestamp_ns) AS first_ts_ns, max(timestamp_ns) AS last_ts_ns FROM ticks GROUP BY ALL")
+def count_by_symbol(spark: SparkSession, d: str) -> DataFrame:
+    return ticks(spark, d).groupBy("symbol", "exchange").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"), F.min("timestamp_ns").alias("first_ts_ns"), F.max("timestamp_ns").alias("last_ts_ns"))
+
+
+@query(f"{T} SELECT count(*) AS n, coalesce(sum(quantity), 0)::BIGINT AS quantity, count(*) FILTER (WHERE timestamp_ns BETWEEN {LO} AND {HI}) AS n_range FROM ticks")
+def scan_aggregates(spark: SparkSession, d: str) -> DataFrame:
+    return ticks(spark, d).agg(F.count("*").alias("n"), F.coalesce(F.sum("quantity"), F.lit(0)).alias("quantity"), F.count_if(F.col("timestamp_ns").between(LO, HI)).alias("n_range"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE false")
+def empty_scan(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").where("false").select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+# --- ingest --------------------------------------------------------------------------------
+
+
+@query(f"{L} SELECT symbol, timestamp_ns, sequence_within_ns, price FROM (SELECT *, CAST(row_number() OVER (PARTITION BY symbol, timestamp_ns ORDER BY arrival) - 1 AS INT) AS sequence_within_ns FROM lines)")
+def sequence_within_ns(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.sequence(lines(spark, d)).select("symbol", "timestamp_ns", "sequence_within_ns", "price")
+
+
+@query(f"{T}, two AS (SELECT *, 0 AS again FROM ticks UNION ALL SELECT *, 1 FROM ticks) SELECT symbol, timestamp_ns, trade_id, price, quantity, arrival, again FROM (SELECT *, row_number() OVER (PARTITION BY symbol, timestamp_ns, trade_id, CASE WHEN trade_id IS NULL THEN price END, CASE WHEN trade_id IS NULL THEN quantity END, CASE WHEN trade_id IS NULL THEN buy_agent_id END, CASE WHEN trade_id IS NULL THEN sell_agent_id END, CASE WHEN trade_id IS NULL THEN sequence_within_ns END ORDER BY again, arrival) AS rn FROM two) WHERE rn = 1")
+def dedup_short_key(spark: SparkSession, d: str) -> DataFrame:
+    t = ticks(spark, d)
+    both = t.withColumn("again", F.lit(0)).unionByName(t.withColumn("again", F.lit(1)))
+    return ingest.dedup(both.withColumn("order", F.struct("again", "arrival")), "order").select("symbol", "timestamp_ns", "trade_id", "price", "quantity", "arrival", "again")
+
+
+_DEDUP_LONG = f"""{L}, s AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol, timestamp_ns ORDER BY arrival) - 1 AS INT) AS sequence_within_ns FROM lines)
+SELECT symbol, timestamp_ns, trade_id, price, quantity, buy_agent_id, sell_agent_id, sequence_within_ns FROM (SELECT *, row_number() OVER (PARTITION BY symbol, timestamp_ns, trade_id, CASE WHEN trade_id IS NULL THEN price END,
+  CASE WHEN trade_id IS NULL THEN quantity END, CASE WHEN trade_id IS NULL THEN buy_agent_id END, CASE WHEN trade_id IS NULL THEN sell_agent_id END, CASE WHEN trade_id IS NULL THEN sequence_within_ns END ORDER BY arrival) AS rn FROM s) WHERE rn = 1"""
+
+
+@query(_DEDUP_LONG)
+def dedup_long_key(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.dedup(ingest.sequence(lines(spark, d))).select("symbol", "timestamp_ns", "trade_id", "price", "quantity", "buy_agent_id", "sell_agent_id", "sequence_within_ns")
+
+
+@query(f"{T}, a AS (SELECT *, 0 AS prio FROM ticks WHERE event_is(arrival)), b AS (SELECT * REPLACE (price + 1000 AS price), 1 AS prio FROM ticks WHERE trade_id IS NOT NULL) SELECT symbol, timestamp_ns, trade_id, price FROM (SELECT *, row_number() OVER (PARTITION BY symbol, timestamp_ns, trade_id, CASE WHEN trade_id IS NULL THEN price END, CASE WHEN trade_id IS NULL THEN quantity END ORDER BY prio, arrival) AS rn FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) WHERE rn = 1".replace("event_is(arrival)", "arrival % 2 = 0"))
+def merge_existing_first(spark: SparkSession, d: str) -> DataFrame:
+    t = ticks(spark, d)
+    return ingest.merge(t.where("arrival % 2 = 0"), t.where("trade_id is not null").withColumn("price", F.col("price") + 1000)).select("symbol", "timestamp_ns", "trade_id", "price")
+
+
+@query(f"{T} SELECT arrival, symbol, trade_id FROM ticks b WHERE b.arrival % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM ticks a WHERE a.arrival % 4 = 0 AND a.symbol = b.symbol AND a.timestamp_ns = b.timestamp_ns AND a.trade_id IS NOT DISTINCT FROM b.trade_id)")
+def anti_join_new_rows(spark: SparkSession, d: str) -> DataFrame:
+    t = ticks(spark, d)
+    return ingest.new_rows(t.where("arrival % 3 <> 0"), t.where("arrival % 4 = 0"), ["symbol", "timestamp_ns", "trade_id"]).select("arrival", "symbol", "trade_id")
+
+
+_BAD = "SELECT event_type AS symbol, event_id AS arrival, CASE event_id % 50 WHEN 1 THEN 0.0 WHEN 2 THEN -1.0 WHEN 3 THEN 'NaN'::DOUBLE WHEN 4 THEN NULL ELSE value END AS price, CASE WHEN event_id % 41 = 7 THEN 0 ELSE user_id % 100 + 1 END AS quantity, CASE event_id % 60 WHEN 11 THEN 'X' WHEN 12 THEN '' WHEN 13 THEN NULL ELSE 'F' END AS exchange, CASE WHEN event_id % 70 = 9 THEN 0 ELSE epoch_us(ts) * 1000 END AS timestamp_ns FROM events"
+
+
+def _bad(spark: SparkSession, d: str) -> DataFrame:
+    e, i = table(spark, d, "events"), F.col("event_id")
+    price = F.when(i % 50 == 1, 0.0).when(i % 50 == 2, -1.0).when(i % 50 == 3, float("nan")).when(i % 50 != 4, F.col("value"))
+    return e.select(F.col("event_type").alias("symbol"), i.alias("arrival"), price.alias("price"), F.when(i % 41 == 7, 0).otherwise(F.col("user_id") % 100 + 1).alias("quantity"), F.when(i % 60 == 11, "X").when(i % 60 == 12, "").when(i % 60 != 13, "F").alias("exchange"), F.when(i % 70 == 9, 0).otherwise(F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("timestamp_ns"))
+
+
+_VIOLATION = "CASE WHEN price IS NULL OR isnan(price) OR price <= 0 THEN 'price' WHEN quantity IS NULL OR quantity <= 0 THEN 'quantity' WHEN exchange IS NULL OR exchange NOT IN ('F', 'B') THEN 'exchange' WHEN timestamp_ns IS NULL OR timestamp_ns <= 0 THEN 'timestamp_ns' END"
+
+
+@query(f"WITH b AS ({_BAD}) SELECT {_VIOLATION} AS violation, count(*) AS n FROM b GROUP BY ALL")
+def record_violations(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.with_violation(_bad(spark, d)).groupBy("violation").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH b AS ({_BAD}) SELECT * FROM (SELECT 'price' AS rule, count(*) AS n_bad, min(arrival) AS first_arrival FROM b WHERE price IS NULL OR isnan(price) OR price <= 0 UNION ALL SELECT 'quantity', count(*), min(arrival) FROM b WHERE quantity IS NULL OR quantity <= 0 UNION ALL SELECT 'exchange', count(*), min(arrival) FROM b WHERE exchange IS NULL OR exchange NOT IN ('F', 'B') UNION ALL SELECT 'timestamp_ns', count(*), min(arrival) FROM b WHERE timestamp_ns IS NULL OR timestamp_ns <= 0) WHERE n_bad > 0")
+def first_invalid_record(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.first_offenders(_bad(spark, d))
+
+
+@query(f"WITH b AS ({_BAD}) SELECT count(*) AS n FROM b WHERE price IS NULL OR isnan(price) OR price <= 0 OR quantity IS NULL OR quantity <= 0")
+def invalid_price_qty(spark: SparkSession, d: str) -> DataFrame:
+    bad = ingest.violations()
+    return _bad(spark, d).where(bad["price"] | bad["quantity"]).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH b AS ({_BAD}) SELECT DISTINCT exchange FROM b WHERE exchange IS NULL OR exchange NOT IN ('F', 'B')")
+def invalid_exchange(spark: SparkSession, d: str) -> DataFrame:
+    return _bad(spark, d).where(ingest.violations()["exchange"]).select("exchange").distinct()
+
+
+@query("WITH a AS (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN event_id END AS trade_id, CASE WHEN user_id % 7 <> 0 THEN CAST(user_id % 7 AS INT) END AS buy_agent_id FROM events), n AS (SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey < 5) SELECT event_id AS arrival, trade_id, buy_agent_id, CASE WHEN buy_agent_id IS NOT NULL THEN coalesce(name, 'Agent#' || buy_agent_id) END AS buy_agent_name FROM a LEFT JOIN n ON n.id = a.buy_agent_id")
+def agent_name_lookup(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    raw = e.select(F.col("event_type").alias("symbol"), F.lit("F").alias("exchange"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("timestamp_ns"), F.col("value").alias("price"), F.lit(1).cast("long").alias("quantity"), F.when(F.col("event_id") % 10 == 0, 0).otherwise(F.col("event_id")).cast("long").alias("trade_number"), F.lit(2).cast("smallint").alias("trade_type"), (F.col("user_id") % 7).cast("int").alias("buy_agent_id"), F.lit(0).alias("sell_agent_id"), F.lit(0).cast("long").alias("flags"), F.col("event_id").alias("arrival"))
+    agents = table(spark, d, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").alias("agent_id"), F.col("n_name").alias("agent_name"))
+    return ingest.to_canonical(raw, agents).select("arrival", "trade_id", "buy_agent_id", "buy_agent_name")
+
+
+@query(f"{T} SELECT arrival, trade_type, {_names('trade_type')} END AS trade_type_name FROM ticks")
+def trade_type_name(spark: SparkSession, d: str) -> DataFrame:
+    return ticks(spark, d).select("arrival", "trade_type", schema.trade_type_name(F.col("trade_type")).alias("trade_type_name"))
+
+
+@query(f"{T} SELECT flags & 1 <> 0 AS is_edit, flags & 2 <> 0 AS last_packet, count(*) AS n FROM ticks GROUP BY ALL")
+def flag_bits(spark: SparkSession, d: str) -> DataFrame:
+    bit = lambda b: F.col("flags").bitwiseAND(b) != 0
+    return ticks(spark, d).groupBy(bit(schema.IS_EDIT).alias("is_edit"), bit(schema.LAST_PACKET).alias("last_packet")).agg(F.count("*").alias("n"))
+
+
+@query(f"{T} SELECT arrival, CASE WHEN buy_agent_id IS NOT NULL THEN 'Agent#' || buy_agent_id END AS buy_agent_name, CASE WHEN sell_agent_id IS NOT NULL THEN 'Agent#' || sell_agent_id END AS sell_agent_name, {_names('trade_type')} ELSE 'TradeType#' || trade_type END AS trade_type_name FROM ticks")
+def migrate_v1_v11(spark: SparkSession, d: str) -> DataFrame:
+    t = ticks(spark, d)
+    old = t.select(*((F.col(f.name) if f.name in t.columns else F.lit("0").cast(f.dataType)).cast(f.dataType).alias(f.name) for f in schema.TRADE_V1_0), "arrival")
+    new = migrate.v1_0_to_v1_1(old.drop("chunk_id").withColumn("chunk_id", F.col("arrival").cast("string")).drop("arrival"))
+    return new.select(F.col("chunk_id").cast("long").alias("arrival"), "buy_agent_name", "sell_agent_name", "trade_type_name")
+
+
+# --- continuous series ---------------------------------------------------------------------
+
+_SLICES = f"""c AS ({CONTRACTS}),
+n AS (SELECT *, CASE WHEN vigent_from < DATE '1970-01-02' AND vigent_from < DATE '1900-01-02' THEN -2208988800000000000 ELSE epoch_us(CAST(vigent_from AS TIMESTAMP)) * 1000 END AS from_ns,
+  CASE WHEN vigent_until >= DATE '2262-04-11' THEN 9223372036854775807 ELSE epoch_us(CAST(vigent_until AS TIMESTAMP)) * 1000 + 86399999999999 END AS eod FROM c WHERE symbol_root = 'R'),
+o AS (SELECT *, lag(eod) OVER (ORDER BY vigent_from, contract_code) AS prev FROM n WHERE eod >= 0 AND from_ns <= 9223372036854775807),
+s AS (SELECT contract_code, greatest(from_ns, coalesce(CASE WHEN prev < 9223372036854775807 THEN prev + 1 END, from_ns), 0) AS lo, eod AS hi FROM o),
+j AS (SELECT t.*, s.contract_code AS _contract_code FROM ticks t JOIN s ON t.symbol = s.contract_code AND t.timestamp_ns BETWEEN s.lo AND s.hi)"""
+_MAX = (1 << 63) - 1
+
+
+def _series(spark: SparkSession, d: str) -> DataFrame:
+    cuts = co.slices(contracts(spark).where("symbol_root = 'R'"), 0, _MAX)
+    return co.stitch(ticks(spark, d), cuts)
+
+
+@query(f"{T}, {_SLICES} SELECT timestamp_ns, symbol, price, quantity, arrival, _contract_code FROM j")
+def continuous_series(spark: SparkSession, d: str) -> DataFrame:
+    return _series(spark, d).select("timestamp_ns", "symbol", "price", "quantity", "arrival", "_contract_code")
+
+
+@query(f"{T}, {_SLICES} SELECT timestamp_ns, price, _contract_code, coalesce(_contract_code <> lag(_contract_code) OVER (ORDER BY timestamp_ns, arrival), false) AS _rollover_event FROM j")
+def rollover_flags(spark: SparkSession, d: str) -> DataFrame:
+    return co.rollover_flags(_series(spark, d)).orderBy("timestamp_ns", "sequence_within_ns").select("timestamp_ns", "price", "_contract_code", "_rollover_event")
+
+
+@query(f"{T}, {_SLICES}, b AS (SELECT _contract_code, min(timestamp_ns) AS a, max(timestamp_ns) AS z FROM j GROUP BY ALL), w AS (SELECT lag(_contract_code) OVER (ORDER BY a) AS from_contract, _contract_code AS to_contract, a AS boundary_ts_ns, a - lag(z) OVER (ORDER BY a) AS gap_ns FROM b) SELECT * FROM w WHERE from_contract IS NOT NULL")
+def rollover_transitions(spark: SparkSession, d: str) -> DataFrame:
+    return co.transitions(_series(spark, d))
+
+
+@query(f"WITH c AS ({CONTRACTS}), d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), r AS (SELECT DISTINCT symbol_root FROM c) SELECT symbol_root, day, contract_code FROM (SELECT r.symbol_root, d.day, c.contract_code, row_number() OVER (PARTITION BY r.symbol_root, d.day ORDER BY c.vigent_from DESC, c.contract_code DESC) AS rn FROM d CROSS JOIN r JOIN c ON c.symbol_root = r.symbol_root AND d.day BETWEEN c.vigent_from AND c.vigent_until) WHERE rn = 1", dates=("day",))
+def vigent_contract(spark: SparkSession, d: str) -> DataFrame:
+    days = table(spark, d, "events").select(F.col("ts").cast("date").alias("day")).distinct()
+    return co.vigent(days.withColumn("symbol_root", F.explode(F.array(F.lit("R"), F.lit("S")))), contracts(spark))
+
+
+# --- calendar ------------------------------------------------------------------------------
+
+_DAYS = f"h(day) AS (VALUES {', '.join(f'(DATE {chr(39)}{x}{chr(39)})' for x in cal.exchange_holidays())}), days AS (SELECT CAST(d AS DATE) AS day FROM generate_series(TIMESTAMP '{START}', TIMESTAMP '{END}', INTERVAL 1 DAY) AS g(d) WHERE isodow(d) < 6 AND CAST(d AS DATE) NOT IN (SELECT day FROM h))"
+
+
+def _days(spark: SparkSession) -> DataFrame:
+    return cal.business_days(spark, START, END, cal.holidays(spark))
+
+
+@query(f"WITH {_DAYS} SELECT day FROM days", dates=("day",))
+def business_days(spark: SparkSession, d: str) -> DataFrame:
+    return _days(spark)
+
+
+@query(f"{T}, {_DAYS}, u AS (SELECT DISTINCT buy_agent_id FROM ticks), seen AS (SELECT DISTINCT buy_agent_id, CAST(make_timestamp(timestamp_ns // 1000) AS DATE) AS day FROM ticks) SELECT u.buy_agent_id::VARCHAR AS symbol, days.day, epoch_us(CAST(days.day AS TIMESTAMP)) * 1000 AS gap_start_ns, epoch_us(CAST(days.day AS TIMESTAMP)) * 1000 + 86399999999999 AS gap_end_ns, CAST(1 AS INT) AS business_days_missing, 'missing_download' AS classification FROM u CROSS JOIN days LEFT JOIN seen ON seen.buy_agent_id = u.buy_agent_id AND seen.day = days.day WHERE seen.day IS NULL", dates=("day",))
+def calendar_gaps(spark: SparkSession, d: str) -> DataFrame:
+    t = ticks(spark, d).select(F.col("buy_agent_id").cast("string").alias("symbol"), tu.day_of(F.col("timestamp_ns")).alias("day"))
+    return cal.gaps(_days(spark), t, t)
+
+
+_LEDGER = "ledger AS (SELECT CAST(user_id AS VARCHAR) AS symbol, CAST(ts AS DATE) AS chunk_date, CASE min(event_id) % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'no_trades' ELSE 'completed' END AS status, 'j' || (user_id % 20) AS job_id, count(*) AS trades_count FROM events GROUP BY user_id, CAST(ts AS DATE))"
+
+
+def _ledger(spark: SparkSession, d: str) -> DataFrame:
+    by = [F.col("user_id"), F.col("ts").cast("date").alias("chunk_date")]
+    rows = table(spark, d, "events").groupBy(*by).agg((F.min("event_id") % 4).alias("k"), F.count("*").alias("trades_count"))
+    return rows.select(F.col("user_id").cast("string").alias("symbol"), "chunk_date", F.when(F.col("k") == 0, "failed").when(F.col("k") == 1, "no_trades").otherwise("completed").alias("status"), F.concat(F.lit("j"), F.col("user_id") % 20).alias("job_id"), "trades_count")
+
+
+@query(f"WITH {_DAYS}, {_LEDGER}, m AS (SELECT s.symbol, days.day, EXISTS (SELECT 1 FROM ledger l WHERE l.symbol = s.symbol AND l.chunk_date = days.day AND l.status IN ('completed', 'no_trades')) AS done FROM (SELECT DISTINCT symbol FROM ledger) s CROSS JOIN days) SELECT symbol, CAST(year(day) AS INT) AS year, CAST(month(day) AS INT) AS month, bool_and(done) AS complete, count(*) FILTER (WHERE NOT done) AS n_missing FROM m GROUP BY symbol, year(day), month(day)")
+def month_complete(spark: SparkSession, d: str) -> DataFrame:
+    return cal.month_complete(_days(spark), _ledger(spark, d))
+
+
+@query(f"WITH {_DAYS}, {_LEDGER} SELECT s.symbol, days.day FROM (SELECT DISTINCT symbol FROM ledger) s CROSS JOIN days WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.symbol = s.symbol AND l.chunk_date = days.day AND l.status <> 'failed')", dates=("day",))
+def pending_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return cal.pending(_days(spark), _ledger(spark, d))
+
+
+@query(f"WITH {_DAYS}, n AS (SELECT day, (row_number() OVER (ORDER BY day) - 1) // 5 AS chunk FROM days) SELECT chunk, min(day) AS start_day, max(day) AS end_day, count(*) AS n_days FROM n GROUP BY chunk", dates=("start_day", "end_day",))
+def chunk_plan(spark: SparkSession, d: str) -> DataFrame:
+    return cal.chunk_plan(_days(spark), 5)
+
+
+# --- integrity -----------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1 ORDER BY n DESC, l_orderkey, l_linenumber LIMIT 10")
+def duplicate_keys_top10(spark: SparkSession, d: str) -> DataFrame:
+    """A top-k report by nature."""
+    return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "l_orderkey", "l_linenumber").limit(10)
+
+
+@query(f"{T} SELECT arrival, symbol, timestamp_ns, prev_ts_ns FROM (SELECT *, lag(timestamp_ns) OVER (PARTITION BY symbol ORDER BY quantity, arrival) AS prev_ts_ns FROM ticks) WHERE timestamp_ns < prev_ts_ns")
+def timestamp_regressions(spark: SparkSession, d: str) -> DataFrame:
+    return integrity.regressions(ticks(spark, d), ["quantity", "arrival"], ["symbol"]).select("arrival", "symbol", "timestamp_ns", "prev_ts_ns")
+
+
+@query(f"""WITH b AS ({_BAD}) SELECT * FROM (
+SELECT 'INT-2' AS "check", 'critical' AS severity, count(*) = 0 AS passed, count(*) AS n_bad FROM (SELECT 1 FROM b GROUP BY symbol, timestamp_ns, price, quantity HAVING count(*) > 1)
+UNION ALL SELECT 'INT-4', 'critical', count(*) = 0, count(*) FROM b WHERE price IS NULL OR isnan(price) OR price <= 0 OR quantity IS NULL OR quantity <= 0
+UNION ALL SELECT 'INT-5', 'critical', count(*) = 0, count(*) FROM b WHERE exchange IS NULL OR exchange NOT IN ('F', 'B')
+UNION ALL SELECT 'INT-12', 'high', true, 0 UNION ALL SELECT 'INT-3', 'high', true, 0)""")
+def integrity_report(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit(None).cast("long")
+    full = _bad(spark, d).withColumns({"trade_id": none, "buy_agent_id": none, "sell_agent_id": none, "sequence_within_ns": F.lit(0), "ingestion_ts_ns": F.col("timestamp_ns")})
+    return integrity.report(full)
+
+
+# --- catalog -------------------------------------------------------------------------------
+
+_PARTS = "parts AS (SELECT 'F/' || event_type || '/' || strftime(ts, '%Y/%m/%d') || '.parquet' AS partition_path, event_type AS symbol, count(*) AS row_count, min(epoch_us(ts)) * 1000 AS first_ts_ns, max(epoch_us(ts)) * 1000 AS last_ts_ns, CAST(sum(length(props)) * 1000 AS BIGINT) AS file_size_bytes, 'j' || (min(event_id) % 40) AS job_id, min(event_id) AS low, CASE WHEN min(event_id) % 3 = 0 THEN '1.0.0' ELSE '1.1.0' END AS schema_version FROM events GROUP BY event_type, strftime(ts, '%Y/%m/%d'))"
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    day = F.col("ts").cast("date")
+    path = symbols.partition_path(F.lit("F"), F.col("symbol"), F.year("d"), F.month("d"), F.dayofmonth("d"))
+    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    rows = table(spark, d, "events").groupBy(F.col("event_type").alias("symbol"), day.alias("d")).agg(F.count("*").alias("row_count"), F.min(ns).alias("first_ts_ns"), F.max(ns).alias("last_ts_ns"), (F.sum(F.length("props")) * 1000).alias("file_size_bytes"), F.min("event_id").alias("low"))
+    return rows.select(path.alias("partition_path"), "symbol", "row_count", "first_ts_ns", "last_ts_ns", "file_size_bytes", F.concat(F.lit("j"), F.col("low") % 40).alias("job_id"), "low", F.when(F.col("low") % 3 == 0, "1.0.0").otherwise("1.1.0").alias("schema_version"))
+
+
+@query(f"WITH {_PARTS}, c AS (SELECT partition_path, md5(partition_path) AS s FROM parts WHERE low % 5 <> 0), f AS (SELECT partition_path, CASE WHEN low % 7 = 0 THEN 'x' ELSE md5(partition_path) END AS s FROM parts WHERE low % 4 <> 0) SELECT coalesce(c.partition_path, f.partition_path) AS partition_path, CASE WHEN c.partition_path IS NULL THEN 'A' WHEN f.partition_path IS NULL THEN 'B' WHEN c.s <> f.s THEN 'C' END AS drift FROM c FULL JOIN f ON c.partition_path = f.partition_path")
+def reconcile_drift(spark: SparkSession, d: str) -> DataFrame:
+    p, good = _parts(spark, d), F.md5(F.col("partition_path").cast("binary"))
+    return catalog.reconcile(p.where("low % 5 <> 0").select("partition_path", good.alias("checksum_sha256")), p.where("low % 4 <> 0").select("partition_path", F.when(F.col("low") % 7 == 0, "x").otherwise(good).alias("checksum_sha256")))
+
+
+@query(f"WITH {_PARTS}, old AS (SELECT * FROM parts WHERE low % 3 <> 0), new AS (SELECT partition_path, row_count + 1 AS row_count, CASE WHEN low % 2 = 0 THEN NULL ELSE 'new' END AS job_id FROM parts WHERE low % 2 = 0 OR low % 5 = 0) SELECT coalesce(old.partition_path, new.partition_path) AS partition_path, coalesce(new.row_count, old.row_count) AS row_count, coalesce(new.job_id, old.job_id) AS job_id FROM old FULL JOIN new ON old.partition_path = new.partition_path")
+def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
+    p = _parts(spark, d)
+    new = p.where("low % 2 = 0 or low % 5 = 0").select("partition_path", (F.col("row_count") + 1).alias("row_count"), F.when(F.col("low") % 2 != 0, "new").alias("job_id"))
+    return catalog.upsert(p.where("low % 3 <> 0").select("partition_path", "row_count", "job_id"), new, ["partition_path"], ("job_id",))
+
+
+_JOBS = "jobs AS (SELECT 'j' || o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'partial' END AS status, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate END AS started_at, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate + INTERVAL 1 HOUR END AS completed_at, o_orderpriority AS dll_version FROM orders)"
+
+
+def _jobs(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(F.concat(F.lit("j"), k).alias("job_id"), F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "failed").otherwise("partial").alias("status"), F.when(k % 9 != 0, F.col("o_orderdate")).alias("started_at"), F.when(k % 3 != 0, F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR")).alias("completed_at"), F.col("o_orderpriority").alias("dll_version"))
+
+
+@query(f"WITH {_PARTS}, {_JOBS} SELECT p.partition_path, p.job_id, j.status AS download_status, p.last_ts_ns > p.first_ts_ns AS has_data, p.file_size_bytes / 1024.0 / 1024.0 AS file_size_mb, p.row_count / nullif((p.last_ts_ns - p.first_ts_ns) / 1e9 / 60, 0) AS rows_per_minute FROM parts p LEFT JOIN jobs j ON p.job_id = j.job_id")
+def partition_summary(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.partition_summary(_parts(spark, d), _jobs(spark, d)).select("partition_path", "job_id", "download_status", "has_data", "file_size_mb", "rows_per_minute")
+
+
+@query(f"WITH {_JOBS} SELECT job_id, status, epoch_us(coalesce(completed_at, started_at)) AS latest_us FROM jobs WHERE status IN ('completed', 'partial') ORDER BY coalesce(completed_at, started_at) DESC NULLS LAST, job_id LIMIT 50")
+def jobs_latest(spark: SparkSession, d: str) -> DataFrame:
+    """A top-k listing by nature."""
+    return catalog.jobs(_jobs(spark, d), ["completed", "partial"], 50).select("job_id", "status", F.unix_micros(F.coalesce("completed_at", "started_at").cast("timestamp")).alias("latest_us"))
+
+
+@query(f"WITH {_LEDGER} SELECT job_id, CASE WHEN count(*) FILTER (WHERE status <> 'failed') = count(*) THEN 'completed' WHEN count(*) FILTER (WHERE status <> 'failed') > 0 THEN 'partial' ELSE 'failed' END AS status, sum(trades_count)::BIGINT AS trades_count FROM ledger GROUP BY job_id")
+def job_status_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.job_status(_ledger(spark, d))
+
+
+@query(f"WITH {_PARTS} SELECT count(*) AS n_partitions, sum(row_count)::BIGINT AS n_rows, sum(file_size_bytes)::BIGINT / 1024.0 / 1024.0 AS mb FROM parts")
+def catalog_totals(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.totals(_parts(spark, d))
+
+
+@query(f"WITH {_PARTS} SELECT partition_path, symbol, row_count FROM parts WHERE upper(symbol) LIKE '%CL%' ORDER BY partition_path")
+def catalog_filter(spark: SparkSession, d: str) -> DataFrame:
+    shape = symbols.parse_partition_path(F.col("partition_path"))
+    p = _parts(spark, d).withColumns({c: shape[c] for c in ("exchange", "year", "month", "day")})
+    return catalog.partition_filter(p, "cl", "F").select("partition_path", "symbol", "row_count")
+
+
+@query(f"WITH {_PARTS} SELECT count(*) AS n_partitions, sum(file_size_bytes)::BIGINT AS n_bytes, sum(file_size_bytes)::BIGINT / 52428800.0 AS eta_s FROM parts WHERE schema_version <> '1.1.0'")
+def migration_plan(spark: SparkSession, d: str) -> DataFrame:
+    return migrate.plan(_parts(spark, d))
+
+
+# --- analytics -----------------------------------------------------------------------------
+
+
+@query(f"{T} SELECT symbol, CAST(make_timestamp(timestamp_ns // 1000) AS DATE) AS day, count(*) AS n_trades FROM ticks GROUP BY ALL", dates=("day",))
+def trades_per_day(spark: SparkSession, d: str) -> DataFrame:
+    return an.trades_per_day(ticks(spark, d))
+
+
+_BARS = "SELECT symbol, timestamp_ns - timestamp_ns % {0} AS bar_ns, arg_min(price, timestamp_ns) AS open, max(price) AS high, min(price) AS low, arg_max(price, timestamp_ns) AS close, sum(quantity)::BIGINT AS volume, count(*) AS n_trades FROM ticks GROUP BY ALL"
+
+
+@query(f"{T} {_BARS.format(tu.MINUTE_NS)}")
+def ohlcv_bars(spark: SparkSession, d: str) -> DataFrame:
+    return an.bars(ticks(spark, d))
+
+
+@query(f"{T} SELECT symbol, CAST(sum(CAST(price AS DECIMAL(18,2)) * quantity) AS DOUBLE) / CAST(sum(quantity) AS DOUBLE) AS vwap FROM ticks GROUP BY symbol")
+def vwap(spark: SparkSession, d: str) -> DataFrame:
+    return an.vwap(ticks(spark, d), "symbol")
+
+
+@query(f"{T}, b AS ({_BARS.format(HOUR)}), s AS (SELECT symbol, bar_ns, close, lag(close) OVER w AS prev, lead(close) OVER w AS next, count(close) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS n, min(close) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS low_n, sum(CAST(close AS DECIMAL(18,2))) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS total FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar_ns)) SELECT symbol, bar_ns, close, close - prev AS change, next - close AS next_change, CASE WHEN n = 10 THEN round(CAST(total AS DOUBLE) / 10, 4) END AS mean_n FROM s")
+def rolling_signal(spark: SparkSession, d: str) -> DataFrame:
+    s = an.signals(an.bars(ticks(spark, d), HOUR))
+    total = F.sum(F.col("close").cast(an.MONEY)).over(Window.partitionBy("symbol").orderBy("bar_ns").rowsBetween(-9, 0))
+    return s.withColumn("total", total).select("symbol", "bar_ns", "close", "change", "next_change", F.when(F.col("mean_n").isNotNull(), F.round(F.col("total").cast("double") / 10, 4)).alias("mean_n"))
+
+
+@query()
+def rolling_zscore(spark: SparkSession, d: str) -> DataFrame:
+    """Deviations in floating point depend on the order of summing, so there is no hash-exact SQL; tests compare closely."""
+    return an.signals(an.bars(ticks(spark, d), HOUR)).select("symbol", "bar_ns", "zscore")
+
+
+@query()
+def ema20(spark: SparkSession, d: str) -> DataFrame:
+    """Recursive: no plain SQL; tests hold it against a loop."""
+    return an.ema(ticks(spark, d))
+
+
+@query(f"{T}, b AS ({_BARS.format(HOUR)}), p AS (SELECT symbol, unnest(generate_series(min(bar_ns), max(bar_ns), {HOUR})) AS bar_ns FROM b GROUP BY symbol) SELECT p.symbol, p.bar_ns, last_value(b.close IGNORE NULLS) OVER (PARTITION BY p.symbol ORDER BY p.bar_ns) AS close FROM p LEFT JOIN b ON b.symbol = p.symbol AND b.bar_ns = p.bar_ns")
+def resample_ffill(spark: SparkSession, d: str) -> DataFrame:
+    return an.resample_ffill(ticks(spark, d), HOUR)
+
+
+@query(f"{T} SELECT substr(symbol, 1, 3) AS root, CAST(sum(CAST(price AS DECIMAL(18,2)) * quantity) AS DOUBLE) AS notional, CAST(sum(CAST(price AS DECIMAL(18,2)) * quantity) AS DOUBLE) > 5000000 AS breach FROM ticks GROUP BY ALL")
+def notional_breach(spark: SparkSession, d: str) -> DataFrame:
+    return an.notional_breaches(ticks(spark, d), F.substring("symbol", 1, 3), 5_000_000)
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type <> 'error') AS n_ok, count(*) FILTER (WHERE event_type = 'error') AS n_error, coalesce(100.0::DOUBLE * count(*) FILTER (WHERE event_type <> 'error') / nullif(count(*), 0), 100.0) AS pct FROM events GROUP BY user_id")
+def completeness_pct(spark: SparkSession, d: str) -> DataFrame:
+    return an.completeness(table(spark, d, "events"), F.col("event_type") != "error", F.col("event_type") == "error", "user_id")
+
+
+@query(f"{T}, n AS (SELECT symbol, CAST(make_timestamp(timestamp_ns // 1000) AS DATE) AS day, count(*) AS n_trades FROM ticks GROUP BY ALL), r AS (SELECT *, n_trades / avg(n_trades) OVER (PARTITION BY symbol) AS ratio FROM n) SELECT symbol, day, n_trades, CASE WHEN ratio < 0.8 THEN 'low' WHEN ratio > 1.5 THEN 'high' ELSE 'ok' END AS band FROM r", dates=("day",))
+def volume_band(spark: SparkSession, d: str) -> DataFrame:
+    return an.volume_band(an.trades_per_day(ticks(spark, d))).drop("ratio")
+
+
+@query("SELECT event_type, count(*) FILTER (WHERE value <= 10) AS le_0, count(*) FILTER (WHERE value <= 100) AS le_1, count(*) AS le_inf, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY event_type")
+def metric_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return an.histogram(table(spark, d, "events"), "value", [10, 100], "event_type")
+
+
+# --- functions -----------------------------------------------------------------------------
+
+
+@query("SELECT event_id, strftime(ts, '%d/%m/%Y %H:%M:%S.') || lpad(CAST((epoch_us(ts) % 1000000) // 1000 AS VARCHAR), 3, '0') AS text, (epoch_us(ts) // 1000) * 1000000 AS parsed_ns FROM events")
+def parse_format_ts(spark: SparkSession, d: str) -> DataFrame:
+    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    text = tu.format_ns(ns)
+    colon = F.concat(F.substring(text, 1, 19), F.lit(":"), F.substring(text, 21, 3))
+    return table(spark, d, "events").select("event_id", text.alias("text"), tu.parse_ns(F.when(F.col("event_id") % 2 == 0, text).otherwise(colon)).alias("parsed_ns"))
+
+
+_CODES = "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'WDO' WHEN 1 THEN ' win ' WHEN 2 THEN 'PETR4' ELSE 'IND' || substr('FGHIJKLMNQUVXZ', CAST(p_size % 14 + 1 AS INT), 1) || lpad(CAST(p_size AS VARCHAR), 2, '0') END AS symbol FROM part"
+
+
+@query(f"WITH c AS ({_CODES}), s AS (SELECT p_partkey, symbol, trim(upper(symbol)) AS u FROM c) SELECT p_partkey, CASE WHEN u IN ('WDO', 'WIN', 'IND', 'DOL') THEN u || 'FUT' ELSE u END AS alias, regexp_matches(u, '^(WDO|WIN|IND|DOL)[FGHJKMNQUVXZ][0-9][0-9]$') AS dated, regexp_matches(u, '^[A-Z][A-Z][A-Z][A-Z][0-9]$') AS equity, length(u) < 4 OR NOT regexp_matches(u, '[0-9][0-9]$') AS root, CASE WHEN strpos('FGHJKMNQUVXZ', substr(u, 4, 1)) > 0 AND substr(u, 4, 1) <> '' THEN CAST(strpos('FGHJKMNQUVXZ', substr(u, 4, 1)) AS INT) END AS month FROM s")
+def contract_code_parts(spark: SparkSession, d: str) -> DataFrame:
+    k, size = F.col("p_partkey") % 4, F.col("p_size")
+    dated = F.concat(F.lit("IND"), F.substring(F.lit("FGHIJKLMNQUVXZ"), (size % 14 + 1).cast("int"), F.lit(1)), F.lpad(size.cast("string"), 2, "0"))
+    raw = F.when(k == 0, "WDO").when(k == 1, " win ").when(k == 2, "PETR4").otherwise(dated)
+    s = F.trim(F.upper(raw))
+    return table(spark, d, "part").select("p_partkey", symbols.resolve_alias(raw).alias("alias"), symbols.is_dated_contract(s).alias("dated"), symbols.is_equity(s).alias("equity"), symbols.looks_like_root(s).alias("root"), symbols.month_of_letter(F.substring(s, 4, 1)).alias("month"))

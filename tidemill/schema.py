@@ -11,9 +11,11 @@ ingestion_ts_ns bigint!, chunk_id string, dll_version string!, sequence_within_n
 buy_agent_name string, sell_agent_name string, trade_type_name string"""
 _PARSED = [f.split() for f in _FIELDS.replace("\n", " ").split(",")]
 REQUIRED = [n for n, t in _PARSED if t.endswith("!")]
-TRADE = T.StructType([T.StructField(n, T._parse_datatype_string(t.rstrip("!")), True) for n, t in _PARSED])
+_TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "smallint": T.ShortType(), "double": T.DoubleType()}
+TRADE = T.StructType([T.StructField(n, _TYPES[t.rstrip("!")], True) for n, t in _PARSED])
 TRADE_V1_0 = T.StructType(TRADE.fields[:17])
-RAW = T._parse_datatype_string("symbol string, exchange string, timestamp_ns bigint, price double, quantity bigint, trade_number bigint, trade_type smallint, buy_agent_id int, sell_agent_id int, flags bigint, arrival bigint")
+_RAW = "symbol string, exchange string, timestamp_ns bigint, price double, quantity bigint, trade_number bigint, trade_type smallint, buy_agent_id int, sell_agent_id int, flags bigint, arrival bigint"
+RAW = T.StructType([T.StructField(f.split()[0], _TYPES[f.split()[1]], True) for f in _RAW.split(", ")])
 
 #: Names of the trade types 0 to 13.
 TRADE_TYPES = ["Zero", "CrossTrade", "AgressionBuy", "AgressionSell", "Auction", "Surveillance", "Expit", "OptionsExercise", "OverTheCounter", "DerivativeTerm", "Index", "BTC", "OnBehalf", "RLP"]

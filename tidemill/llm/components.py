@@ -8,11 +8,29 @@ can split.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from ._common import Scratch
 
 
+def forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star (node, smallest node) per component of the links."""
+    nodes, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    a, b = at[: len(left)], at[len(left) :]
+    low = np.arange(len(nodes))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    on = low != np.arange(len(nodes))
+    return nodes[on], nodes[low[on]]
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = e.select("u", F.col("v").alias("x")).unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("x"))).groupBy("u").agg(F.least(F.min("x"), F.col("u")).alias("m"))

@@ -91,4 +91,4 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     copies = replicate(docs, **options)
     part = F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * parts
-    return copies.withColumn("__part", F.shiftright(part, 32).cast("int")).repartition(parts, "__part").sortWithinPartitions("__part", "place").drop("__part")
+    return copies.withColumn("__part", F.shiftright(part, 32).cast("int")).repartitionById(parts, "__part").sortWithinPartitions("place").drop("__part")

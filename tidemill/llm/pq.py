@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._common import Scratch
-from .components import connected_components
+from .components import connected_components, forest
 
 #: Vectors the codebooks are fitted on at most (those whose ids hash lowest).
 SAMPLE = 16_000
@@ -79,23 +79,6 @@ def _units(column: pa.Array) -> np.ndarray:
     return a.reshape(len(column), -1)
 
 
-def _forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star (node, smallest node) per component of the links."""
-    nodes, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-    a, b = at[: len(left)], at[len(left) :]
-    low = np.arange(len(nodes))
-    while True:
-        new = low.copy()
-        np.minimum.at(new, a, low[b])
-        np.minimum.at(new, b, low[a])
-        new = new[new]
-        if (new == low).all():
-            break
-        low = new
-    on = low != np.arange(len(nodes))
-    return nodes[on], nodes[low[on]]
-
-
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` of every row.
 
@@ -208,7 +191,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
             a, c = a[ok], c[ok]
             counts.append(np.bincount(a, weight[c], len(rest)).astype(np.int64))
             if len(a):
-                f = _forest(own[i + a], ids[c])
+                f = forest(own[i + a], ids[c])
                 lefts.append(f[0])
                 rights.append(f[1])
         links = np.concatenate(counts)

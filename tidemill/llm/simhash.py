@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ._common import Scratch, mix, utf8
-from .components import connected_components
+from .components import connected_components, forest
 
 BITS = 64
 #: Buckets up to this size are joined pair by pair; larger ones go by shared neighbours (exact as well).
@@ -115,6 +115,8 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2, id_col:
 
 # --- wider similarity, for corpus cleaning ------------------------------------------------
 
+#: Links a task holds before it contracts them.
+HELD = 500_000
 #: Words of 64 bits in the wide fingerprint.
 WIDE = 4
 #: In each of them, any 2 of 7 runs of bits make a key: covers 5 differing bits a word, 23 in all.
@@ -158,20 +160,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     most = _most_bits(similarity)
 
     def compare(batches):
-        """Batches sorted by table, key and fingerprint: windowed comparison within each bucket."""
+        """Batches sorted by table, key and fingerprint: windowed comparison within each bucket.
+
+        Passes on a spanning forest of the task's links, at most one edge a node, however dense a group is.
+        """
         import pandas as pd
 
-        rest, first = None, None
+        rest, first, left, right, held = None, None, [], [], 0
         reach = 24
         for b in batches:
             x = b.to_pandas()
             x = x if rest is None else pd.concat([rest, x], ignore_index=True)
-            yield from _edges(x, reach, most, len(rest) if rest is not None else 0, first, names)
+            for u, v in _edges(x, reach, most, len(rest) if rest is not None else 0, first, names):
+                left.append(u)
+                right.append(v)
+                held += len(u)
+            if held > HELD:
+                u, v = forest(np.concatenate(left), np.concatenate(right))
+                left, right, held = [u], [v], 0
             last = x.iloc[-1]
             same = (x.t.values == last.t) & (x.key.values == last.key)
             lead = x[same].iloc[0]
             first = first if first is not None and (first["t"], first["key"]) == (last.t, last.key) else lead.to_dict()
             rest = x[same].iloc[-reach:].reset_index(drop=True)
+        if left:
+            u, v = forest(np.concatenate(left), np.concatenate(right))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     # by range, so that a bucket of any size is spread over tasks; at a cut only the pairs across it go unseen in that table
     spread = tables.repartitionByRange("t", "key", *names).sortWithinPartitions("t", "key", *names)
@@ -213,5 +227,4 @@ def _edges(x, reach: int, most: int, old: int, first: dict | None, names: list[s
         ok = np.bitwise_count(words[j] ^ fw).sum(axis=1) <= most
         if ok.any():
             out.append((np.full(ok.sum(), first["node"]), node[j[ok]]))
-    for u, v in out:
-        yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64))], names=["u", "v"])
+    return [(u.astype(np.int64), v.astype(np.int64)) for u, v in out]

@@ -85,7 +85,13 @@ def write(df: DataFrame, root: str, *, row_limit: int = ROW_LIMIT) -> DataFrame:
         raise ValueError(f"a partition of {most} rows; the limit is {row_limit}")
     sorted_rows = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "timestamp_ns", "sequence_within_ns")
     sorted_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(*KEYS).parquet(root)
-    return df.sparkSession.read.schema(_file_schema()).parquet(root).join(F.broadcast(summary.select(*KEYS)), KEYS, "left_semi").groupBy(*KEYS).agg(F.count("*").alias("row_count"), F.min("timestamp_ns").alias("first_ts_ns"), F.max("timestamp_ns").alias("last_ts_ns"))
+    return summarise(df.sparkSession, root, summary.select(*KEYS))
+
+
+def summarise(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
+    """What the store holds now in the partitions named."""
+    stored = spark.read.schema(_file_schema()).parquet(root).join(keys, KEYS, "left_semi")
+    return stored.groupBy(*KEYS).agg(F.count("*").alias("row_count"), F.min("timestamp_ns").alias("first_ts_ns"), F.max("timestamp_ns").alias("last_ts_ns"))
 
 
 def merge_write(new: DataFrame, root: str) -> DataFrame:
@@ -95,14 +101,15 @@ def merge_write(new: DataFrame, root: str) -> DataFrame:
     """
     spark = new.sparkSession
     days = with_keys(new).select(*KEYS).distinct()
-    stored = scan(spark, root).join(F.broadcast(days), KEYS, "left_semi").select(*schema.TRADE.names).withColumn("arrival", F.monotonically_increasing_id())
+    stored = scan(spark, root).join(days, KEYS, "left_semi").select(*schema.TRADE.names).withColumn("arrival", F.monotonically_increasing_id())
     merged = ingest.merge(stored, new.select(*schema.TRADE.names, "arrival"))
     staging = f"{root}.staging-{uuid.uuid4().hex}"
     schema.canonical(merged.drop("arrival")).write.parquet(staging)
     try:
-        return write(spark.read.schema(schema.TRADE).parquet(staging), root)
+        write(spark.read.schema(schema.TRADE).parquet(staging), root)
     finally:
         delete(spark, staging)
+    return summarise(spark, root, days)
 
 
 def compact(spark: SparkSession, root: str, out: str, exchange: str, symbol: str, year: int, month: int) -> int:

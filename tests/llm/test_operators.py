@@ -102,6 +102,31 @@ def test_near_duplicates(spark):
     assert all(abs(got[i] - i) < 4 for i in want) and 900 not in got
 
 
+@pytest.mark.parametrize("block", [4, 2048])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "NEXT", 1)
+    rng = random.Random(9)
+    rows = []
+    for g in range(12):
+        at = [f"w{rng.randrange(3000)}" for _ in range(150)]
+        for _ in range(20 if g else 80):  # each text is a change of the one before: links form chains
+            at = list(at)
+            for _ in range(rng.randint(0, 4)):
+                at[rng.randrange(len(at))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(at)))
+    rng.shuffle(rows)
+    got = {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    fps = {i: simhash.wide_fingerprint(t.encode(), 5) for i, t in rows}
+    most, masks = simhash._most_bits(0.8), [m % 2**64 for m in simhash.WIDE_MASKS]
+    near = [(a, b) for a in fps for b in fps if a < b and sum((x ^ y).bit_count() for x, y in zip(fps[a], fps[b])) <= most]
+    meet = [(a, b) for a, b in near if any((x ^ y) & m == 0 for x, y in zip(fps[a], fps[b]) for m in masks)]
+    assert len(meet) > 0.9 * len(near)
+    low, high = roots(fps, meet), roots(fps, near)
+    assert all(got[a] == got[b] for a, b in meet)  # no link of a common bucket is lost
+    assert all(got[i] == low[i] or got[i] == high[i] or high[got[i]] == high[i] for i in fps)  # and none is made up
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200 + i) for i in range(40)] + [(7, 7)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()}

@@ -121,6 +121,10 @@ HELD = 500_000
 WIDE = 4
 #: In each of them, any 2 of 7 runs of bits make a key: covers 5 differing bits a word, 23 in all.
 WIDE_MASKS = block_masks(7, 2)
+#: Buckets up to this size are compared in one task; larger ones in pairs of blocks of about this size.
+BLOCK = 2048
+#: Neighbours in sorted order that the contracting pass compares, and the rotations of each word it sorts by.
+NEXT, TURNS = 24, (0, 21, 42)
 
 
 def wide_fingerprint(text: bytes | None, width: int) -> list[int]:
@@ -138,10 +142,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     """``id`` and ``component`` (smallest id of its group of near duplicates) of each document.
 
     Documents link when their 256-bit SimHash fingerprints over sets of ``width``-word shingles differ
-    in no more bits than sets of that Jaccard ``similarity`` do on average.  Candidates come from
-    the masked tables; in a table's bucket, each fingerprint is compared with the following ones
-    in bit order and with the bucket's first, so the work stays proportional to the rows.
-    Wordless texts and null ids aren't grouped.  Equal fingerprints are one node.
+    in no more bits than sets of that Jaccard ``similarity`` do on average.  All pairs that share a
+    bucket of a masked table are compared, but for those already known to be in one group: a first
+    pass over sorted fingerprints links most of each dense group, so that a group of any size
+    isn't compared with itself pair by pair.  Wordless texts and null ids aren't grouped.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     names = [f"f{i}" for i in range(WIDE)]
@@ -155,76 +159,104 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     fps = scratch.save(rows.mapInArrow(run, f"id long, {', '.join(f'{n} long' for n in names)}").where(" or ".join(f"{n} <> 0" for n in names)), "fps")
     nodes = scratch.save(fps.groupBy(*names).agg(F.min("id").alias("node")), "nodes")
-    keys = F.array(*(F.struct(F.lit(w * len(WIDE_MASKS) + i).alias("t"), F.col(names[w]).bitwiseAND(F.lit(m).cast("long")).alias("key")) for w in range(WIDE) for i, m in enumerate(WIDE_MASKS)))
-    tables = nodes.select("node", *names, F.explode(keys).alias("k")).select("node", *names, "k.t", "k.key")
-    most = _most_bits(similarity)
+    groups = _contract(nodes, names, _most_bits(similarity), scratch)
+    edges = scratch.save(_bucket_links(groups, names, _most_bits(similarity), scratch), "edges")
+    roots = connected_components(edges, scratch, "all").select(F.col("node").alias("of"), "root")
+    whole = scratch.save(groups.join(roots, F.col("comp") == F.col("of"), "left").select(*names, F.coalesce("root", "comp").alias("component")), "classes")
+    return fps.join(whole, names).select("id", "component")
+
 
-    def compare(batches):
-        """Batches sorted by table, key and fingerprint: windowed comparison within each bucket.
+def _contract(nodes: DataFrame, names: list[str], most: int, scratch: Scratch) -> DataFrame:
+    """``nodes`` with ``comp``: components of links between neighbours in sorted order.
+
+    What it misses costs later comparisons, not links.
+    """
+    turn = lambda n, by: F.shiftleft(n, by).bitwiseOR(F.shiftrightunsigned(n, BITS - by)) if by else F.col(n)
+    orders = F.array(*(F.struct(F.lit(i * len(TURNS) + j).alias("t"), turn(n, by).alias("r")) for i, n in enumerate(names) for j, by in enumerate(TURNS)))
+    tables = nodes.select("node", *names, F.explode(orders).alias("o")).select("o.t", "o.r", "node", *names)
+    spread = tables.repartitionByRange("t", "r", *names).sortWithinPartitions("t", "r", *names)
+    edges = scratch.save(spread.select("t", "node", F.col("node").alias("comp"), *names).mapInArrow(_compare(most, NEXT), "u long, v long").distinct(), "dense")
+    roots = connected_components(edges, scratch, "dense_cc").select(F.col("node").alias("of"), "root")
+    return scratch.save(nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("comp"), *names), "groups")
 
-        Passes on a spanning forest of the task's links, at most one edge a node, however dense a group is.
-        """
-        import pandas as pd
 
-        rest, first, left, right, held = None, None, [], [], 0
-        reach = 24
+def _bucket_links(groups: DataFrame, names: list[str], most: int, scratch: Scratch) -> DataFrame:
+    """Edges between components that have nodes in a common bucket within ``most`` bits.
+
+    A bucket of over ``BLOCK`` nodes is dealt in blocks: its largest component against the rest,
+    and the rest against itself, each pair of blocks a group of its own.
+    """
+    keys = F.array(*(F.xxhash64(F.lit(w * len(WIDE_MASKS) + i), F.col(names[w]).bitwiseAND(F.lit(m).cast("long"))) for w in range(WIDE) for i, m in enumerate(WIDE_MASKS)))
+    tables = groups.select(F.explode(keys).alias("k"), "node", "comp", *names)
+    heavy = scratch.save(tables.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("k"), "heavy")
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        dealt = rows.repartition("k").sortWithinPartitions("k").select("k", "node", "comp", *names)
+        return dealt.mapInArrow(_compare(most, None), "u long, v long").distinct()
+
+    if heavy.isEmpty():
+        return pairs(tables)
+    light = pairs(tables.join(heavy, "k", "left_anti"))
+    big = scratch.save(tables.join(heavy, "k"), "big")
+    sizes = big.groupBy("k", "comp").agg(F.count("*").alias("c")).groupBy("k").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sizes = scratch.save(sizes.where("n > top.c").select("k", F.col("top.comp").alias("major"), blocks(F.col("top.c")).alias("bm"), blocks(F.col("n") - F.col("top.c")).alias("br")), "sizes")
+    rows = big.join(sizes, "k").withColumn("of", F.pmod(F.xxhash64("node"), F.when(F.col("comp") == F.col("major"), F.col("bm")).otherwise(F.col("br"))))
+    major = rows.where("comp = major").select("*", F.explode(F.sequence(F.lit(0), F.col("br") - 1)).alias("j")).withColumn("g", F.xxhash64("k", F.lit("m"), "of", F.col("j").cast("long")))
+    rest = rows.where("comp <> major")
+    across = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("bm") - 1)).alias("i")).withColumn("g", F.xxhash64("k", F.lit("m"), F.col("i").cast("long"), "of"))
+    within = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("br") - 1)).alias("j")).withColumn("g", F.xxhash64("k", F.lit("r"), F.least("of", F.col("j").cast("long")), F.greatest("of", F.col("j").cast("long"))))
+    dealt = [x.select(F.col("g").alias("k"), "node", "comp", *names) for x in (major, across, within)]
+    return light.unionByName(pairs(dealt[0].unionByName(dealt[1]).unionByName(dealt[2]))).distinct()
+
+
+def _compare(most: int, reach: int | None):
+    """Over rows sorted by their first column (a group): links between components of a group's rows, ``reach`` apart at most.
+
+    The links go out as a spanning forest of those the task found, at most one edge a component.
+    """
+
+    def run(batches):
+        rest, left, right, held = None, [], [], 0
         for b in batches:
-            x = b.to_pandas()
-            x = x if rest is None else pd.concat([rest, x], ignore_index=True)
-            for u, v in _edges(x, reach, most, len(rest) if rest is not None else 0, first, names):
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
+            old = 0 if rest is None else rest.shape[1]
+            x = x if rest is None else np.concatenate([rest, x], axis=1)
+            for u, v in _close(x, most, reach, old):
                 left.append(u)
                 right.append(v)
                 held += len(u)
             if held > HELD:
                 u, v = forest(np.concatenate(left), np.concatenate(right))
-                left, right, held = [u], [v], 0
-            last = x.iloc[-1]
-            same = (x.t.values == last.t) & (x.key.values == last.key)
-            lead = x[same].iloc[0]
-            first = first if first is not None and (first["t"], first["key"]) == (last.t, last.key) else lead.to_dict()
-            rest = x[same].iloc[-reach:].reset_index(drop=True)
+                left, right, held = [u], [v], len(u)
+            if x.shape[1]:
+                same = int(np.flatnonzero(np.r_[True, x[0, 1:] != x[0, :-1]])[-1])  # where the last group starts
+                rest = x[:, max(same, x.shape[1] - reach) if reach else same :].copy()
         if left:
             u, v = forest(np.concatenate(left), np.concatenate(right))
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    # by range, so that a bucket of any size is spread over tasks; at a cut only the pairs across it go unseen in that table
-    spread = tables.repartitionByRange("t", "key", *names).sortWithinPartitions("t", "key", *names)
-    edges = scratch.save(spread.mapInArrow(compare, "u long, v long").distinct(), "edges")
-    roots = connected_components(edges, scratch)
-    roots = roots.select(F.col("node").alias("of"), "root")
-    whole = scratch.save(nodes.join(roots, F.col("node") == F.col("of"), "left").select(*names, F.coalesce("root", "node").alias("component")), "classes")
-    return fps.join(whole, names).select("id", "component")
-
+    return run
 
-def _edges(x, reach: int, most: int, old: int, first: dict | None, names: list[str]):
-    """Pairs of rows of ``x`` in one bucket, up to ``reach`` apart or with the bucket's first, that are close enough."""
-    t, key, node = x.t.values, x.key.values, x.node.values
-    words = x[names].values.astype(np.int64).view(np.uint64)
-    out = []
 
-    def close(i, j):
-        ok = np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= most
-        if ok.any():
-            out.append((node[i[ok]], node[j[ok]]))
-
-    n = len(x)
-    for step in range(1, reach + 1):
-        if step >= n:
-            break
-        j = np.arange(max(step, old), n)
-        i = j - step
-        same = (t[i] == t[j]) & (key[i] == key[j])
-        if not same.any():
+def _close(x: np.ndarray, most: int, reach: int | None, old: int):
+    """Per distance in the order, the links (components) of rows so far apart in one group; the later row is at ``old`` or after."""
+    key, comp, words = x[0], x[2], x[3:].view(np.uint64)
+    n, step = len(key), 1
+    first = np.arange(n)
+    while step < n and (reach is None or step <= reach):
+        first = first[first < n - step]
+        first = first[key[first] == key[first + step]]  # groups are runs: what ends here, ends for all longer steps
+        if not len(first):
             break
-        close(i[same], j[same])
-    starts = np.r_[True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])] if n else np.array([], dtype=bool)
-    lead = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
-    j = np.arange(old, n)
-    close(lead[j][lead[j] != j], j[lead[j] != j])
-    if first is not None:
-        j = np.flatnonzero((t == first["t"]) & (key == first["key"]) & (np.arange(n) >= old))
-        fw = np.array([first[k] for k in names], dtype=np.int64).view(np.uint64)
-        ok = np.bitwise_count(words[j] ^ fw).sum(axis=1) <= most
+        i = first[first + step >= old]
+        j = i + step
+        ok = comp[i] != comp[j]
+        i, j = i[ok], j[ok]
+        bits = np.zeros(len(i), dtype=np.uint16)
+        for w in words:
+            bits += np.bitwise_count(w[i] ^ w[j])
+        ok = bits <= most
         if ok.any():
-            out.append((np.full(ok.sum(), first["node"]), node[j[ok]]))
-    return [(u.astype(np.int64), v.astype(np.int64)) for u, v in out]
+            yield comp[i[ok]], comp[j[ok]]
+        step += 1

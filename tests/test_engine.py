@@ -7,8 +7,8 @@ from pyspark.sql import Row, functions as F
 
 from tidemill import schema
 from tidemill.functions import symbols, timeutil as tu
-from tidemill.operators import analytics as an, calendar as cal, catalog, continuous as co, ingest, integrity, migrate
-from tidemill.sources import reference_data as ref, store
+from tidemill.operators import analytics as an, calendar as cal, catalog, continuous as co, ingest, integrity, migrate, resilience
+from tidemill.sources import maintenance as care, reference_data as ref, store
 from tidemill.streaming import ingest as stream
 
 NS = 1_700_000_000_000_000_000
@@ -160,3 +160,101 @@ def test_stream_is_idempotent(spark, tmp_path):
         q = stream.ingest_stream(stream.raw_stream(spark, src), root, str(tmp_path / checkpoint), on_batch=lambda n, w: seen.append(sum(r.row_count for r in w.collect())))
         q.awaitTermination()
     assert seen[0] == seen[1] == store.count(spark, root, "WDOJ26") > 250
+
+
+def test_catalog_queries_equal_their_sql(spark):
+    import duckdb
+    from tidemill.plans import catalogue
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("events", "orders", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    for q in ("error_category", "chunk_split", "job_progress", "symbol_density", "timing_percentiles", "resumable_job", "partitions_of_job_or_symbol"):
+        got = catalogue.QUERIES[q](spark, d).toPandas()
+        want = con.sql(catalogue.ORACLE_SQL[q]).df()[list(got.columns)]
+        by = list(got.columns)
+        assert len(got) == len(want) > 0 and got.sort_values(by).round(9).astype(str).values.tolist() == want.sort_values(by).round(9).astype(got.dtypes.to_dict()).astype(str).values.tolist(), q
+
+
+def test_retries_by_category():
+    waits, calls = [], []
+    retry = resilience.Retry(jitter=0.0, sleep=waits.append)
+
+    def job(code, ok_at):
+        calls.append(code)
+        if len(calls) < ok_at:
+            raise RuntimeError(code)
+        return "done"
+
+    of = lambda e: resilience.category_of(e.args[0])
+    assert retry.run(lambda: job(-2147483647, 4), of) == "done" and waits == [30.0, 60.0, 120.0]
+    for code, most in ((-2147483627, 3), (-2147483645, 1), (5, 1)):
+        calls.clear()
+        with pytest.raises(RuntimeError):
+            retry.run(lambda c=code: job(c, 99), of)
+        assert len(calls) == most
+    tries = iter([([], 90.0), ([1], 99.0), ([2], 95.0)])
+    assert resilience.best_of(lambda: next(tries)) == ([1], 99.0)
+
+
+def test_circuit_breaker():
+    now = [0.0]
+    b = resilience.CircuitBreaker(threshold=2, window=10, cooldown=5, clock=lambda: now[0])
+
+    def fail():
+        raise OSError
+
+    for t in (0.0, 20.0, 21.0):  # the first is out of the window by then
+        now[0] = t
+        with pytest.raises(OSError):
+            b.call(fail)
+    assert b.state == "open"
+    with pytest.raises(resilience.CircuitOpen):
+        b.call(int)
+    now[0] = 27.0
+    with pytest.raises(OSError):
+        b.call(fail)  # the trial fails: twice the wait
+    now[0] = 33.0
+    assert b.state == "open"
+    now[0] = 38.0
+    assert b.call(int) == 0 and b.state == "closed"
+
+
+def test_care_of_a_store(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    t = ingest.dedup(ingest.sequence(trades(spark)))
+    store.write(t.drop("arrival"), root)
+    used = care.storage_used(spark, root).first()
+    empty = lambda n: spark.createDataFrame([], catalog.TABLES[n][0])
+    cache = care.checksums(spark, root, empty("_checksum_cache"))
+    assert used.n_files == cache.count() > 0 and used.n_bytes == cache.agg(F.sum("file_size_bytes")).first()[0]
+    marked = spark.createDataFrame(cache.withColumn("checksum_sha256", F.lit("kept")).collect(), cache.schema)
+    assert {r.checksum_sha256 for r in care.checksums(spark, root, marked).collect()} == {"kept"}
+    parts = care.register_missing(spark, root, empty("partitions"))
+    assert parts.agg(F.sum("row_count")).first()[0] == t.count() and parts.count() == used.n_files
+    assert care.register_missing(spark, root, parts).count() == used.n_files
+    for bad in ("../lake", "/etc", "a/../../b", "", "file:/x"):
+        with pytest.raises(ValueError, match="below the root"):
+            care.delete_partition(spark, root, parts, bad)
+    (tmp_path / "lake" / "x.tmp.parquet").write_bytes(b"x")
+    assert care.remove_stale(spark, root) == [] and care.remove_stale(spark, root, 0) == ["x.tmp.parquet"]
+    one = parts.first().partition_path
+    kept = spark.createDataFrame(parts.collect(), parts.schema)
+    assert care.delete_partition(spark, root, kept, one).count() == used.n_files - 1
+    assert care.storage_used(spark, root).first().n_files == used.n_files - 1
+
+
+def test_store_migration_and_rollback(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    old = ingest.dedup(ingest.sequence(trades(spark))).drop("arrival")
+    n = old.count()
+    store.with_keys(old.drop("buy_agent_name", "sell_agent_name", "trade_type_name")).write.partitionBy(*store.KEYS).parquet(root)
+    backup = care.migrate_store(spark, root, "1.0.0", run="a")
+    new = store.scan(spark, root)
+    assert new.count() == n and new.where("trade_type is not null and trade_type_name is null").isEmpty()
+    care.rollback(spark, root, backup)
+    assert "trade_type_name" not in spark.read.parquet(root).columns
+    backup = care.migrate_store(spark, root, "1.0.0", run="b")
+    assert care.clean_backups(spark, root) == [] and care.clean_backups(spark, root, 0) == ["lake.backup-b"] and store.exists(spark, root)
+    with pytest.raises(ValueError, match="no backup"):
+        care.rollback(spark, root, backup)

@@ -82,3 +82,15 @@ def compaction_recovery(compactions: DataFrame, partitions: DataFrame) -> DataFr
     rows = partitions.groupBy(*key).agg(F.sum(F.when(F.col("day").isNull(), F.col("row_count"))).alias("monthly"), F.sum(F.when(F.col("day").isNotNull(), F.col("row_count"))).alias("daily"))
     ok = (F.coalesce("monthly", F.lit(0)) >= F.coalesce("daily", F.lit(0))) & (F.coalesce("monthly", F.lit(0)) > 0)
     return compactions.where("completed_at is null").join(rows, key, "left").select(*key, F.when(ok, "complete").otherwise("revert").alias("action"))
+
+
+def density(partitions: DataFrame) -> DataFrame:
+    """Rows and rows a MB of each symbol."""
+    rows = partitions.groupBy("symbol").agg(F.sum("row_count").alias("n_rows"), F.sum("file_size_bytes").alias("b"))
+    return rows.select("symbol", "n_rows", (F.col("n_rows") / F.nullif(F.col("b") / 1048576.0, F.lit(0.0))).alias("rows_per_mb"))
+
+
+def resumable(downloads: DataFrame, key: list[str]) -> DataFrame:
+    """Of each key (as symbol, exchange and the exact range) the unfinished job started last."""
+    rows = downloads.where(F.col("status").isin("partial", "failed", "in_progress") & F.col("started_at").isNotNull())
+    return rows.groupBy(*key).agg(F.max_by("job_id", F.struct("started_at", "job_id")).alias("job_id"))

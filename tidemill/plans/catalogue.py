@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import schema
 from ..functions import symbols, timeutil as tu
-from ..operators import analytics as an, calendar as cal, catalog, continuous as co, ingest, integrity, migrate
+from ..operators import analytics as an, calendar as cal, catalog, continuous as co, ingest, integrity, migrate, resilience
 from .views import CONTRACTS, LINES_SQL, TICKS_SQL, contracts, lines, table, ticks
 
 QUERIES: dict = {}
@@ -423,3 +423,43 @@ def contract_code_parts(spark: SparkSession, d: str) -> DataFrame:
     raw = F.when(k == 0, "WDO").when(k == 1, " win ").when(k == 2, "PETR4").otherwise(dated)
     s = F.trim(F.upper(raw))
     return table(spark, d, "part").select("p_partkey", symbols.resolve_alias(raw).alias("alias"), symbols.is_dated_contract(s).alias("dated"), symbols.is_equity(s).alias("equity"), symbols.looks_like_root(s).alias("root"), symbols.month_of_letter(F.substring(s, 4, 1)).alias("month"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN c IN (-2147483647, -2147483644) THEN 'transient' WHEN c IN (-2147483636, -2147483627) THEN 'ambiguous' WHEN c = 0 OR c BETWEEN -2147483647 AND -2147483616 OR c BETWEEN -2147483393 AND -2147483389 THEN 'permanent' ELSE 'unknown' END AS category FROM (SELECT *, CASE WHEN l_partkey % 50 = 49 THEN 0 WHEN l_partkey % 50 = 48 THEN -2147483391 ELSE l_partkey % 50 - 2147483648 END AS c FROM lineitem)")
+def error_category(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("l_partkey") % 50
+    code = F.when(k == 49, 0).when(k == 48, -2147483391).otherwise(k - 2147483648)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", resilience.error_category(code).alias("category"))
+
+
+@query(f"WITH {_LEDGER}, chunks AS (SELECT symbol, 7 * sum(trades_count) + 3 AS n FROM ledger GROUP BY symbol), days AS (SELECT symbol, chunk_date, count(*) OVER (PARTITION BY symbol) AS k, max(chunk_date) OVER (PARTITION BY symbol) AS z FROM ledger) SELECT symbol, chunk_date, (n // k + CASE WHEN chunk_date = z THEN n - (n // k) * k ELSE 0 END)::BIGINT AS trades_count FROM days JOIN chunks USING (symbol)", ("chunk_date",))
+def chunk_split(spark: SparkSession, d: str) -> DataFrame:
+    ledger = _ledger(spark, d)
+    return resilience.split_evenly(ledger.groupBy("symbol").agg((7 * F.sum("trades_count") + 3).alias("trades_count")), ledger.select("symbol", "chunk_date"), ["symbol"])
+
+
+@query(f"WITH {_LEDGER}, j AS (SELECT job_id, count(*) AS total, count(*) FILTER (WHERE status <> 'failed') AS done, sum(trades_count)::BIGINT AS trades FROM ledger GROUP BY job_id) SELECT job_id, total, done, trades / 60.0::DOUBLE AS trades_per_s, done * 3600.0::DOUBLE / 60 AS chunks_per_h, (total - done) * 60 / nullif(done, 0)::DOUBLE AS eta_s FROM j")
+def job_progress(spark: SparkSession, d: str) -> DataFrame:
+    jobs = _ledger(spark, d).groupBy("job_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") != "failed").alias("done"), F.sum("trades_count").alias("trades"))
+    return jobs.withColumns(resilience.progress(F.col("total"), F.col("done"), F.col("trades"), F.lit(60))).drop("trades")
+
+
+@query(f"WITH {_PARTS} SELECT symbol, sum(row_count)::BIGINT AS n_rows, sum(row_count) / nullif(sum(file_size_bytes) / 1048576.0, 0) AS rows_per_mb FROM parts GROUP BY symbol")
+def symbol_density(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.density(_parts(spark, d))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
+def timing_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.99), 6).alias("p99"))
+
+
+@query(f"WITH {_JOBS} SELECT dll_version, arg_max(job_id, (epoch_us(started_at), job_id)) AS job_id FROM jobs WHERE status IN ('partial', 'failed') AND started_at IS NOT NULL GROUP BY dll_version")
+def resumable_job(spark: SparkSession, d: str) -> DataFrame:
+    """Per version the job started last that may go on."""
+    return catalog.resumable(_jobs(spark, d), ["dll_version"]).select("dll_version", "job_id")
+
+
+@query(f"WITH {_PARTS} SELECT partition_path, symbol FROM parts WHERE job_id = 'j7' OR symbol = 'click'")
+def partitions_of_job_or_symbol(spark: SparkSession, d: str) -> DataFrame:
+    return _parts(spark, d).where("job_id = 'j7' or symbol = 'click'").select("partition_path", "symbol")

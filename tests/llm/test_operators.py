@@ -327,3 +327,29 @@ def test_pipeline(spark, tmp_path):
             assert ids == {None, 300, *range(60)}
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and max(r.offset + r.length for r in out) <= 2048
+
+
+def test_near_duplicates_of_odd_tables(spark):
+    shape = "doc_id long, text string, node long, comp long, f0 string, k long, t int"
+    text = " ".join(f"w{i}" for i in range(90))
+    rows = [(4, text, 1, 1, "a", 1, 1), (2, text, 1, 1, None, 1, 1), (2, text, None, None, None, None, None), (9, "a b", 1, 1, "a", 1, 1), (7, "A  b", 1, 1, "a", 1, 1), (None, text, 1, 1, "a", 1, 1), (5, "", 1, 1, "a", 1, 1), (6, None, 1, 1, "a", 1, 1)]
+    got = sorted((r.id, r.component) for r in simhash.near_duplicates(spark.createDataFrame(rows, shape)).collect())
+    assert got == [(2, 2), (2, 2), (4, 2), (7, 7), (9, 7)]
+    assert simhash.near_duplicates(spark.createDataFrame([], shape)).count() == 0
+
+
+@pytest.mark.parametrize("rows", ["none", "nulls"])
+def test_queries_on_empty_and_null_tables(spark, tmp_path, rows):
+    import corpus_pipeline
+    from tidemill.llm import queries
+
+    shapes = {
+        "documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string",
+        "embeddings": "vec_id long, embedding array<float>, label int", "conversations": "conv_id long, turn long, role string, text string", "benchmark": "item_id long, text string",
+    }
+    for name, shape in shapes.items():
+        n = shape.count(",") + 1
+        spark.createDataFrame([] if rows == "none" else [(None,) * n] * 3, shape).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, q in (queries.queries() | {"pipeline": corpus_pipeline.run}).items():
+        got = q(spark, str(tmp_path)).collect()
+        assert got == [] if rows == "none" else len(got) <= 9, name

@@ -169,7 +169,7 @@ def test_catalog_queries_equal_their_sql(spark):
     d, con = "/root/testdata/sf0.001", duckdb.connect()
     for t in ("events", "orders", "lineitem"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
-    for q in ("error_category", "chunk_split", "job_progress", "symbol_density", "timing_percentiles", "resumable_job", "partitions_of_job_or_symbol"):
+    for q in ("error_category", "chunk_split", "job_progress", "symbol_density", "timing_percentiles", "resumable_job", "contract_probe", "partitions_of_job_or_symbol"):
         got = catalogue.QUERIES[q](spark, d).toPandas()
         want = con.sql(catalogue.ORACLE_SQL[q]).df()[list(got.columns)]
         by = list(got.columns)
@@ -258,3 +258,19 @@ def test_store_migration_and_rollback(spark, tmp_path):
     assert care.clean_backups(spark, root) == [] and care.clean_backups(spark, root, 0) == ["lake.backup-b"] and store.exists(spark, root)
     with pytest.raises(ValueError, match="no backup"):
         care.rollback(spark, root, backup)
+
+
+def test_health_and_conditional_compaction(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    assert [r.passed for r in care.health(spark, root, 0).collect()] == [False, True, True, True]
+    store.write(ingest.dedup(ingest.sequence(trades(spark))).drop("arrival"), root)
+    assert all(r.passed for r in care.health(spark, root, 0).collect())
+    assert [r.check for r in care.health(spark, root, 1 << 62).where("not passed").collect()] == ["space"]
+    day = date(2023, 11, 14)
+    days = spark.createDataFrame([(day,)], "day date")
+    ledger = lambda status: spark.createDataFrame([("WDOJ26", "F", day, "j", status, 5, None)], catalog.TABLES["chunk_ledger"][0])
+    none = spark.createDataFrame([], catalog.TABLES["compactions"][0])
+    month = ("F", "WDOJ26", 2023, 11, days)
+    assert care.compact_if_complete(spark, root, str(tmp_path / "m"), *month, ledger("failed"), none)[0] is None
+    n, log = care.compact_if_complete(spark, root, str(tmp_path / "m"), *month, ledger("completed"), none)
+    assert n == store.count(spark, root, "WDOJ26") > 0 and [(r.symbol, r.status) for r in log.collect()] == [("WDOJ26", "completed")]

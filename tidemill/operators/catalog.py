@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.timeutil import day_of
+
 #: Tables and their keys.
 TABLES = {
     "downloads": ("job_id string, symbol string, exchange string, requested_start timestamp_ntz, requested_end timestamp_ntz, actual_start timestamp_ntz, actual_end timestamp_ntz, status string, trades_count bigint, started_at timestamp_ntz, completed_at timestamp_ntz, error string, dll_version string, cli_invocation string", ["job_id"]),
@@ -94,3 +96,12 @@ def resumable(downloads: DataFrame, key: list[str]) -> DataFrame:
     """Of each key (as symbol, exchange and the exact range) the unfinished job started last."""
     rows = downloads.where(F.col("status").isin("partial", "failed", "in_progress") & F.col("started_at").isNotNull())
     return rows.groupBy(*key).agg(F.max_by("job_id", F.struct("started_at", "job_id")).alias("job_id"))
+
+
+def probe(contracts: DataFrame, trades: DataFrame, first_hour: int = 9, last_hour: int = 18) -> DataFrame:
+    """Contracts with ``valid``: whether their code has trades between these hours of a day inside their validity."""
+    hour = F.expr("timestamp_ns div 3600000000000 % 24")
+    days = trades.where(hour.between(first_hour, last_hour - 1)).select("symbol", day_of(F.col("timestamp_ns")).alias("day")).groupBy("symbol", "day").agg(F.count("*").alias("n"))
+    c = contracts.select("symbol_root", "contract_code", "vigent_from", "vigent_until")
+    hit = c.join(days, (F.col("contract_code") == F.col("symbol")) & F.col("day").between(F.col("vigent_from"), F.col("vigent_until")), "left")
+    return hit.groupBy(*c.columns).agg((F.coalesce(F.sum("n"), F.lit(0)) > 0).alias("valid"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_trades"))

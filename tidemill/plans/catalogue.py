@@ -463,3 +463,8 @@ def resumable_job(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_PARTS} SELECT partition_path, symbol FROM parts WHERE job_id = 'j7' OR symbol = 'click'")
 def partitions_of_job_or_symbol(spark: SparkSession, d: str) -> DataFrame:
     return _parts(spark, d).where("job_id = 'j7' or symbol = 'click'").select("partition_path", "symbol")
+
+
+@query(f"WITH c AS ({CONTRACTS}), h AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS day FROM events WHERE hour(ts) BETWEEN 9 AND 17) SELECT contract_code, count(h.symbol) > 0 AS valid, count(h.symbol) AS n_trades FROM c LEFT JOIN h ON contract_code = symbol AND day BETWEEN vigent_from AND vigent_until GROUP BY symbol_root, contract_code, vigent_from, vigent_until")
+def contract_probe(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.probe(contracts(spark), ticks(spark, d)).select("contract_code", "valid", "n_trades")

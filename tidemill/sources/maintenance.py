@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema
-from ..operators import catalog, migrate
+from ..operators import calendar, catalog, migrate
 from . import store
 
 BACKUP = ".backup-"
@@ -121,3 +121,33 @@ def clean_backups(spark: SparkSession, root: str, older_days: float = 30.0) -> l
             fs.delete(f.getPath(), True)
             gone.append(name)
     return gone
+
+
+def compact_if_complete(spark: SparkSession, root: str, out: str, exchange: str, symbol: str, year: int, month: int, days: DataFrame, ledger: DataFrame, compactions: DataFrame) -> tuple[int | None, DataFrame]:
+    """Compacts a month whose business days (``days``) the ledger all has as done; returns its rows and the compactions.
+
+    An incomplete month yields None and leaves the compactions as they are.
+    """
+    inside = days.where((F.year("day") == year) & (F.month("day") == month))
+    own = ledger.where((F.col("symbol") == symbol) & (F.col("exchange") == exchange))
+    complete = calendar.month_complete(inside, own).where(F.col("complete"))
+    if complete.isEmpty():
+        return None, compactions
+    began = spark.sql("SELECT localtimestamp() AS t").first()[0]
+    n = store.compact(spark, root, out, exchange, symbol, year, month)
+    done = spark.sql("SELECT localtimestamp() AS t").first()[0]
+    line = spark.createDataFrame([(symbol, exchange, year, month, began, done, "completed")], compactions.schema)
+    return n, catalog.upsert(compactions, line, catalog.TABLES["compactions"][1])
+
+
+def health(spark: SparkSession, root: str, free_bytes: int = 1 << 30) -> DataFrame:
+    """Checks of an installation, one row each: the lake is there, its columns are the schema's, space is left, nothing is stale."""
+    there = store.exists(spark, root)
+    fs, p = _fs(spark, root)
+    left = fs.getStatus(p if there else p.getParent()).getRemaining()
+    odd = sorted(set(spark.read.option("mergeSchema", "true").parquet(root).columns) - set(store._file_schema().names)) if there else []
+    stale, files = 0, fs.listFiles(p, True) if there else None
+    while files is not None and files.hasNext():
+        stale += ".tmp." in files.next().getPath().getName()
+    rows = [("store", there, root), ("columns", not odd, ", ".join(odd)), ("space", left >= free_bytes, f"{left} bytes left"), ("stale_files", stale == 0, str(stale))]
+    return spark.createDataFrame(rows, "check string, passed boolean, detail string")

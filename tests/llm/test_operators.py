@@ -117,14 +117,37 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, block):
             rows.append((len(rows), " ".join(at)))
     rng.shuffle(rows)
     got = {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     fps = {i: simhash.wide_fingerprint(t.encode(), 5) for i, t in rows}
-    most, masks = simhash._most_bits(0.8), [m % 2**64 for m in simhash.WIDE_MASKS]
-    near = [(a, b) for a in fps for b in fps if a < b and sum((x ^ y).bit_count() for x, y in zip(fps[a], fps[b])) <= most]
-    meet = [(a, b) for a, b in near if any((x ^ y) & m == 0 for x, y in zip(fps[a], fps[b]) for m in masks)]
-    assert len(meet) > 0.9 * len(near)
-    low, high = roots(fps, meet), roots(fps, near)
+    most, masks = simhash._most_bits(0.8, simhash.SLACK), [m % 2**64 for m in simhash.WIDE_MASKS]
+    within = [(a, b) for a, b in near if sum((x ^ y).bit_count() for x, y in zip(fps[a], fps[b])) <= most]
+    meet = [(a, b) for a, b in within if any((x ^ y) & m == 0 for x, y in zip(fps[a], fps[b]) for m in masks)]
+    assert len(near) > 400 and len(meet) > 0.97 * len(near)
+    up = roots(sets, near)
     assert all(got[a] == got[b] for a, b in meet)  # no link of a common bucket is lost
-    assert all(got[i] == low[i] or got[i] == high[i] or high[got[i]] == high[i] for i in fps)  # and none is made up
+    assert all(up[got[i]] == up[i] for i in sets)  # and none is made up
+
+
+def test_exact_check_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PARTNERS", 3)  # a document of many partners has several groups
+    rng = random.Random(2)
+    at = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(w if rng.random() > 0.01 * (i % 6) else f"x{i}" for w in at)) for i in range(25)]
+    rows += [(3, rows[4][1]), (None, rows[0][1]), (50, ""), (51, None)]  # id 3 repeats: either text counts
+    pairs = [(a, b) for a in range(25) for b in range(a + 1, 25)] + [(0, 50), (50, 51)]
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for i, w in ((i, (t or "").split()) for i, t in rows)]
+    alike = lambda x, y: len(x | y) > 0 and len(x & y) / len(x | y) >= 0.8
+    want = {(a, b) for a, b in pairs if any(alike(x, y) for i, x in sets if i == a for j, y in sets if j == b)}
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = simhash._similar(df, spark.createDataFrame(pairs, "u long, v long"), 5, 0.8, Scratch(spark, "t"), "t").collect()
+    assert 20 < len(want) < len(pairs) - 20 and len(got) == len(want) and {(r.u, r.v) for r in got} == want
+
+
+def test_spanning_forest_of_least_bits():
+    found = np.array([(1, 2, 1, 2, 9), (2, 3, 2, 3, 1), (1, 3, 1, 3, 2), (7, 8, 7, 8, 5), (1, 3, 1, 3, 2)]).T
+    assert sorted(map(tuple, simhash.spanning(found)[:2].T.tolist())) == [(1, 3), (2, 3), (7, 8)]
+    assert simhash.spanning(found[:, :0]).shape == (5, 0)
 
 
 def test_components_of_chains_and_stars(spark):

@@ -115,16 +115,20 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2, id_col:
 
 # --- wider similarity, for corpus cleaning ------------------------------------------------
 
-#: Links a task holds before it contracts them.
-HELD = 500_000
 #: Words of 64 bits in the wide fingerprint.
 WIDE = 4
 #: In each of them, any 2 of 7 runs of bits make a key: covers 5 differing bits a word, 23 in all.
 WIDE_MASKS = block_masks(7, 2)
+#: Standard deviations by which a candidate's differing bits may exceed those expected at the similarity sought.
+SLACK = 2
 #: Buckets up to this size are compared in one task; larger ones in pairs of blocks of about this size.
 BLOCK = 2048
 #: Neighbours in sorted order that the contracting pass compares, and the rotations of each word it sorts by.
 NEXT, TURNS = 24, (0, 21, 42)
+#: Links a task of that pass holds before it reduces them to a forest.
+HELD = 500_000
+#: Partners whose sets one group of the exact check streams past a document's own.
+PARTNERS = 512
 
 
 def wide_fingerprint(text: bytes | None, width: int) -> list[int]:
@@ -133,19 +137,23 @@ def wide_fingerprint(text: bytes | None, width: int) -> list[int]:
     return [majority(h if i == 0 else mix(h + np.uint64((i * 0x9E3779B97F4A7C15) % 2**64))) for i in range(WIDE)]
 
 
-def _most_bits(similarity: float) -> int:
-    """Differing bits expected at this Jaccard similarity of two sets of like size."""
-    return int(WIDE * BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def _most_bits(similarity: float, slack: float) -> int:
+    """Differing bits expected at this Jaccard similarity of two sets of like size, and ``slack`` standard deviations."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    n = WIDE * BITS
+    return int(n * p + slack * np.sqrt(n * p * (1 - p)))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id`` and ``component`` (smallest id of its group of near duplicates) of each document.
 
-    Documents link when their 256-bit SimHash fingerprints over sets of ``width``-word shingles differ
-    in no more bits than sets of that Jaccard ``similarity`` do on average.  All pairs that share a
-    bucket of a masked table are compared, but for those already known to be in one group: a first
-    pass over sorted fingerprints links most of each dense group, so that a group of any size
-    isn't compared with itself pair by pair.  Wordless texts and null ids aren't grouped.
+    Documents link when the sets of their ``width``-word shingles have a Jaccard similarity of at
+    least ``similarity``, counted on 64-bit hashes.  Candidates are the pairs that share a bucket of a masked
+    table and whose 256-bit SimHash fingerprints differ in few enough bits; every link is checked exactly.
+    Pairs already known to be in one group are spared: a first pass over sorted fingerprints
+    links most of each dense group, and then the closest candidates between two groups go before the others.
+    Texts with equal fingerprints count as one.  Wordless texts and null ids aren't grouped;
+    rows that repeat an id are one document, similar to another if any of its texts is.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     names = [f"f{i}" for i in range(WIDE)]
@@ -159,29 +167,97 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     fps = scratch.save(rows.mapInArrow(run, f"id long, {', '.join(f'{n} long' for n in names)}").where(" or ".join(f"{n} <> 0" for n in names)), "fps")
     nodes = scratch.save(fps.groupBy(*names).agg(F.min("id").alias("node")), "nodes")
-    groups = _contract(nodes, names, _most_bits(similarity), scratch)
-    edges = scratch.save(_bucket_links(groups, names, _most_bits(similarity), scratch), "edges")
-    roots = connected_components(edges, scratch, "all").select(F.col("node").alias("of"), "root")
-    whole = scratch.save(groups.join(roots, F.col("comp") == F.col("of"), "left").select(*names, F.coalesce("root", "comp").alias("component")), "classes")
-    return fps.join(whole, names).select("id", "component")
 
+    def check(pairs: DataFrame, name: str) -> DataFrame:
+        return _similar(rows, pairs, width, similarity, scratch, name)
+
+    groups = nodes.select("node", F.col("node").alias("comp"), *names)
+    dense = scratch.save(_sorted_links(groups, names, _most_bits(similarity, 0), scratch), "dense")
+    groups = _merge(groups, check(dense, "dense"), names, scratch, "dense")
+    pairs = scratch.save(_bucket_links(groups, names, _most_bits(similarity, SLACK), scratch), "pairs")
+    between = F.least("cu", "cv"), F.greatest("cu", "cv")
+    closest = scratch.save(pairs.groupBy(between[0].alias("a"), between[1].alias("b")).agg(F.min(F.struct("bits", "u", "v")).alias("p")).select("p.u", "p.v"), "closest")
+    groups = _merge(groups, check(closest, "closest"), names, scratch, "closest")
+    of = groups.select("node", "comp").distinct()
+    open_ = pairs.select("u", "v").join(closest, ["u", "v"], "left_anti").join(of.toDF("u", "ou"), "u").join(of.toDF("v", "ov"), "v").where("ou <> ov").select("u", "v")
+    groups = _merge(groups, check(scratch.save(open_.distinct(), "open"), "open"), names, scratch, "open")
+    return fps.join(groups, names).select("id", F.col("comp").alias("component"))
+
+
+def _merge(groups: DataFrame, links: DataFrame, names: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """``groups`` with the components (smallest node) of their own links and the new ones."""
+    of = groups.select("node", "comp").distinct()
+    edges = links.unionByName(of.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v")))
+    roots = connected_components(edges, scratch, f"{name}_cc").select(F.col("node").alias("of"), "root")
+    return scratch.save(groups.join(roots, F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("comp"), *names), f"{name}_groups")
 
-def _contract(nodes: DataFrame, names: list[str], most: int, scratch: Scratch) -> DataFrame:
-    """``nodes`` with ``comp``: components of links between neighbours in sorted order.
+
+def _similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
+    """Of ``pairs`` (``u``, ``v``) those whose sets of shingles are similar enough.
+
+    The partners' sets stream past ``u``'s own, which alone is held; a ``u`` of many partners has several groups.
+    """
+    if pairs.isEmpty():
+        return pairs.select("u", "v")
+
+    def sets(batches):
+        for b in batches:
+            found = [np.unique(shingle_hashes(t, width)).tobytes() for t in utf8(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.large_binary())], names=["id", "s"])
+
+    def compare(batches):
+        hub, held = None, []
+        for b in batches:
+            us, parts, vs = (b.column(i).to_pylist() for i in range(3))
+            left, right = [], []
+            for u, part, v, s in zip(us, parts, vs, b.column(3)):
+                own = np.frombuffer(s.as_buffer(), dtype=np.uint64)
+                if (u, part) != hub:
+                    hub, held = (u, part), []
+                if v is None:
+                    held.append(own.copy())
+                elif any(_jaccard(own, x) >= similarity for x in held):
+                    left.append(u)
+                    right.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["u", "v"])
+
+    need = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    found = scratch.save(rows.join(need, "id").mapInArrow(sets, "id long, s binary"), f"{name}_sets")
+    parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).alias("parts"))
+    hubs = parts.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("v"))
+    partners = pairs.join(parts, "u").select("u", F.pmod(F.xxhash64("v"), "parts").alias("part"), "v")
+    sent = hubs.join(found, F.col("u") == F.col("id")).unionByName(partners.join(found, F.col("v") == F.col("id"))).drop("id")
+    dealt = sent.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first()).select("u", "part", "v", "s")
+    links = scratch.save(dealt.mapInArrow(compare, "u long, v long").distinct(), f"{name}_links")
+    scratch.drop(f"{name}_sets")
+    return links
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays without repeats."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0.0
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def _sorted_links(groups: DataFrame, names: list[str], most: int, scratch: Scratch) -> DataFrame:
+    """Pairs within ``most`` bits that stand close in some sorted order, as a forest of the closest in each task.
 
     What it misses costs later comparisons, not links.
     """
     turn = lambda n, by: F.shiftleft(n, by).bitwiseOR(F.shiftrightunsigned(n, BITS - by)) if by else F.col(n)
     orders = F.array(*(F.struct(F.lit(i * len(TURNS) + j).alias("t"), turn(n, by).alias("r")) for i, n in enumerate(names) for j, by in enumerate(TURNS)))
-    tables = nodes.select("node", *names, F.explode(orders).alias("o")).select("o.t", "o.r", "node", *names)
+    tables = groups.select("node", "comp", *names, F.explode(orders).alias("o")).select("o.t", "o.r", "node", "comp", *names)
     spread = tables.repartitionByRange("t", "r", *names).sortWithinPartitions("t", "r", *names)
-    edges = scratch.save(spread.select("t", "node", F.col("node").alias("comp"), *names).mapInArrow(_compare(most, NEXT), "u long, v long").distinct(), "dense")
-    roots = connected_components(edges, scratch, "dense_cc").select(F.col("node").alias("of"), "root")
-    return scratch.save(nodes.join(roots, F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("comp"), *names), "groups")
+    found = spread.select("t", "node", "comp", *names).mapInArrow(_compare(most, NEXT), PAIR_SCHEMA)
+    return found.select("u", "v").distinct()
 
 
 def _bucket_links(groups: DataFrame, names: list[str], most: int, scratch: Scratch) -> DataFrame:
-    """Edges between components that have nodes in a common bucket within ``most`` bits.
+    """All pairs of nodes of different components that meet in a bucket within ``most`` bits.
 
     A bucket of over ``BLOCK`` nodes is dealt in blocks: its largest component against the rest,
     and the rest against itself, each pair of blocks a group of its own.
@@ -192,7 +268,7 @@ def _bucket_links(groups: DataFrame, names: list[str], most: int, scratch: Scrat
 
     def pairs(rows: DataFrame) -> DataFrame:
         dealt = rows.repartition("k").sortWithinPartitions("k").select("k", "node", "comp", *names)
-        return dealt.mapInArrow(_compare(most, None), "u long, v long").distinct()
+        return dealt.mapInArrow(_compare(most, None), PAIR_SCHEMA).distinct()
 
     if heavy.isEmpty():
         return pairs(tables)
@@ -210,38 +286,68 @@ def _bucket_links(groups: DataFrame, names: list[str], most: int, scratch: Scrat
     return light.unionByName(pairs(dealt[0].unionByName(dealt[1]).unionByName(dealt[2]))).distinct()
 
 
+#: Nodes ``u`` below ``v``, their components, and the bits in which they differ.
+PAIR_SCHEMA = "u long, v long, cu long, cv long, bits long"
+
+
 def _compare(most: int, reach: int | None):
-    """Over rows sorted by their first column (a group): links between components of a group's rows, ``reach`` apart at most.
+    """Over rows sorted by their first column (a group): pairs of a group's rows of different components.
 
-    The links go out as a spanning forest of those the task found, at most one edge a component.
+    With ``reach``, rows that far apart at most, and of their pairs only a forest of the closest.
     """
 
+    def out(found):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["u", "v", "cu", "cv", "bits"])
+
     def run(batches):
-        rest, left, right, held = None, [], [], 0
+        rest, held, n = None, [], 0
         for b in batches:
             x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns])
             old = 0 if rest is None else rest.shape[1]
             x = x if rest is None else np.concatenate([rest, x], axis=1)
-            for u, v in _close(x, most, reach, old):
-                left.append(u)
-                right.append(v)
-                held += len(u)
-            if held > HELD:
-                u, v = forest(np.concatenate(left), np.concatenate(right))
-                left, right, held = [u], [v], len(u)
+            for found in _close(x, most, reach, old):
+                if not reach:
+                    yield out(found)
+                    continue
+                held.append(found)
+                n += found.shape[1]
+            if n > HELD:
+                held = [spanning(np.concatenate(held, axis=1))]
+                n = held[0].shape[1]
             if x.shape[1]:
                 same = int(np.flatnonzero(np.r_[True, x[0, 1:] != x[0, :-1]])[-1])  # where the last group starts
                 rest = x[:, max(same, x.shape[1] - reach) if reach else same :].copy()
-        if left:
-            u, v = forest(np.concatenate(left), np.concatenate(right))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        if held:
+            yield out(spanning(np.concatenate(held, axis=1)))
 
     return run
 
 
+def spanning(found: np.ndarray) -> np.ndarray:
+    """The columns (u, v, cu, cv, bits) that make a spanning forest of least bits, by Boruvka's rounds."""
+    found = found[:, np.lexsort((found[1], found[0], found[4]))]
+    nodes, at = np.unique(found[:2], return_inverse=True)
+    a, b = at.reshape(2, -1)
+    rank, low, kept = np.arange(len(a)), np.arange(len(nodes)), []
+    while True:
+        on = low[a] != low[b]
+        a, b, rank = a[on], b[on], rank[on]
+        if not len(a):
+            return found[:, np.concatenate(kept)] if kept else found[:, :0]
+        best = np.full(len(nodes), len(a))
+        np.minimum.at(best, low[a], np.arange(len(a)))
+        np.minimum.at(best, low[b], np.arange(len(a)))
+        take = np.unique(best[best < len(a)])
+        kept.append(rank[take])
+        of, root = forest(low[a[take]], low[b[take]])
+        to = np.arange(len(nodes))
+        to[of] = root
+        low = to[low]
+
+
 def _close(x: np.ndarray, most: int, reach: int | None, old: int):
-    """Per distance in the order, the links (components) of rows so far apart in one group; the later row is at ``old`` or after."""
-    key, comp, words = x[0], x[2], x[3:].view(np.uint64)
+    """Per distance in the order, the pairs of rows so far apart in one group; the later row is at ``old`` or after."""
+    key, node, comp, words = x[0], x[1], x[2], x[3:].view(np.uint64)
     n, step = len(key), 1
     first = np.arange(n)
     while step < n and (reach is None or step <= reach):
@@ -253,10 +359,12 @@ def _close(x: np.ndarray, most: int, reach: int | None, old: int):
         j = i + step
         ok = comp[i] != comp[j]
         i, j = i[ok], j[ok]
-        bits = np.zeros(len(i), dtype=np.uint16)
+        bits = np.zeros(len(i), dtype=np.int64)
         for w in words:
             bits += np.bitwise_count(w[i] ^ w[j])
         ok = bits <= most
         if ok.any():
-            yield comp[i[ok]], comp[j[ok]]
+            i, j, bits = i[ok], j[ok], bits[ok]
+            i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+            yield np.stack([node[i], node[j], comp[i], comp[j], bits])
         step += 1

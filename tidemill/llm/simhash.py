@@ -123,9 +123,11 @@ WIDE_MASKS = block_masks(7, 2)
 SLACK = 2
 #: Buckets up to this size are compared in one task; larger ones in pairs of blocks of about this size.
 BLOCK = 2048
+#: Bytes of shingle sets in a block.
+BLOCK_BYTES = 32 << 20
 #: Neighbours in sorted order that the contracting pass compares, and the rotations of each word it sorts by.
 NEXT, TURNS = 24, (0, 21, 42)
-#: Links a task of that pass holds before it reduces them to a forest.
+#: Links a task holds before it reduces them to a forest.
 HELD = 500_000
 #: Partners whose sets one group of the exact check streams past a document's own.
 PARTNERS = 512
@@ -151,7 +153,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     least ``similarity``, counted on 64-bit hashes.  Candidates are the pairs that share a bucket of a masked
     table and whose 256-bit SimHash fingerprints differ in few enough bits; every link is checked exactly.
     Pairs already known to be in one group are spared: a first pass over sorted fingerprints
-    links most of each dense group, and then the closest candidates between two groups go before the others.
+    links most of each dense group; what candidates connect further is compared in blocks, the closest first.
     Texts with equal fingerprints count as one.  Wordless texts and null ids aren't grouped;
     rows that repeat an id are one document, similar to another if any of its texts is.
     """
@@ -174,13 +176,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     groups = nodes.select("node", F.col("node").alias("comp"), *names)
     dense = scratch.save(_sorted_links(groups, names, _most_bits(similarity, 0), scratch), "dense")
     groups = _merge(groups, check(dense, "dense"), names, scratch, "dense")
-    pairs = scratch.save(_bucket_links(groups, names, _most_bits(similarity, SLACK), scratch), "pairs")
-    between = F.least("cu", "cv"), F.greatest("cu", "cv")
-    closest = scratch.save(pairs.groupBy(between[0].alias("a"), between[1].alias("b")).agg(F.min(F.struct("bits", "u", "v")).alias("p")).select("p.u", "p.v"), "closest")
-    groups = _merge(groups, check(closest, "closest"), names, scratch, "closest")
-    of = groups.select("node", "comp").distinct()
-    open_ = pairs.select("u", "v").join(closest, ["u", "v"], "left_anti").join(of.toDF("u", "ou"), "u").join(of.toDF("v", "ov"), "v").where("ou <> ov").select("u", "v")
-    groups = _merge(groups, check(scratch.save(open_.distinct(), "open"), "open"), names, scratch, "open")
+    meets = scratch.save(_bucket_links(groups, names, _most_bits(similarity, SLACK), scratch).select("cu", "cv").distinct(), "meets")
+    links = _cluster_links(rows, groups, meets, names, width, similarity, scratch)
+    groups = _merge(groups, links, names, scratch, "last")
     return fps.join(groups, names).select("id", F.col("comp").alias("component"))
 
 
@@ -192,6 +190,90 @@ def _merge(groups: DataFrame, links: DataFrame, names: list[str], scratch: Scrat
     return scratch.save(groups.join(roots, F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("comp"), *names), f"{name}_groups")
 
 
+def _sets(rows: DataFrame, need: DataFrame, width: int) -> DataFrame:
+    """``id`` and ``s`` (sorted shingle hashes) of the rows whose id is in ``need``."""
+
+    def run(batches):
+        for b in batches:
+            found = [np.unique(shingle_hashes(t, width)).tobytes() for t in utf8(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["id", "s"])
+
+    return rows.join(need, "id").mapInArrow(run, "id long, s binary")
+
+
+def _cluster_links(rows: DataFrame, groups: DataFrame, meets: DataFrame, names: list[str], width: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """Exact links between the components of each cluster, a cluster being what candidates connect.
+
+    A cluster of over ``BLOCK`` nodes or ``BLOCK_BYTES`` of sets is dealt in blocks, each pair of blocks a group of its own:
+    a set is sent as often as its cluster has blocks, however many partners it has.
+    """
+    most = _most_bits(similarity, SLACK)
+    roots = connected_components(meets.toDF("u", "v"), scratch, "cluster").select(F.col("node").alias("of"), F.col("root").alias("cluster"))
+    roots = scratch.save(roots.unionByName(roots.select(F.col("cluster").alias("of"), "cluster").distinct()), "clusters")
+    inside = scratch.save(groups.join(roots, F.col("comp") == F.col("of")).drop("of"), "inside")
+    sets = _sets(rows, inside.select(F.col("node").alias("id")).distinct(), width)
+    full = scratch.save(inside.join(sets, F.col("node") == F.col("id")).drop("id"), "full")
+    parts = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum(F.length("s")) / F.lit(BLOCK_BYTES)))
+    sizes = scratch.save(full.groupBy("cluster").agg(parts.alias("parts")), "cluster_sizes")
+    own = F.pmod(F.xxhash64("node"), "parts").alias("p")
+    dealt = full.join(sizes, "cluster").select("*", own).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("q"))
+    keyed = dealt.select(F.xxhash64("cluster", F.least("p", "q"), F.greatest("p", "q")).alias("g"), F.when(F.col("p") == F.col("q"), 0).when(F.col("p") < F.col("q"), 1).otherwise(2).alias("side"), "node", "comp", *names, "s")
+
+    def run(batches):
+        kept, last = [], None
+        for b in batches:
+            g = b.column(0).to_numpy()
+            cut = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            for i, j in zip(cut, cut[1:]):
+                if i == j:
+                    continue
+                if g[i] != last and kept:
+                    yield _block_links(kept, most, similarity)
+                    kept = []
+                last = g[i]
+                kept.append(b.slice(i, j - i))
+        if kept:
+            yield _block_links(kept, most, similarity)
+
+    links = scratch.save(keyed.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long").distinct(), "last_links")
+    scratch.drop("full")
+    return links
+
+
+def _block_links(parts: list, most: int, similarity: float) -> pa.RecordBatch:
+    """A forest of exact links between the components of a group's rows: closest fingerprints first, connected ones skipped."""
+    t = pa.Table.from_batches(parts)
+    side, node, comp = (t.column(i).to_numpy() for i in (1, 2, 3))
+    words = np.stack([t.column(i).to_numpy().view(np.uint64) for i in range(4, 4 + WIDE)])
+    texts = t.column(4 + WIDE)
+    sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in texts]
+    first, second, bits = [], [], []
+    for i in range(len(node) - 1):
+        d = sum(np.bitwise_count(w[i] ^ w[i + 1 :]).astype(np.int64) for w in words)
+        j = np.flatnonzero((d <= most) & (comp[i + 1 :] != comp[i]) & ((side[i] == 0) | (side[i + 1 :] != side[i])))
+        first.append(np.full(len(j), i))
+        second.append(j + i + 1)
+        bits.append(d[j])
+    up = {c: c for c in comp.tolist()}
+
+    def top(c):
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    u, v = [], []
+    if first:
+        a, b, d = np.concatenate(first), np.concatenate(second), np.concatenate(bits)
+        for k in np.argsort(d, kind="stable").tolist():
+            i, j = a[k], b[k]
+            ci, cj = top(int(comp[i])), top(int(comp[j]))
+            if ci != cj and _jaccard(sets[i], sets[j]) >= similarity:
+                up[max(ci, cj)] = min(ci, cj)
+                u.append(int(node[i]))
+                v.append(int(node[j]))
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
 def _similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
     """Of ``pairs`` (``u``, ``v``) those whose sets of shingles are similar enough.
 
@@ -200,11 +282,6 @@ def _similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float, s
     if pairs.isEmpty():
         return pairs.select("u", "v")
 
-    def sets(batches):
-        for b in batches:
-            found = [np.unique(shingle_hashes(t, width)).tobytes() for t in utf8(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.large_binary())], names=["id", "s"])
-
     def compare(batches):
         hub, held = None, []
         for b in batches:
@@ -222,7 +299,7 @@ def _similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float, s
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["u", "v"])
 
     need = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    found = scratch.save(rows.join(need, "id").mapInArrow(sets, "id long, s binary"), f"{name}_sets")
+    found = scratch.save(_sets(rows, need, width), f"{name}_sets")
     parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).alias("parts"))
     hubs = parts.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("v"))
     partners = pairs.join(parts, "u").select("u", F.pmod(F.xxhash64("v"), "parts").alias("part"), "v")
@@ -257,7 +334,7 @@ def _sorted_links(groups: DataFrame, names: list[str], most: int, scratch: Scrat
 
 
 def _bucket_links(groups: DataFrame, names: list[str], most: int, scratch: Scratch) -> DataFrame:
-    """All pairs of nodes of different components that meet in a bucket within ``most`` bits.
+    """Pairs of nodes of different components that meet in a bucket within ``most`` bits: a forest from each task, which connects all.
 
     A bucket of over ``BLOCK`` nodes is dealt in blocks: its largest component against the rest,
     and the rest against itself, each pair of blocks a group of its own.
@@ -291,9 +368,9 @@ PAIR_SCHEMA = "u long, v long, cu long, cv long, bits long"
 
 
 def _compare(most: int, reach: int | None):
-    """Over rows sorted by their first column (a group): pairs of a group's rows of different components.
+    """Over rows sorted by their first column (a group): a forest of the closest pairs of a group's rows of different components.
 
-    With ``reach``, rows that far apart at most, and of their pairs only a forest of the closest.
+    With ``reach``, only rows that far apart at most.
     """
 
     def out(found):
@@ -306,9 +383,6 @@ def _compare(most: int, reach: int | None):
             old = 0 if rest is None else rest.shape[1]
             x = x if rest is None else np.concatenate([rest, x], axis=1)
             for found in _close(x, most, reach, old):
-                if not reach:
-                    yield out(found)
-                    continue
                 held.append(found)
                 n += found.shape[1]
             if n > HELD:

@@ -376,3 +376,18 @@ def test_queries_on_empty_and_null_tables(spark, tmp_path, rows):
     for name, q in (queries.queries() | {"pipeline": corpus_pipeline.run}).items():
         got = q(spark, str(tmp_path)).collect()
         assert got == [] if rows == "none" else len(got) <= 9, name
+
+
+def test_near_duplicates_finds_every_pair(spark):
+    """Isolated pairs just above the similarity sought, short and long; pairs just below it stay apart."""
+    rng = random.Random(11)
+    rows, want = [], {}
+    for n, both, count in ((15, 13, 30), (18, 16, 60), (146, 131, 30), (540, 480, 30), (540, 479, 20)):  # shingles of each text, and those shared
+        for _ in range(count):
+            at = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
+            new = at[: both + 4] + [f"w{rng.randrange(10**9)}" for _ in range(n - both)]
+            for text in (at, new):
+                want[len(rows)] = len(rows) // 2 * 2 if both / (2 * n - both) >= 0.8 else len(rows)
+                rows.append((len(rows), " ".join(text)))
+    got = {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want

@@ -14,6 +14,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ._common import Scratch, mix, utf8
@@ -117,11 +118,10 @@ def simhash_components(docs: DataFrame, width: int = 3, radius: int = 2, id_col:
 
 #: Words of 64 bits in the wide fingerprint.
 WIDE = 4
-#: In each of them, any 2 of 7 runs of bits make a key: covers 5 differing bits a word, 23 in all.
+#: Masks and slack of a candidate search by fingerprints, which misses pairs; the set join does not use them, a test compares with them.
 WIDE_MASKS = block_masks(7, 2)
-#: Standard deviations by which a candidate's differing bits may exceed those expected at the similarity sought.
 SLACK = 2
-#: Buckets up to this size are compared in one task; larger ones in pairs of blocks of about this size.
+#: Clusters up to this size are compared in one task; larger ones in pairs of blocks of about this size.
 BLOCK = 2048
 #: Bytes of shingle sets in a block.
 BLOCK_BYTES = 32 << 20
@@ -129,13 +129,22 @@ BLOCK_BYTES = 32 << 20
 NEXT, TURNS = 24, (0, 21, 42)
 #: Links a task holds before it reduces them to a forest.
 HELD = 500_000
+#: Bits of the parity map of a set; what differs in two maps differs in the sets.
+PARITY = 2048
+#: Shingles that a task compares at a time when it looks for shared ones.
+TOKENS = 1 << 21
+#: Taken off a bound, so that rounding cannot lose a pair on it.
+EPS = 1e-6
 #: Partners whose sets one group of the exact check streams past a document's own.
 PARTNERS = 512
 
 
 def wide_fingerprint(text: bytes | None, width: int) -> list[int]:
     """``WIDE`` SimHash words over the set of shingles; their differing bits estimate the angle between the sets."""
-    h = np.unique(shingle_hashes(text, width))
+    return _words(np.unique(shingle_hashes(text, width)))
+
+
+def _words(h: np.ndarray) -> list[int]:
     return [majority(h if i == 0 else mix(h + np.uint64((i * 0x9E3779B97F4A7C15) % 2**64))) for i in range(WIDE)]
 
 
@@ -150,36 +159,165 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
     """``id`` and ``component`` (smallest id of its group of near duplicates) of each document.
 
     Documents link when the sets of their ``width``-word shingles have a Jaccard similarity of at
-    least ``similarity``, counted on 64-bit hashes.  Candidates are the pairs that share a bucket of a masked
-    table and whose 256-bit SimHash fingerprints differ in few enough bits; every link is checked exactly.
-    Pairs already known to be in one group are spared: a first pass over sorted fingerprints
-    links most of each dense group; what candidates connect further is compared in blocks, the closest first.
-    Texts with equal fingerprints count as one.  Wordless texts and null ids aren't grouped;
+    least ``similarity``, counted on 64-bit hashes.  Every such pair is found, however short or long: what is
+    similar shares a shingle among the first of each set, in any order of all shingles.
+    Pairs already known to be in one group are spared: a first pass over sorted SimHash fingerprints
+    links most of each dense group; what shared shingles connect further is compared in blocks, the closest first.
+    Texts with equal sets count as one.  Wordless texts and null ids aren't grouped;
     rows that repeat an id are one document, similar to another if any of its texts is.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     names = [f"f{i}" for i in range(WIDE)]
+    key = [*names, "size", "digest"]
 
     def run(batches):
         for b in batches:
-            rows = [wide_fingerprint(t, width) for t in utf8(b.column(1))]
-            a = np.array(rows, dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(a[:, i].copy()) for i in range(WIDE))], names=["id", *names])
+            fps, sizes, digests, first = [], [], [], []
+            for t in utf8(b.column(1)):
+                h = np.unique(shingle_hashes(t, width))
+                fps.append(_words(h))
+                sizes.append(len(h))
+                digests.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
+                first.append(h[: len(h) - int(np.ceil(similarity * len(h) - EPS)) + 1 + int((1 - similarity) / 2 * len(h))].copy())
+            a = np.array(fps, dtype=np.uint64).reshape(-1, WIDE).view(np.int64)
+            d = pa.array(np.array(digests, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(a[:, i].copy()) for i in range(WIDE)), pa.array(sizes, pa.int64()), d, _lists(first)], names=["id", *key, "first"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    fps = scratch.save(rows.mapInArrow(run, f"id long, {', '.join(f'{n} long' for n in names)}").where(" or ".join(f"{n} <> 0" for n in names)), "fps")
-    nodes = scratch.save(fps.groupBy(*names).agg(F.min("id").alias("node")), "nodes")
+    read = scratch.save(rows.mapInArrow(run, f"id long, {', '.join(f'{n} long' for n in key)}, first array<long>").where("size > 0"), "read")
+    fps = scratch.save(read.drop("first"), "fps")
+    nodes = scratch.save(fps.groupBy(*key).agg(F.min("id").alias("node")), "nodes")
+
+    open_ids = _open(read.select(F.col("id").alias("node"), F.col("id").alias("comp"), "size", "first"), similarity, scratch, "ids")
+    groups = nodes.select("node", F.col("node").alias("comp"), *key)
+    some = scratch.save(groups.join(open_ids, "node", "left_semi"), "some")
+    dense = scratch.save(_sorted_links(some, names, _most_bits(similarity, 0), scratch), "dense")
+    some = _merge(some, _similar(rows, dense, width, similarity, scratch, "dense"), key, scratch, "dense")
+    first = read.select(F.col("id").alias("node"), "digest", "first").join(some.select("node", "comp", "size", "digest"), ["node", "digest"])
+    first = scratch.save(first.select("node", "comp", "size", "first"), "first")
+    scratch.drop("read")
+    open_nodes = _open(first, similarity, scratch, "nodes").join(first.select("node", "comp").distinct(), "node")
+    links = _cluster_links(rows, _meets(rows, open_nodes, width, similarity, scratch), width, similarity, scratch)
+    known = some.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v")).distinct()
+    links = links.unionByName(known)
+    groups = _merge(groups, links, key, scratch, "last")
+    return fps.join(groups, key).select("id", F.col("comp").alias("component"))
+
+
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)])
+    values = np.concatenate([np.zeros(0, dtype=np.uint64), *found]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+
+
+def _open(first: DataFrame, similarity: float, scratch: Scratch, name: str) -> DataFrame:
+    """``node`` of all rows that may be similar to one of another ``comp``.
+
+    ``first`` are the least hashes of a set of ``size`` n: two sets of similarity t share t of the larger one at least, so
+    its first (1 - t) n + k hold the k least shared ones, of both sets.  With k = 1 + n (1 - t) / 2, what has fewer shared
+    ones there than the smallest possible partner's k is done.  Hashes go packed and shortened, which can only keep
+    too much.  Those that several components of one batch share are counted there and sent twice.
+    """
+    least = F.floor(F.ceil(F.col("size") * similarity - EPS) * ((1 - similarity) / 2) - EPS) + 1
+    need, total = first.groupBy("node").agg(F.min(least).alias("need")), first.agg(F.sum("size")).first()[0] or 0
+    deal = max(1, -(-total // TOKENS))
+
+    def pack(batches):
+        zip_ = zstandard.ZstdCompressor(level=1)
+        wide = lambda x: np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8).T).tobytes()  # noqa: E731  # equal bytes side by side
+        for b in batches:
+            lists = b.column(2)
+            n = np.diff(lists.offsets.to_numpy())
+            h = lists.flatten().to_numpy().view(np.uint64)
+            node, comp = np.repeat(b.column(0).to_numpy(), n), np.repeat(b.column(1).to_numpy(), n)
+            order = np.lexsort((comp, h))
+            h, node, comp = h[order], node[order], comp[order]
+            if not len(h):
+                continue
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            end = np.r_[start[1:], len(h)]
+            several = comp[start] != comp[end - 1]
+            mine = np.repeat(several, end - start)
+            sent = ~mine
+            sent[start] = sent[end - 1] = True
+            done, times = np.unique(node[mine], return_counts=True)
+            h, node, comp, mine = h[sent], node[sent], comp[sent], mine[sent]
+            part = (h % np.uint64(deal)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            h, node, comp, mine, part = (x[order] for x in (h, node, comp, mine, part))
+            cuts = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
+            out = [(int(part[i]), zip_.compress(b"".join([(h[i:j] >> np.uint64(32)).astype(np.uint32).tobytes(), mine[i:j].tobytes(), wide(node[i:j]), wide(comp[i:j] - node[i:j])]))) for i, j in zip(cuts, cuts[1:])]
+            out.append((int(part[0]), None))
+            counts = [b""] * (len(out) - 1) + [np.concatenate([done, times.astype(np.int64)]).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary()), pa.array(counts, pa.binary())], names=["part", "data", "counts"])
+
+    def count(batches):
+        unzip = zstandard.ZstdDecompressor()
+        wide = lambda x: np.ascontiguousarray(np.frombuffer(x, dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+        def shared(held):
+            h, mine, node, comp = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((comp, h))
+            h, mine, node, comp = h[order], mine[order], node[order], comp[order]
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            end = np.r_[start[1:], len(h)]
+            on = np.repeat(comp[start] != comp[end - 1], end - start) & ~mine
+            return batch(node[on], np.ones(int(on.sum())))  # one row each: sums by part would grow with nodes times parts
+
+        def batch(node, times):
+            return pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), pa.array(times.astype(np.int64))], names=["node", "times"])
+
+        held, last = [], None
+        for b in batches:
+            for part, data, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if counts:
+                    yield batch(*np.frombuffer(counts, dtype=np.int64).reshape(2, -1))
+                if data is None:
+                    continue
+                if part != last and held:
+                    yield shared(held)
+                    held = []
+                last = part
+                x = unzip.decompress(data)
+                n = len(x) // 21
+                node = wide(x[5 * n : 13 * n])
+                held.append((np.frombuffer(x[: 4 * n], dtype=np.uint32), np.frombuffer(x[4 * n : 5 * n], dtype=bool), node, wide(x[13 * n :]) + node))
+        if held:
+            yield shared(held)
+
+    dealt = first.select("node", "comp", "first").mapInArrow(pack, "part long, data binary, counts binary").repartition("part").sortWithinPartitions("part")
+    times = dealt.mapInArrow(count, "node long, times long").groupBy("node").agg(F.sum("times").alias("times"))
+    return scratch.save(times.join(need, "node").where("times >= need").select("node"), f"open_{name}")
 
-    def check(pairs: DataFrame, name: str) -> DataFrame:
-        return _similar(rows, pairs, width, similarity, scratch, name)
 
-    groups = nodes.select("node", F.col("node").alias("comp"), *names)
-    dense = scratch.save(_sorted_links(groups, names, _most_bits(similarity, 0), scratch), "dense")
-    groups = _merge(groups, check(dense, "dense"), names, scratch, "dense")
-    meets = scratch.save(_bucket_links(groups, names, _most_bits(similarity, SLACK), scratch).select("cu", "cv").distinct(), "meets")
-    links = _cluster_links(rows, groups, meets, names, width, similarity, scratch)
-    groups = _merge(groups, links, names, scratch, "last")
-    return fps.join(groups, names).select("id", F.col("comp").alias("component"))
+def _meets(rows: DataFrame, open_nodes: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """``node``, its ``comp`` and a component ``other`` that it connects with: all nodes that can have a link to another component.
+
+    All shingles of the open nodes are counted.  Those that one component alone has come first in the order of
+    shingles, then the rest by rarity: a text of n shingles with fewer than t n shared ones is done, and of the others
+    similar ones share one of the first (1 - t) n + 1; common shingles only count where a text has little else.
+    """
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, width)) for t in utf8(b.column(2))]
+            digests = [xxhash.xxh64_intdigest(h.tobytes(), 7) for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), pa.array([len(h) for h in sets], pa.int64()), _lists(sets)], names=["node", "comp", "digest", "size", "s"])
+
+    texts = rows.join(open_nodes, F.col("id") == F.col("node")).select("node", "comp", "text")
+    sets = scratch.save(texts.mapInArrow(run, "node long, comp long, digest long, size long, s array<long>").where("size > 0"), "open_sets")
+    tokens = sets.select("node", "comp", "digest", "size", F.explode("s").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token", "c")
+    shared = tokens.join(counts, "token").groupBy("node", "comp", "digest", "size").agg(F.sort_array(F.collect_set(F.struct("c", "token"))).alias("s"))
+    spare = F.size("s") - F.ceil(F.col("size") * similarity - EPS).cast("int")
+    rare = shared.withColumn("spare", spare).where("spare >= 0").select("node", "comp", "size", F.explode(F.expr("slice(s, 1, spare + 1)")).alias("x"))
+    # sizes of similar sets are in the same class or in adjacent ones
+    step = F.floor(F.log("size") / float(-np.log(similarity - EPS)))
+    rare = scratch.save(rare.select("node", "comp", F.col("x.token").alias("token"), F.explode(F.array(step, step + 1)).alias("step")), "rare")
+    scratch.drop("open_sets")
+    ends = rare.groupBy("token", "step").agg(F.min("comp").alias("other"), F.max("comp").alias("high")).where("other <> high").select("token", "step", "other")
+    meets = scratch.save(rare.join(ends, ["token", "step"]).select("node", "comp", "other").distinct(), "meets")
+    scratch.drop("rare")
+    return meets
 
 
 def _merge(groups: DataFrame, links: DataFrame, names: list[str], scratch: Scratch, name: str) -> DataFrame:
@@ -201,23 +339,23 @@ def _sets(rows: DataFrame, need: DataFrame, width: int) -> DataFrame:
     return rows.join(need, "id").mapInArrow(run, "id long, s binary")
 
 
-def _cluster_links(rows: DataFrame, groups: DataFrame, meets: DataFrame, names: list[str], width: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """Exact links between the components of each cluster, a cluster being what candidates connect.
+def _cluster_links(rows: DataFrame, meets: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """Exact links between the components of each cluster, a cluster being what ``meets`` connects.
 
     A cluster of over ``BLOCK`` nodes or ``BLOCK_BYTES`` of sets is dealt in blocks, each pair of blocks a group of its own:
     a set is sent as often as its cluster has blocks, however many partners it has.
     """
-    most = _most_bits(similarity, SLACK)
-    roots = connected_components(meets.toDF("u", "v"), scratch, "cluster").select(F.col("node").alias("of"), F.col("root").alias("cluster"))
+    edges = meets.select(F.col("comp").alias("u"), F.col("other").alias("v"))
+    roots = connected_components(edges, scratch, "cluster").select(F.col("node").alias("of"), F.col("root").alias("cluster"))
     roots = scratch.save(roots.unionByName(roots.select(F.col("cluster").alias("of"), "cluster").distinct()), "clusters")
-    inside = scratch.save(groups.join(roots, F.col("comp") == F.col("of")).drop("of"), "inside")
-    sets = _sets(rows, inside.select(F.col("node").alias("id")).distinct(), width)
+    inside = scratch.save(meets.select("node", "comp").distinct().join(roots, F.col("comp") == F.col("of")).drop("of"), "inside")
+    sets = _sets(rows, inside.select(F.col("node").alias("id")), width)
     full = scratch.save(inside.join(sets, F.col("node") == F.col("id")).drop("id"), "full")
     parts = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum(F.length("s")) / F.lit(BLOCK_BYTES)))
     sizes = scratch.save(full.groupBy("cluster").agg(parts.alias("parts")), "cluster_sizes")
     own = F.pmod(F.xxhash64("node"), "parts").alias("p")
     dealt = full.join(sizes, "cluster").select("*", own).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("q"))
-    keyed = dealt.select(F.xxhash64("cluster", F.least("p", "q"), F.greatest("p", "q")).alias("g"), F.when(F.col("p") == F.col("q"), 0).when(F.col("p") < F.col("q"), 1).otherwise(2).alias("side"), "node", "comp", *names, "s")
+    keyed = dealt.select(F.xxhash64("cluster", F.least("p", "q"), F.greatest("p", "q")).alias("g"), F.when(F.col("p") == F.col("q"), 0).when(F.col("p") < F.col("q"), 1).otherwise(2).alias("side"), "node", "comp", "s")
 
     def run(batches):
         kept, last = [], None
@@ -228,49 +366,44 @@ def _cluster_links(rows: DataFrame, groups: DataFrame, meets: DataFrame, names:
                 if i == j:
                     continue
                 if g[i] != last and kept:
-                    yield _block_links(kept, most, similarity)
+                    yield _block_links(kept, similarity)
                     kept = []
                 last = g[i]
                 kept.append(b.slice(i, j - i))
         if kept:
-            yield _block_links(kept, most, similarity)
+            yield _block_links(kept, similarity)
 
     links = scratch.save(keyed.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long").distinct(), "last_links")
     scratch.drop("full")
     return links
 
 
-def _block_links(parts: list, most: int, similarity: float) -> pa.RecordBatch:
-    """A forest of exact links between the components of a group's rows: closest fingerprints first, connected ones skipped."""
-    t = pa.Table.from_batches(parts)
-    side, node, comp = (t.column(i).to_numpy() for i in (1, 2, 3))
-    words = np.stack([t.column(i).to_numpy().view(np.uint64) for i in range(4, 4 + WIDE)])
-    texts = t.column(4 + WIDE)
-    sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in texts]
-    first, second, bits = [], [], []
-    for i in range(len(node) - 1):
-        d = sum(np.bitwise_count(w[i] ^ w[i + 1 :]).astype(np.int64) for w in words)
-        j = np.flatnonzero((d <= most) & (comp[i + 1 :] != comp[i]) & ((side[i] == 0) | (side[i + 1 :] != side[i])))
-        first.append(np.full(len(j), i))
-        second.append(j + i + 1)
-        bits.append(d[j])
-    up = {c: c for c in comp.tolist()}
-
-    def top(c):
-        while up[c] != c:
-            up[c] = c = up[up[c]]
-        return c
+def _block_links(parts: list, similarity: float) -> pa.RecordBatch:
+    """A forest of exact links between the components of a group's rows: closest sets first, connected ones skipped.
 
+    A pair is passed over without counting only where sizes or parity maps show more differing shingles than the similarity allows.
+    """
+    t = pa.Table.from_batches(parts)
+    side, node, comp = (t.column(i).to_numpy().copy() for i in (1, 2, 3))
+    sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t.column(4)]
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    odd = [np.packbits(np.bincount((x % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).view(np.uint64) for x in sets]
+    maps = np.stack(odd) if odd else np.zeros((0, PARITY // 64), dtype=np.uint64)
     u, v = [], []
-    if first:
-        a, b, d = np.concatenate(first), np.concatenate(second), np.concatenate(bits)
-        for k in np.argsort(d, kind="stable").tolist():
-            i, j = a[k], b[k]
-            ci, cj = top(int(comp[i])), top(int(comp[j]))
-            if ci != cj and _jaccard(sets[i], sets[j]) >= similarity:
-                up[max(ci, cj)] = min(ci, cj)
+    for i in range(len(node) - 1):
+        n = size[i + 1 :]
+        j = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((side[i] == 0) | (side[i + 1 :] != side[i])) & (np.minimum(n, size[i]) >= similarity * np.maximum(n, size[i]) - EPS)) + i + 1
+        if not len(j):
+            continue
+        both = size[j] + size[i]
+        d = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
+        on = d <= both * (1 - similarity) / (1 + similarity) + EPS
+        j, d, both = j[on], d[on], both[on]
+        for k in j[np.argsort(d / both, kind="stable")].tolist():
+            if comp[k] != comp[i] and _jaccard(sets[i], sets[k]) >= similarity:
                 u.append(int(node[i]))
-                v.append(int(node[j]))
+                v.append(int(node[k]))
+                comp[comp == max(comp[i], comp[k])] = min(comp[i], comp[k])
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
@@ -333,36 +466,6 @@ def _sorted_links(groups: DataFrame, names: list[str], most: int, scratch: Scrat
     return found.select("u", "v").distinct()
 
 
-def _bucket_links(groups: DataFrame, names: list[str], most: int, scratch: Scratch) -> DataFrame:
-    """Pairs of nodes of different components that meet in a bucket within ``most`` bits: a forest from each task, which connects all.
-
-    A bucket of over ``BLOCK`` nodes is dealt in blocks: its largest component against the rest,
-    and the rest against itself, each pair of blocks a group of its own.
-    """
-    keys = F.array(*(F.xxhash64(F.lit(w * len(WIDE_MASKS) + i), F.col(names[w]).bitwiseAND(F.lit(m).cast("long"))) for w in range(WIDE) for i, m in enumerate(WIDE_MASKS)))
-    tables = groups.select(F.explode(keys).alias("k"), "node", "comp", *names)
-    heavy = scratch.save(tables.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("k"), "heavy")
-
-    def pairs(rows: DataFrame) -> DataFrame:
-        dealt = rows.repartition("k").sortWithinPartitions("k").select("k", "node", "comp", *names)
-        return dealt.mapInArrow(_compare(most, None), PAIR_SCHEMA).distinct()
-
-    if heavy.isEmpty():
-        return pairs(tables)
-    light = pairs(tables.join(heavy, "k", "left_anti"))
-    big = scratch.save(tables.join(heavy, "k"), "big")
-    sizes = big.groupBy("k", "comp").agg(F.count("*").alias("c")).groupBy("k").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"))
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    sizes = scratch.save(sizes.where("n > top.c").select("k", F.col("top.comp").alias("major"), blocks(F.col("top.c")).alias("bm"), blocks(F.col("n") - F.col("top.c")).alias("br")), "sizes")
-    rows = big.join(sizes, "k").withColumn("of", F.pmod(F.xxhash64("node"), F.when(F.col("comp") == F.col("major"), F.col("bm")).otherwise(F.col("br"))))
-    major = rows.where("comp = major").select("*", F.explode(F.sequence(F.lit(0), F.col("br") - 1)).alias("j")).withColumn("g", F.xxhash64("k", F.lit("m"), "of", F.col("j").cast("long")))
-    rest = rows.where("comp <> major")
-    across = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("bm") - 1)).alias("i")).withColumn("g", F.xxhash64("k", F.lit("m"), F.col("i").cast("long"), "of"))
-    within = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("br") - 1)).alias("j")).withColumn("g", F.xxhash64("k", F.lit("r"), F.least("of", F.col("j").cast("long")), F.greatest("of", F.col("j").cast("long"))))
-    dealt = [x.select(F.col("g").alias("k"), "node", "comp", *names) for x in (major, across, within)]
-    return light.unionByName(pairs(dealt[0].unionByName(dealt[1]).unionByName(dealt[2]))).distinct()
-
-
 #: Nodes ``u`` below ``v``, their components, and the bits in which they differ.
 PAIR_SCHEMA = "u long, v long, cu long, cv long, bits long"
 

@@ -391,3 +391,15 @@ def test_near_duplicates_finds_every_pair(spark):
                 rows.append((len(rows), " ".join(text)))
     got = {r.id: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_pipeline_keeps_dissimilar_rows_that_share_an_id(spark):
+    import corpus_pipeline
+
+    text = lambda i: " ".join(f"w{i}_{k}" for k in range(40))
+    rows = [(7, text(i), "en", "s", 1) for i in range(20)] + [(7, text(3), "en", "s", 1), (8, text(4), "en", "s", 1), (3, text(5), "en", "s", 1), (9, text(30), "en", "s", 1)]
+    rows += [(7, None, "en", "s", 1), (7, None, "en", "s", 1), (None, text(1), "en", "s", 1), (None, text(1), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    want = Counter({(7, text(i)): 1 for i in range(20) if i != 5} | {(3, text(5)): 1, (9, text(30)): 1, (7, None): 2, (None, text(1)): 2})
+    assert got == want

@@ -403,3 +403,12 @@ def test_pipeline_keeps_dissimilar_rows_that_share_an_id(spark):
     got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
     want = Counter({(7, text(i)): 1 for i in range(20) if i != 5} | {(3, text(5)): 1, (9, text(30)): 1, (7, None): 2, (None, text(1)): 2})
     assert got == want
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_pipeline_drops_nothing_on_labels_of_one_class(spark, tmp_path, label):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"clean text {i}", "en", "s", 1) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(i, 1, label) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 20

@@ -412,3 +412,13 @@ def test_pipeline_drops_nothing_on_labels_of_one_class(spark, tmp_path, label):
     docs = spark.createDataFrame([(i, f"clean text {i}", "en", "s", 1) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame([(i, 1, label) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 20
+
+
+def test_links_of_radius_1_do_not_depend_on_the_bucket(spark, monkeypatch):
+    rng = random.Random(4)
+    fps = sorted({s ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(62)) for s in (rng.getrandbits(62) for _ in range(4)) for _ in range(40)})
+    want = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() == 1}
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for few in (3, 1000):
+        monkeypatch.setattr(simhash, "PAIRWISE", few)
+        assert {tuple(sorted((r.u, r.v))) for r in simhash.links(df, 1, Scratch(spark, "t")).collect()} == want

@@ -75,9 +75,9 @@ def links(distinct: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     """Edges ``u``, ``v`` between different fingerprints whose components are those of all pairs within ``radius``.
 
     ``distinct`` has one row per fingerprint (``fp``).  Buckets of up to ``PAIRWISE`` fingerprints
-    are compared pair by pair.  In a larger bucket every fingerprint goes to all values within half the
-    radius of it; two of them are within the radius exactly if they share such a value, so linking
-    each to the smallest one there keeps every connection, in rows proportional to the bucket.
+    are compared pair by pair.  In a larger bucket every fingerprint goes to all values one bit
+    from it.  Radius 1: it links to the fingerprints there.  Radius 2: two of them are within it exactly if they share such
+    a value, so linking each to the smallest one there keeps every connection.  Rows are proportional to the bucket.
     """
     if radius not in (1, 2):
         raise ValueError("radius 1 or 2; wider searches go through near_duplicates")
@@ -90,6 +90,9 @@ def links(distinct: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     many = members.where(F.col("n") > PAIRWISE)
     flips = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << i)).cast("long") for i in range(BITS)))
     near = many.select("fp", "t", "mask", F.explode(flips).alias("flip")).where(F.col("flip").bitwiseAND(F.col("mask")) == 0).select("t", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
+    if radius == 1:
+        stars = near.join(many.select("t", F.col("fp").alias("at")), ["t", "at"]).where("fp < at").select(F.col("fp").alias("u"), F.col("at").alias("v"))
+        return pairs.unionByName(stars).distinct()
     least = scratch.save(near.groupBy("t", "at").agg(F.min("fp").alias("v"), F.count("*").alias("c")).where("c > 1").drop("c"), "neighbours")
     stars = near.join(least, ["t", "at"]).where("fp <> v").select(F.col("fp").alias("u"), "v")
     return pairs.unionByName(stars).distinct()

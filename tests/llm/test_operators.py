@@ -422,3 +422,13 @@ def test_links_of_radius_1_do_not_depend_on_the_bucket(spark, monkeypatch):
     for few in (3, 1000):
         monkeypatch.setattr(simhash, "PAIRWISE", few)
         assert {tuple(sorted((r.u, r.v))) for r in simhash.links(df, 1, Scratch(spark, "t")).collect()} == want
+
+
+def test_written_shards_hold_null_and_repeated_ids(spark, tmp_path):
+    rows = [(i if i < 20 else 5 if i < 40 else None, f"{i:03d}" * 10) for i in range(60)]
+    sharding.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmp_path}/out", limit=200)
+    got = spark.read.option("basePath", f"{tmp_path}/out").schema("doc_id long, text string, shard string").parquet(f"{tmp_path}/out").collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += len(r.text)
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows) and max(sizes.values()) <= 200

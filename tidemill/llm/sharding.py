@@ -24,22 +24,25 @@ def _bits(digest: Column) -> Column:
     return F.lpad(F.conv(F.substring(digest, 1, 15), 16, 2), 60, "0")
 
 
-def shard(docs: DataFrame, limit: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, limit: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``shard`` (its prefix bits; empty: one shard holds all), ``depth``, ``shard_bytes`` of every row.
 
     Every shard's UTF-8 text bytes stay within ``limit``, unless a single row exceeds it, which then is a shard alone
     or with rows of zero bytes.  Null text has zero bytes; null ids hash like the empty text.  Rows that share an id (a third
     of all, say) have its hash in common; their row numbers' bits follow it and part them.
+    Columns named in ``carry`` come back as fields of the struct ``rest``.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"))
+    rest = [F.struct(*carry).alias("rest")] if carry else []
+    more = ["rest"] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"), *rest)
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("bits", F.concat(_bits(key), _bits(F.md5(F.col("row").cast("string").cast("binary"))))).drop("row")
     rows = scratch.save(rows, "rows")
     total, n = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
     if total <= limit:
-        return rows.select("doc_id", "n_bytes", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(total).cast("long").alias("shard_bytes"))
+        return rows.select("doc_id", "n_bytes", F.lit("").alias("shard"), F.lit(0).alias("depth"), F.lit(total).cast("long").alias("shard_bytes"), *more)
     low, high = 0, min(KEY_BITS + ROW_BITS, math.ceil(math.log2(total / limit)) + 3)
     open_rows, leaves, done = rows, [], None
     while True:
@@ -63,16 +66,16 @@ def shard(docs: DataFrame, limit: int = 4 << 20, id_col: str = "doc_id", text_co
         owner = scratch.save(owner, f"owner{high}")
         placed = open_rows.withColumn("prefix", F.substring("bits", 1, high)).join(owner, "prefix", "left").drop("prefix")
         placed = scratch.save(placed, f"placed{high}")
-        out = placed.where("shard is not null").select("doc_id", "n_bytes", "shard", "depth", "shard_bytes")
+        out = placed.where("shard is not null").select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", *more)
         done = out if done is None else done.unionByName(out)
-        rest = placed.where("shard is null")
-        if rest.isEmpty():
+        left = placed.where("shard is null")
+        if left.isEmpty():
             return done
-        open_rows = rest.select("doc_id", "n_bytes", "bits")
+        open_rows = left.select("doc_id", "n_bytes", "bits", *more)
         low, high = high + 1, min(KEY_BITS + ROW_BITS, high + STEP)
 
 
-def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes the rows in one folder per shard; ids must be unique for this."""
-    placed = docs.join(shards.select(F.col("doc_id").alias("__id"), "shard"), F.col(id_col) == F.col("__id")).drop("__id")
+def write_shards(docs: DataFrame, path: str, limit: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes all rows, null and repeated ids included, in one folder per shard."""
+    placed = shard(docs, limit, id_col, text_col, carry=docs.columns).select("rest.*", "shard")
     placed.repartition("shard").write.partitionBy("shard").parquet(path)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from functools import lru_cache
 
@@ -24,6 +25,10 @@ from ._common import Scratch
 
 #: Pre-tokenisation of the byte-level vocabulary (public, as its README gives it).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What the pattern's ``\s`` matches (the property White_Space), and the runs of it that don't go through the pattern.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+RUN = 20_000
+LONG_RUN = re.compile(f"(?<![{WHITE}])[{WHITE}]{{{RUN},}}")
 
 
 def _byte_of() -> dict[str, int]:
@@ -50,6 +55,23 @@ def load_encoder(path: str):
     return tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def encode(encoder, text: str) -> np.ndarray:
+    """Ids of a text of any kind.
+
+    The pattern's look-ahead keeps a state for each character of a run of white space, which fails on a million of them.  Long
+    runs are one piece, less their last character if a text goes on after them, and are given to the merges as such.
+    """
+    if len(text) < RUN or not (runs := [m.span() for m in LONG_RUN.finditer(text)]):
+        return encoder.encode_to_numpy(text, allowed_special="all")
+    out, at = [], 0
+    for a, b in runs:
+        out.append(encoder.encode_to_numpy(text[at:a], allowed_special="all"))
+        # the text goes on, unless a special token cuts it off here
+        at = b if b == len(text) or any(text.startswith(x, b) for x in encoder.special_tokens_set) else b - 1
+        out.append(np.array(encoder._encode_single_piece(text[a:at].encode("utf-8", "replace")), dtype=np.uint32))
+    return np.concatenate([*out, encoder.encode_to_numpy(text[at:], allowed_special="all")])
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -134,7 +156,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, i
         for b in batches:
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.append(encoder.encode_to_numpy(text or "", allowed_special="all").astype("<u4"), np.array([end_id], dtype="<u4"))
+                ids = np.append(encode(encoder, text or "").astype("<u4"), np.array([end_id], dtype="<u4"))
                 cut = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)] if len(ids) > capacity else [0, len(ids)]
                 for piece, (x, y) in enumerate(zip(cut, cut[1:])):
                     part = ids[x:y]

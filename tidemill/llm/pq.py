@@ -1,9 +1,13 @@
 """Embedding near-duplicates by product quantisation.
 
 Unit vectors go to coarse inverted lists; what remains after the list's centre is coded by subspace.  A
-query probes every list whose cell can hold a vector within the radius of the threshold, ranks the list's members by
-asymmetric distance from lookup tables, keeps those that the quantisation error could put within the radius, and
-checks these by exact cosine.  Both bounds follow from the triangle inequality, so no link is lost.
+query probes the lists whose cells begin within a margin of it, ranks the list's members by asymmetric distance from
+lookup tables, keeps those that the quantisation error could put within the radius, and checks these by exact cosine.
+
+A vector within the radius r lies behind the border of another cell only if the difference of the two, projected on the line
+between the centres, reaches it.  For differences without a favoured direction that projection has the deviation r / sqrt(d),
+d being the effective dimension; the margin is ``DEVIATIONS`` of it, at most r.  ``exact`` takes r itself, which
+by the triangle inequality loses nothing, but leaves little to prune in many dimensions.
 
 Lists are cut into blocks of bounded size; a block compares its members with its queries at a time and passes on link
 counts and a spanning forest of the links, never the pairs.
@@ -24,6 +28,10 @@ from .components import connected_components, forest
 #: Vectors the codebooks are fitted on at most (those whose ids hash lowest).
 SAMPLE = 16_000
 LISTS = 4096
+#: Margin of the probes in deviations of a random difference's projection.
+DEVIATIONS = 2.0
+#: Rows whose distances to all centres are held at a time.
+ROWS = 512
 SUBSPACES, CODES = 8, 256
 #: Members and queries of one block, about.
 MEMBERS, QUERIES = 1024, 2048
@@ -34,6 +42,7 @@ class Codebook:
     centres: np.ndarray  # lists x dimensions
     codes: list  # per subspace: codes x its dimensions
     cuts: list  # bounds of the subspaces
+    spread: float = 1.0  # effective dimension of what remains after the centres
 
     def encode(self, x: np.ndarray):
         """List, codes and quantisation error of unit vectors."""
@@ -71,7 +80,29 @@ def fit(x: np.ndarray, lists: int, seed: int = 7) -> Codebook:
     rest = x - centres[_nearest(x, centres)]
     m = min(SUBSPACES, x.shape[1])
     cuts = [x.shape[1] * i // m for i in range(m + 1)]
-    return Codebook(centres, [_kmeans(rest[:, a:b], CODES, 5, seed + s) for s, (a, b) in enumerate(zip(cuts, cuts[1:]))], cuts)
+    v = np.linalg.eigvalsh(rest.T @ rest)
+    return Codebook(centres, [_kmeans(rest[:, a:b], CODES, 5, seed + s) for s, (a, b) in enumerate(zip(cuts, cuts[1:]))], cuts, float(v.sum() ** 2 / max((v * v).sum(), 1e-300)))
+
+
+def probes(x: np.ndarray, own: np.ndarray, b: Codebook, reach: float, exact: bool = False):
+    """Pairs of a row of ``x`` (of the list ``own``) and a list to probe, with the distance to its centre."""
+    c = b.centres
+    margin = reach if exact else min(reach, DEVIATIONS * reach / math.sqrt(max(b.spread, 1.0)))
+    c2 = (c * c).sum(axis=1)
+    rows, lists, away = [], [], []
+    for i in range(0, len(x), ROWS):
+        part, o = x[i : i + ROWS], own[i : i + ROWS]
+        at = np.arange(len(part))
+        d2 = np.maximum(0, (part * part).sum(axis=1)[:, None] + c2[None, :] - 2 * part @ c.T)
+        homes, home = np.unique(o, return_inverse=True)
+        apart = np.sqrt(np.maximum(0, c2[homes][:, None] + c2[None, :] - 2 * c[homes] @ c.T))[home]
+        border = (d2 - d2[at, o][:, None]) / np.maximum(2 * apart, 1e-12)  # distance to the plane between own cell and the other
+        border[at, o] = 0
+        r, k = np.nonzero(border <= margin + 1e-9)
+        rows.append(r + i)
+        lists.append(k)
+        away.append(np.sqrt(d2[r, k]))
+    return tuple(np.concatenate(z) if z else np.zeros(0) for z in (rows, lists, away))
 
 
 def _units(column: pa.Array) -> np.ndarray:
@@ -79,11 +110,12 @@ def _units(column: pa.Array) -> np.ndarray:
     return a.reshape(len(column), -1)
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", exact: bool = False) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` of every row.
 
     Vectors link if their labels are equal and not null, their dimensions agree and their cosine is at least ``threshold``.
     Null and zero vectors and those with null or non-finite components link with nothing: they are their own component.
+    Links are found through the index (see above; ``exact`` finds all); none is made up.
     Equal vectors are one node with a count.  Rows that repeat an id count as vectors of their own; null ids take part, and a
     component whose ids are all null has a null id and isn't kept.
     """
@@ -105,12 +137,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     rows = scratch.save(rows.mapInArrow(prepare, "vec_id long, label string, u binary"), "rows")
     some = rows.where("u is not null").groupBy("label", "u").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
     nodes = scratch.save(some.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.octet_length("u")), "nodes")
-    total = nodes.count()
-    sample = nodes.select("dim", "u").orderBy(F.xxhash64("label", "u"), "u").limit(SAMPLE).toArrow()
+    total, most = nodes.groupBy("label").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    # a third at most, so that the centres fit what they haven't seen as well as what they have
+    sample = nodes.select("dim", "u").orderBy(F.xxhash64("label", "u"), "u").limit(min(SAMPLE, max(CODES, total // 3))).toArrow()
     books = {}
     for dim in set(sample["dim"].to_pylist()):
         at = np.array(sample["dim"]) == dim
-        books[dim] = fit(_units(sample["u"].filter(pa.array(at)).combine_chunks()), min(LISTS, max(4, math.ceil(math.sqrt(total) / 16))))
+        # lists go with the root of the largest label's vectors, each label having its own cells
+        books[dim] = fit(_units(sample["u"].filter(pa.array(at)).combine_chunks()), min(LISTS, max(4, math.ceil(math.sqrt(most)))))
     sent = spark.sparkContext.broadcast(books)  # bounded by LISTS and the dimensions
 
     def book(dim: int) -> Codebook:
@@ -137,19 +171,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     def probe(batches):
         for b in batches:
             for dim, part, x in by_dim(b):
-                c = book(dim).centres
-                d2 = np.maximum(0, (x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1)[None, :] - 2 * x @ c.T)
-                own = np.array(part.column("list"))
-                apart = np.sqrt(((c[own][:, None, :] - c[None, :, :]) ** 2).sum(axis=2)) if len(c) <= 64 else np.stack([np.sqrt(((c - c[o]) ** 2).sum(axis=1)) for o in own])
-                # distance from the query to the plane between its own cell and the other
-                plane = (d2 - d2[np.arange(len(x)), own][:, None]) / np.maximum(2 * apart, 1e-12)
-                plane[np.arange(len(x)), own] = 0
-                i, lists = np.nonzero(plane <= reach + 1e-9)
-                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(i)), part.column("label").take(pa.array(i)), part.column("dim").take(pa.array(i)), pa.array(lists.astype(np.int64)), pa.array(np.sqrt(d2[i, lists]))], names=["node", *cells, "away"])
-
-    probes = members.select("node", "label", "dim", "list", "u").mapInArrow(probe, "node long, label string, dim int, list long, away double")
+                i, lists, away = probes(x, np.array(part.column("list")), book(dim), reach, exact)
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(i)), part.column("label").take(pa.array(i)), part.column("dim").take(pa.array(i)), pa.array(lists.astype(np.int64)), pa.array(away)], names=["node", *cells, "away"])
+
+    probed = members.select("node", "label", "dim", "list", "u").mapInArrow(probe, "node long, label string, dim int, list long, away double")
     sizes = scratch.save(members.groupBy(*cells).agg(F.count("*").alias("size"), F.max("far").alias("radius")), "sizes")
-    asked = probes.join(sizes, cells).where(F.col("away") <= F.col("radius") + reach).select(*cells, "node", "size")
+    asked = probed.join(sizes, cells).where(F.col("away") <= F.col("radius") + reach).select(*cells, "node", "size")
     asked = scratch.save(asked, "asked")
     loads = scratch.save(asked.groupBy(*cells).agg(F.count("*").alias("load")), "loads")
     deal = lambda c, most: F.greatest(F.lit(1), F.ceil(F.col(c) / most)).cast("int")

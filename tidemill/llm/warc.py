@@ -1,29 +1,37 @@
 """WARC archives: writing, reading back, and an index by external merge.
 
 Pages are dealt into archives; each archive holds its captures sorted by URL key and time, so it is a
-locally sorted run.  Records end in two line breaks, which is the writer's line separator: archives go
-through Spark's own text writer and its commit protocol, to any file system it knows, as gzip files.
+locally sorted run.  Each record is a gzip member of its own, so that it can be fetched by its place.  Archives go
+through Spark's own text writer and its commit protocol, to any file system it knows: a row is a member's bytes, and what the
+writer puts between rows is an empty gzip member, which unpacks to nothing.
 Reading parses records by their lengths and checks digests.  The index entries of all runs are dealt
-out by key range, and within a range a loser tree merges the runs into ordered capture histories.
+out by key range, as many ranges as the number of entries asks for, and within a range a loser tree merges the
+runs into ordered capture histories.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import Scratch
+from ._common import Scratch, utf8
 
 CRLF = "\r\n"
 #: Payload bytes of an archive, about; a longer page has an archive's room for itself.
 ARCHIVE_BYTES = 16 << 20
-ENTRY = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, url_key string, captured string, archive string, record_offset long"
+ENTRY = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, url_key string, captured string, archive string, record_offset long, record_bytes long"
+#: Index entries that one task merges, about.
+RANGE_ROWS = 200_000
+#: An empty gzip member (header, empty block, checksum and size of nothing).
+GAP = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 0xFF, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
+#: Bytes unpacked at a time.
+STEP = 1 << 16
 
 
 def url_key(url: Column) -> Column:
@@ -52,13 +60,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     when = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.coalesce(F.col(id_col).cast("long"), F.lit(0)) * 3600 % 1_000_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'") if captured is None else captured
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(body_col, F.lit("")).alias("body"), when.alias("captured"))
     rows = rows.withColumn("digest", F.sha1(F.col("body").cast("binary")))
-    total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // ARCHIVE_BYTES) + 1)
+    total, n = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)), F.count("*")).first()
     scratch = Scratch(spark, "warc-links")
     known = rows.where("page_id is not null").select("page_id", "digest")
     groups = scratch.save(known.groupBy("digest").agg(F.max("page_id").alias("original"), F.min("page_id").alias("low")).where("low < original").drop("low"), "groups")
     revisits = scratch.save(known.join(groups, "digest").where("page_id < original").distinct(), "revisits")
-    dealt = rows.repartition(n, "page_id").join(revisits.repartition(n, "page_id"), ["page_id", "digest"], "left")
+    dealt = rows.join(revisits, ["page_id", "digest"], "left")
     size = F.octet_length("body").cast("string")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size, F.lit(CRLF * 2))
     block = F.concat(http, F.when(F.col("original").isNull(), F.col("body")).otherwise(F.lit("")))
@@ -71,11 +78,52 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.when(F.col("original").isNotNull(), F.concat(F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: "), name(F.col("original")))).otherwise(F.lit("")),
         F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF * 2),
     )
-    records = dealt.select(url_key(F.col("url")).alias("k"), "captured", "page_id", F.concat(header, block).alias("value"))
-    records.sortWithinPartitions("k", "captured", "page_id").select("value").write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+    records = dealt.select(url_key(F.col("url")).alias("k"), "captured", "page_id", F.concat(header, block, F.lit(CRLF * 2)).alias("value"))
+    members = records.sortWithinPartitions("k", "captured", "page_id").select("value").mapInArrow(_members, "value binary")
+    # the separator's bytes are given as the characters that this encoding makes of them; members are written as they are
+    text = members.select(F.col("value").cast("string")).write.option("lineSep", GAP.decode("iso-8859-1")).option("encoding", "ISO-8859-1")
+    text.option("maxRecordsPerFile", max(1, ARCHIVE_BYTES * n // max(total, 1))).text(path)
     scratch.drop("groups", "revisits")
 
 
+def _members(batches):
+    for b in batches:
+        out = []
+        for x in utf8(b.column(0)):
+            z = zlib.compressobj(6, zlib.DEFLATED, 31)
+            out.append(z.compress(x) + z.flush())
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+
+def unpack(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and content of each gzip member that isn't empty."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, out, start = zlib.decompressobj(31), [], at
+        while not z.eof:
+            part = view[at : at + STEP]
+            if not part:
+                raise ValueError(f"the member at {start} is cut off")
+            out.append(z.decompress(part))
+            at += len(part) - len(z.unused_data)
+        if content := b"".join(out):
+            yield start, at - start, content
+
+
+def fetch(spark, path: str, archive: str, offset: int, size: int) -> tuple[dict[str, str], bytes]:
+    """Header fields and block of the one record at a place that the index names; nothing else is read."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/{archive}")
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        stream.seek(offset)
+        packed = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, size))
+    finally:
+        stream.close()
+    (_, fields, block), *_ = (r for _, _, x in unpack(packed) for r in parse(io.BytesIO(x)))
+    return fields, block
+
+
 def parse(stream) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """Offset, header fields and block of each record of an unpacked archive."""
     offset = 0
@@ -107,17 +155,18 @@ def read_archives(spark, path: str) -> DataFrame:
         for b in batches:
             for archive, content in zip(b.column(0).to_pylist(), b.column(1)):
                 rows = []
-                for offset, f, block in parse(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
+                for offset, length, member in unpack(content.as_py()):
+                    _, f, block = next(parse(io.BytesIO(member)))
                     head, _, payload = block.partition(b"\r\n\r\n")
                     size = int(head.lower().split(b"content-length:")[1].split(b"\r\n")[0])
                     digest = f["warc-payload-digest"].removeprefix("sha1:")
                     if f["warc-type"] == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
                         raise ValueError(f"{archive}: the payload at {offset} isn't what its record says")
-                    rows.append((_capture(f["warc-record-id"]), size, digest, f["warc-type"], _capture(f.get("warc-refers-to")), f.get("warc-target-uri"), None, f["warc-date"], archive.rpartition("/")[2], offset))
+                    rows.append((_capture(f["warc-record-id"]), size, digest, f["warc-type"], _capture(f.get("warc-refers-to")), f.get("warc-target-uri"), None, f["warc-date"], archive.rpartition("/")[2], offset, length))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in ENTRY.split(", ")]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(run, ENTRY).withColumn("url_key", url_key(F.col("url")))
@@ -161,9 +210,11 @@ class LoserTree:
 def merge_index(entries: DataFrame) -> DataFrame:
     """The entries in global order of URL key, time and id: capture histories across all archives.
 
-    Key ranges (which split even one URL's history) go to tasks; a task's share of each run stays in the run's order, and the
-    loser tree merges the shares.
+    Key ranges (which split even one URL's history, and equal keys by their place) go to tasks; a task's share of each run stays
+    in the run's order, and the loser tree merges the shares.
     """
+    spark = entries.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries.count() // RANGE_ROWS))
 
     def run(batches):
         parts = [b for b in batches if b.num_rows]
@@ -178,7 +229,7 @@ def merge_index(entries: DataFrame) -> DataFrame:
         merged = LoserTree([keys[a:b] for a, b in zip(starts, [*starts[1:], len(keys)])])
         yield from table.take(pa.array([k[-1] for k in merged], pa.int64())).combine_chunks().to_batches()
 
-    return entries.repartitionByRange("url_key", "captured", "page_id").mapInArrow(run, entries.schema)
+    return entries.repartitionByRange(ranges, "url_key", "captured", "page_id", "archive", "record_offset").mapInArrow(run, entries.schema)
 
 
 def capture_history(pages: DataFrame, path: str | None = None, **columns) -> DataFrame:

@@ -16,7 +16,7 @@ from operator import mul
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ._common import mix, utf8
 
@@ -191,8 +191,12 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 1500) -> Model:
-    """Learns from at most ``sample`` rows of each class (those whose ids hash lowest), never from held-out ones or null labels."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 1500, sample_bytes: int = 32 << 20) -> Model:
+    """Learns from at most ``sample`` rows of each class (those whose ids hash lowest), never from held-out ones or null labels.
+
+    Of these, as many as have ``sample_bytes`` of text together, in the order of their hashes; whole texts each.  Of rows that
+    repeat an id the smallest text counts.  Without labels of both classes the model scores all alike.
+    """
     known = labels.where(~held_out(id_col)).where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null")
     picked = None
     for y in (0, 1):
@@ -209,8 +213,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 bags.append(c)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(c) for c in bags], pa.list_(pa.string())), pa.array([list(c.values()) for c in bags], pa.list_(pa.int64()))], names=["y", "words", "counts"])
 
-    # the sample's size bounds this broadcast
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked.distinct()), "id").select("y", "text")
+    # the sample's size bounds this broadcast, and what comes after it
+    found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked.distinct()), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("id"), "id", "y"))
+    rows = found.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).select("y", "text")
     got = rows.mapInArrow(bag, "y int, words array<string>, counts array<long>").toArrow()
     order = np.argsort([hash_of(w, c) for w, c in zip(got["words"].to_pylist(), got["counts"].to_pylist())], kind="stable")
     bags = [dict(zip(w, c)) for w, c in zip(got["words"].to_pylist(), got["counts"].to_pylist())]
@@ -228,7 +234,10 @@ def hash_of(words: list[str], counts: list[int]) -> int:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``score`` (0 to 1) of every row; null and empty texts get the model's bias."""
+    """``doc_id`` and ``score`` (0 to 1) of every row; null and empty texts get the model's bias.
+
+    Repeated rows and null ids are scored like any other; long texts are counted whole.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x size floats
 
     def run(batches):
@@ -240,7 +249,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose score is below ``threshold``."""
+    """The rows of ``docs``, all columns as they are, whose score is below ``threshold``; repeated rows stay or go together."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

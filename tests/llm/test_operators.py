@@ -226,7 +226,7 @@ def test_near_vectors(spark):
         rows.append((i, [float(x) for x in v], i % 2))
     rows += [(400, rows[0][1], 0), (401, [0.0] * 16, 0), (402, None, 0), (403, rows[0][1], None), (404, [float("nan")] * 16, 0), (405, [1.0, None] * 8, 0), (406, [1.0, 2.0], 0), (407, [x * 1e200 for x in rows[0][1]], 0)]
     df = spark.createDataFrame([(i, v, y, "c", 1.0) for i, v, y in rows], "vec_id long, embedding array<double>, label int, code string, error double")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in pq.near_vectors(df).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in pq.near_vectors(df, exact=True).collect()}
     unit = {i: np.array(v) / np.linalg.norm(np.array(v) / max(np.abs(v))) / max(np.abs(v)) for i, v, y in rows if v and None not in v and np.isfinite(v).all() and any(v) and y is not None}
     label = {i: (y, len(v or ())) for i, v, y in rows}
     linked = [(a, b) for a in unit for b in unit if a < b and label[a] == label[b] and unit[a] @ unit[b] >= 0.93]
@@ -382,7 +382,7 @@ def test_near_duplicates_finds_every_pair(spark):
     """Isolated pairs just above the similarity sought, short and long; pairs just below it stay apart."""
     rng = random.Random(11)
     rows, want = [], {}
-    for n, both, count in ((15, 13, 30), (18, 16, 60), (146, 131, 30), (540, 480, 30), (540, 479, 20)):  # shingles of each text, and those shared
+    for n, both, count in ((15, 13, 30), (18, 16, 60), (146, 131, 30), (540, 480, 30), (540, 479, 20), (1500, 1334, 15), (5000, 4445, 8), (5000, 4444, 4)):  # shingles of each text, and those shared
         for _ in range(count):
             at = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
             new = at[: both + 4] + [f"w{rng.randrange(10**9)}" for _ in range(n - both)]
@@ -432,3 +432,230 @@ def test_written_shards_hold_null_and_repeated_ids(spark, tmp_path):
     for r in got:
         sizes[r.shard] += len(r.text)
     assert Counter((r.doc_id, r.text) for r in got) == Counter(rows) and max(sizes.values()) <= 200
+
+
+WHITE_RUNS = [" ", "\t", "\n", "\u3000 \n"]
+
+
+@pytest.mark.parametrize("run", WHITE_RUNS)
+def test_long_blank_runs_get_the_ids_of_the_tokeniser(run):
+    from tokenizers import Tokenizer
+
+    tok, encoder = Tokenizer.from_file(packing.default_vocabulary()), packing.load_encoder(packing.default_vocabulary())
+    for n in (packing.RUN - 1, packing.RUN, 1_000_000):
+        long = (run * (n // len(run) + 1))[:n]
+        for text in (long, long + "b c", "a b" + long, "a " + long + "b", "x<|endoftext|>" + long + "<|endoftext|>y"):
+            assert np.array_equal(packing.encode(encoder, text), tok.encode(text, add_special_tokens=False).ids)
+
+
+def test_blank_texts_are_packed_whole(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, " " * 20_000_000), (2, "a" + "\t" * 1_000_000 + "b"), (3, "\n" * 1_000_000 + "c d"), (4, "x")]
+    docs = spark.createDataFrame([(1, None), (2, None), (3, None), (4, "x")], "doc_id long, text string")
+    docs = docs.selectExpr("doc_id", "case doc_id when 1 then repeat(' ', 20000000) when 2 then 'a' || repeat('\t', 1000000) || 'b' when 3 then repeat('\n', 1000000) || 'c d' else text end as text", "'en' as lang", "'s' as source", "1L as n_chars")
+    encoder = packing.load_encoder(packing.default_vocabulary())
+    want = {i: len(packing.encode(encoder, t)) + 1 for i, t in rows}
+    assert want[1] == 20_000_001
+    for got in (packing.pack(docs), corpus_pipeline.pack_sequences(spark, docs, "")):
+        assert {r.doc_id: r.n for r in got.groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()} == want
+
+
+def test_archives_are_members_that_can_be_fetched(spark, tmp_path, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1000)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 40)  # several ranges, whatever the session's partitions
+    bodies = [f"<p>{i % 20} é</p>" * (i % 7) for i in range(200)]
+    rows = [(i if i % 3 else None if i % 2 else 42, f"http://h{i % 2}.example/{i % 5}", bodies[i]) for i in range(200)]
+    path = f"{tmp_path}/archives"
+    got = warc.capture_history(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), path).collect()
+    assert Counter(r.page_id for r in got) == Counter(r[0] for r in rows) and len({r.archive for r in got}) > 4
+    order = [(r.url_key, r.captured, r.page_id is not None, r.page_id or 0) for r in got]
+    assert order == sorted(order)
+    held = {a: (tmp_path / "archives" / a).read_bytes() for a in {r.archive for r in got}}
+    for a, data in held.items():  # any gzip reader unpacks the whole archive
+        whole = list(warc.parse(__import__("io").BytesIO(gzip.decompress(data))))
+        assert len(whole) == sum(r.archive == a for r in got)
+    for r in got[::17]:
+        fields, block = warc.fetch(spark, path, r.archive, r.record_offset, r.record_bytes)
+        assert fields["warc-type"] == r.record_type and fields["warc-payload-digest"] == f"sha1:{r.payload_digest}"
+        payload = block.partition(b"\r\n\r\n")[2]
+        assert r.record_type == "revisit" or base64.b32encode(hashlib.sha1(payload).digest()).decode() == r.payload_digest
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.unpack(next(iter(held.values()))[:30]))
+
+
+def _planted(rng, n, d, copies):
+    """Unit vectors, most of them alone, and groups whose members have a cosine of about 0.93 to 0.99 with their first."""
+    x = rng.normal(size=(n, d))
+    for i in range(0, n - copies, 10 * copies):
+        for k in range(1, copies):
+            x[i + k] = x[i] + rng.normal(size=d) * np.linalg.norm(x[i]) / np.sqrt(d) * rng.uniform(0.1, 0.38)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_probes_are_few_and_suffice():
+    rng, shares = np.random.default_rng(5), []
+    for n in (10_000, 50_000):
+        x = _planted(rng, n, 64, 6)
+        book = pq.fit(x[rng.choice(n, min(16_000, n // 3), replace=False)], int(np.sqrt(n / 10)))
+        own, _, _ = book.encode(x)
+        pairs = [(i + a, i + b) for i in range(0, n - 6, 60) for a in range(6) for b in range(6) if a != b and x[i + a] @ x[i + b] >= 0.93]
+        asked = np.unique([a for a, _ in pairs])
+        at = np.searchsorted(asked, [a for a, _ in pairs])
+        r, k, _ = pq.probes(x[asked], own[asked], book, np.sqrt(0.14))
+        probed = np.zeros((len(asked), len(book.centres)), dtype=bool)
+        probed[r, k] = True
+        shares.append(probed.mean())
+        assert len(pairs) > 500 and probed[at, own[[b for _, b in pairs]]].mean() > 0.99
+        r, k, _ = pq.probes(x[asked[:200]], own[asked[:200]], book, np.sqrt(0.14), exact=True)
+        assert len(r) > 2 * probed[:200].sum()
+    assert shares[0] < 0.25 and shares[1] < 0.2 and shares[1] < shares[0]
+
+
+def test_near_vectors_recall(spark):
+    rng = np.random.default_rng(8)
+    x = _planted(rng, 3000, 64, 6)
+    label = (np.arange(3000) // 60) % 3
+    rows = [(i, x[i].tolist(), int(label[i])) for i in range(3000)] * 2  # rows repeat: each is a vector of its own
+    got = pq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    s = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
+    want = 2 * s.sum(axis=1) - 1
+    n = {r.vec_id: r.n_links for r in got}
+    assert len(got) == 6000 and all(n[i] <= want[i] for i in n) and sum(n.values()) >= 0.99 * want.sum() > 3000
+
+
+def test_quality_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PLACE_BITS", 6)  # both ways of sorting windows
+    rng = random.Random(3)
+    rows = [(n, " ".join(rng.choices("abcd" if n % 2 else [f"w{i}" for i in range(40)], k=n))) for n in (0, 1, 2, 3, 60, 65, 66, 67, 400, 5001)] + [(-1, "x " * 400_000 + "y")]
+    got = {r.doc_id: r.n_repeat_words for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        w = t.split()
+        tri = list(zip(w, w[1:], w[2:]))
+        c = Counter(tri)
+        assert got[i] == len({k + j for k, g in enumerate(tri) if c[g] > 1 for j in range(3)})
+
+
+def _rows_of(word):
+    """Table rows of a word, by the definition: its n-grams with the ends marked, and itself."""
+    mask, marked = (1 << 64) - 1, f"<{word}>"
+
+    def bucket(h, n):
+        x = (h + n) & mask
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return (x ^ (x >> 31)) % toxicity.BUCKETS
+
+    poly = lambda s: sum(ord(c) * pow(toxicity.BASE, k + 1, 1 << 64) for k, c in enumerate(s)) & mask
+    return [bucket(poly(marked), 0)] + [bucket(poly(marked[i : i + n]), n) for n in toxicity.SIZES for i in range(len(marked) - n + 1)]
+
+
+def _mean(vectors, text):
+    tokens = [toxicity.normal(t) for t in text.encode().split()]
+    out = np.zeros(vectors.shape[1])
+    for t in tokens:
+        if t:
+            out += np.mean([vectors[r] for r in _rows_of(t)], axis=0)
+    return out / max(1, len(tokens))
+
+
+def test_toxicity_training_and_score_by_hand():
+    rng = random.Random(12)
+    words_ = ["".join(rng.choices("abcdefghié", k=5)) for _ in range(30)]
+    texts = [" ".join(rng.choices(words_, k=rng.randint(3, 25)) + (["Vile!", "vile"] if i % 3 == 0 else [])) + (" -- ." if i % 5 == 0 else "") for i in range(24)]
+    y = np.array([int(i % 3 == 0) for i in range(24)])
+    bags = [dict(Counter(toxicity.normal(t) for t in x.encode().split())) for x in texts]
+    size, rate, decay, steps = 3, 0.05, 1e-3, 4
+    start = toxicity.fit(bags, y, size=size, steps=0)
+    model = toxicity.fit(bags, y, size=size, steps=steps, rate=rate, decay=decay)
+    e, w, b = start.vectors.copy(), start.weights.copy(), start.bias.copy()
+    on, unit = e[:, 0] != 0, np.abs(e).max()
+    state = [(np.zeros_like(p), np.zeros_like(p)) for p in (e, w, b)]
+    for t in range(1, steps + 1):
+        ge, gw, gb = np.zeros_like(e), np.zeros_like(w), np.zeros_like(b)
+        for text, label in zip(texts, y):  # one text, one word, one n-gram at a time
+            doc = _mean(e, text)
+            z = w @ doc + b
+            p = np.exp(z - z.max())
+            g = (p / p.sum() - np.eye(2)[label]) / len(texts)
+            gw += np.outer(g, doc)
+            gb += g
+            tokens = [toxicity.normal(x) for x in text.encode().split()]
+            for token in tokens:
+                for r in _rows_of(token) if token else []:
+                    ge[r] += (g @ w) / len(_rows_of(token)) / len(tokens)
+        ge[~on] = 0
+        for i, (x, d, r) in enumerate(((e, ge, rate * unit * 0.2), (w, gw, rate), (b, gb, rate * 2))):
+            m, v = state[i]
+            m += 0.1 * (d - m)
+            v += 0.01 * (d * d - v)
+            x -= r * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-12)
+        e *= 1 - decay
+    assert on.sum() > 5 and np.abs(model.vectors - start.vectors).max() > 1e-3
+    assert np.allclose(model.weights, w, atol=1e-6) and np.allclose(model.bias, b, atol=1e-6) and np.allclose(model.vectors, e, atol=1e-5)
+    got = model.scorer()([t.encode() for t in texts] + [b"", None])
+    want = []
+    for t in [*texts, "", ""]:
+        z = model.weights @ _mean(model.vectors, t) + model.bias
+        want.append(1 / (1 + np.exp(z[0] - z[1])))
+    assert np.allclose(got, want, atol=1e-12)
+    odds = start.vectors[:, 0] / np.abs(start.vectors[:, 0]).max()  # the start: one number a row, its smoothed log-odds cut off
+    seen = [{r for x in bag if x for r in _rows_of(x)} for bag in bags]
+    for r in {r for s in seen for r in s}:
+        k = [sum(r in s for s, c in zip(seen, y) if c == z) for z in (0, 1)]
+        raw = np.log((k[1] + 1) / (8 + 2)) - np.log((k[0] + 2) / (16 + 4))
+        assert np.sign(odds[r]) == (np.sign(raw) if abs(raw) > toxicity.CUT else 0)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 40, f"{'bad' if i % 2 else 'good'} w{i} " * 50) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    few = toxicity.train(docs, labels, sample=5, sample_bytes=1 << 20)
+    assert few.constant is None
+    assert toxicity.train(docs, labels, sample_bytes=10).constant == 0.0  # nothing fits
+
+
+def test_mixing_stage_keeps_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"t{i}", "en", "s", 1, 99.0, "Paris", i) for i in range(50)] + [(None, None, None, None, None, None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, rate double, place string, copy long")
+    got = corpus_pipeline.mix_sources(spark, docs, "")
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= set(rows) and got.count() > 20
+
+
+def test_clashing_names_in_scores_and_chats(spark):
+    docs = spark.createDataFrame([(1, "a", 5, 6, 7), (1, "a", 5, 6, 7), (None, None, None, None, None)], "doc_id long, text string, score long, y int, so_far long")
+    labels = spark.createDataFrame([(1, 1, 3), (2, 0, 3)], "doc_id long, toxic int, id int")
+    model = toxicity.train(docs, labels)
+    assert sorted(str(r.doc_id) for r in toxicity.score(docs, model).collect()) == ["1", "1", "None"]
+    assert toxicity.keep_clean(docs, toxicity.Model(np.zeros((toxicity.BUCKETS, 1)), np.zeros((2, 1)), np.zeros(2), 0.0)).columns == docs.columns
+    turns = spark.createDataFrame([(1, 0, "user", "a", "x", 9), (1, 0, "user", "a", "x", 9), (2, 0, "user", "a", "y", 9)], "conv_id long, turn long, role string, text string, h0 string, place int")
+    got = {r.conv_id: r.n_turns for r in chat.format_chats(turns).collect()}
+    assert got == {1: 2}  # the repeated turn stays, and conversation 2 is a prefix
+
+
+def test_values_on_null_rows(spark):
+    null = lambda shape: spark.createDataFrame([(None,) * (shape.count(",") + 1)] * 3, shape)
+    docs = null("doc_id long, text string, source string")
+    assert [(r.doc_id, r.fingerprint, r.component_id) for r in simhash.simhash_components(docs).collect()] == [(None, "0" * 16, None)] * 3
+    assert {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.capture_history(null("page_id long, url string, html string")).collect()} == {(None, 0, "response", None)}
+    assert [(r.piece, r.length, r.sequence_id) for r in packing.pack(docs).collect()] == [(0, 1, 0)] * 3
+    assert [(r.n_links, r.component_id, r.kept) for r in pq.near_vectors(null("vec_id long, embedding array<float>, label int")).collect()] == [(0, None, False)] * 3
+    assert {(r.n_bytes, r.shard) for r in sharding.shard(docs).collect()} == {(0, "")}
+    assert [(r.n_words, r.base_failed, r.kept) for r in quality.quality(docs).collect()] == [(0, True, False)] * 3
+    assert [(r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(docs).collect()] == [(0, 0, hashlib.sha256(b"").hexdigest())] * 3
+    assert chat.format_chats(null("conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from tidemill.llm._common import shared_folder
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder), sparkContext=SimpleNamespace(master=master))
+    assert shared_folder(session("spark://x:7077", "hdfs://x/y/")) == "hdfs://x/y" and shared_folder(session("local[4]", "")).startswith("file:")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session("spark://x:7077", ""))

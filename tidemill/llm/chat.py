@@ -57,6 +57,10 @@ def render(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
 
 
 def format_chats(turns: DataFrame, **columns) -> DataFrame:
-    """Maximal conversations with their rendered text."""
+    """Maximal conversations with their rendered text.
+
+    Only the four columns named are read, so others may have any name.  An empty table gives no rows; turns without a conversation
+    id are left out; repeated turns stay; a conversation of any length is one text.
+    """
     kept = maximal_conversations(turns, **columns)
     return kept.join(render(turns, **columns), "conv_id")

@@ -30,7 +30,7 @@ def shard(docs: DataFrame, limit: int = 4 << 20, id_col: str = "doc_id", text_co
     Every shard's UTF-8 text bytes stay within ``limit``, unless a single row exceeds it, which then is a shard alone
     or with rows of zero bytes.  Null text has zero bytes; null ids hash like the empty text.  Rows that share an id (a third
     of all, say) have its hash in common; their row numbers' bits follow it and part them.
-    Columns named in ``carry`` come back as fields of the struct ``rest``.
+    An empty table gives no rows.  Columns named in ``carry`` come back as fields of the struct ``rest``.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")

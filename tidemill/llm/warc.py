@@ -41,14 +41,6 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.substring(bare, F.length(host) + 1, F.length(bare)))
 
 
-def base32_sha1(content: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a binary column: 20 bits (five hex digits) make four letters."""
-    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    digits = F.sha1(content)
-    groups = [F.conv(F.substring(digits, 5 * i + 1, 5), 16, 10).cast("int") for i in range(8)]
-    return F.concat(*(F.substring(letters, F.shiftright(g, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for g in groups for s in (15, 10, 5, 0)))
-
-
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", captured: Column | None = None) -> None:
     """Writes one record per row.
 
@@ -66,20 +58,21 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     groups = scratch.save(known.groupBy("digest").agg(F.max("page_id").alias("original"), F.min("page_id").alias("low")).where("low < original").drop("low"), "groups")
     revisits = scratch.save(known.join(groups, "digest").where("page_id < original").distinct(), "revisits")
     dealt = rows.join(revisits, ["page_id", "digest"], "left")
-    size = F.octet_length("body").cast("string")
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size, F.lit(CRLF * 2))
-    block = F.concat(http, F.when(F.col("original").isNull(), F.col("body")).otherwise(F.lit("")))
+    size = F.octet_length("body")
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size.cast("string"), F.lit(CRLF * 2))
+    first = F.col("original").isNull()
     name = lambda c: F.concat(F.lit("<urn:capture:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
-    header = F.concat(
-        F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.when(F.col("original").isNull(), "response").otherwise("revisit"),
+    head = F.concat(
+        F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.when(first, "response").otherwise("revisit"),
         F.coalesce(F.concat(F.lit(f"{CRLF}WARC-Target-URI: "), F.replace(F.replace(F.replace(F.col("url"), F.lit("%0D"), F.lit("%0d")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))), F.lit("")),
-        F.lit(f"{CRLF}WARC-Date: "), F.col("captured"), F.lit(f"{CRLF}WARC-Record-ID: "), name(F.col("page_id")),
-        F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"), base32_sha1(F.col("body").cast("binary")),
-        F.when(F.col("original").isNotNull(), F.concat(F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: "), name(F.col("original")))).otherwise(F.lit("")),
-        F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF * 2),
+        F.lit(f"{CRLF}WARC-Date: "), F.col("captured"), F.lit(f"{CRLF}WARC-Record-ID: "), name(F.col("page_id")), F.lit(f"{CRLF}WARC-Payload-Digest: sha1:"),
+    )
+    rest = F.concat(
+        F.when(first, F.lit("")).otherwise(F.concat(F.lit(f"{CRLF}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: "), name(F.col("original")))),
+        F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), (F.octet_length(http) + F.when(first, size).otherwise(0)).cast("string"), F.lit(CRLF * 2), http,
     )
-    records = dealt.select(url_key(F.col("url")).alias("k"), "captured", "page_id", F.concat(header, block, F.lit(CRLF * 2)).alias("value"))
-    members = records.sortWithinPartitions("k", "captured", "page_id").select("value").mapInArrow(_members, "value binary")
+    records = dealt.select(url_key(F.col("url")).alias("k"), "captured", "page_id", head.alias("head"), "digest", rest.alias("rest"), F.when(first, F.col("body")).otherwise(F.lit("")).alias("body"))
+    members = records.sortWithinPartitions("k", "captured", "page_id").select("head", "digest", "rest", "body").mapInArrow(_members, "value binary")
     # the separator's bytes are given as the characters that this encoding makes of them; members are written as they are
     text = members.select(F.col("value").cast("string")).write.option("lineSep", GAP.decode("iso-8859-1")).option("encoding", "ISO-8859-1")
     text.option("maxRecordsPerFile", max(1, ARCHIVE_BYTES * n // max(total, 1))).text(path)
@@ -87,11 +80,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
 
 def _members(batches):
+    """Records as gzip members; the digest is written in base32."""
     for b in batches:
         out = []
-        for x in utf8(b.column(0)):
+        for head, digest, rest, body in zip(*(utf8(c) for c in b.columns)):
             z = zlib.compressobj(6, zlib.DEFLATED, 31)
-            out.append(z.compress(x) + z.flush())
+            out.append(b"".join([z.compress(head + base64.b32encode(bytes.fromhex(digest.decode())) + rest), z.compress(body), z.compress(b"\r\n\r\n"), z.flush()]))
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
 

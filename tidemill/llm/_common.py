@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import ctypes.util
 import os
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -71,3 +76,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def lean(run: Callable) -> Callable:
+    """A function over batches that hands freed memory back to the system when it is done: idle workers stay, and would keep it."""
+
+    @wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return whole
+
+
+def slices(batches, rows: int = 1000):
+    """The batches in parts of at most so many rows, to bound what a task holds of them in Python."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import Scratch
+from ._common import Scratch, lean, slices
 
 #: Pre-tokenisation of the byte-level vocabulary (public, as its README gives it).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -153,7 +153,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, i
         from pyspark import TaskContext
 
         encoder, task, ranks = load_encoder(vocabulary), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
-        for b in batches:
+        for b in slices(batches):
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = np.append(encode(encoder, text or "").astype("<u4"), np.array([end_id], dtype="<u4"))
@@ -166,7 +166,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, i
 
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("nth", pa.int64()), ("ids", pa.list_(pa.int64()))])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long, ids array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long, ids array<long>")
 
 
 def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

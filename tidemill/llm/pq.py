@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import Scratch
+from ._common import Scratch, lean
 from .components import connected_components, forest
 
 #: Vectors the codebooks are fitted on at most (those whose ids hash lowest).
@@ -134,7 +134,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(units, pa.binary())], names=["vec_id", "label", "u"])
 
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
-    rows = scratch.save(rows.mapInArrow(prepare, "vec_id long, label string, u binary"), "rows")
+    rows = scratch.save(rows.mapInArrow(lean(prepare), "vec_id long, label string, u binary"), "rows")
     some = rows.where("u is not null").groupBy("label", "u").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"))
     nodes = scratch.save(some.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.octet_length("u")), "nodes")
     total, most = nodes.groupBy("label").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
@@ -165,7 +165,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
                 far = np.sqrt(((x - book(dim).centres[lists]) ** 2).sum(axis=1))
                 yield pa.RecordBatch.from_arrays([part.column("node"), part.column("label"), part.column("dim"), pa.array(lists), part.column("u"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(far), part.column("n")], names=["node", "label", "dim", "list", "u", "code", "error", "far", "n"])
 
-    members = scratch.save(nodes.select("node", "label", "dim", "u", "n").mapInArrow(index, "node long, label string, dim int, list long, u binary, code binary, error double, far double, n long"), "members")
+    members = scratch.save(nodes.select("node", "label", "dim", "u", "n").mapInArrow(lean(index), "node long, label string, dim int, list long, u binary, code binary, error double, far double, n long"), "members")
     cells = ["label", "dim", "list"]
 
     def probe(batches):
@@ -174,7 +174,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
                 i, lists, away = probes(x, np.array(part.column("list")), book(dim), reach, exact)
                 yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(i)), part.column("label").take(pa.array(i)), part.column("dim").take(pa.array(i)), pa.array(lists.astype(np.int64)), pa.array(away)], names=["node", *cells, "away"])
 
-    probed = members.select("node", "label", "dim", "list", "u").mapInArrow(probe, "node long, label string, dim int, list long, away double")
+    probed = members.select("node", "label", "dim", "list", "u").mapInArrow(lean(probe), "node long, label string, dim int, list long, away double")
     sizes = scratch.save(members.groupBy(*cells).agg(F.count("*").alias("size"), F.max("far").alias("radius")), "sizes")
     asked = probed.join(sizes, cells).where(F.col("away") <= F.col("radius") + reach).select(*cells, "node", "size")
     asked = scratch.save(asked, "asked")

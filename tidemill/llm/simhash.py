@@ -17,7 +17,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import Scratch, mix, utf8
+from ._common import Scratch, lean, mix, utf8
 from .components import connected_components, forest
 
 BITS = 64
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
             fps = [majority(shingle_hashes(t, width)) for t in utf8(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "id long, fp long")
 
 
 def links(distinct: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, id
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(a[:, i].copy()) for i in range(WIDE)), pa.array(sizes, pa.int64()), d, _lists(first)], names=["id", *key, "first"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    read = scratch.save(rows.mapInArrow(run, f"id long, {', '.join(f'{n} long' for n in key)}, first array<long>").where("size > 0"), "read")
+    read = scratch.save(rows.mapInArrow(lean(run), f"id long, {', '.join(f'{n} long' for n in key)}, first array<long>").where("size > 0"), "read")
     fps = scratch.save(read.drop("first"), "fps")
     nodes = scratch.save(fps.groupBy(*key).agg(F.min("id").alias("node")), "nodes")
 
@@ -288,8 +288,8 @@ def _open(first: DataFrame, similarity: float, scratch: Scratch, name: str) -> D
         if held:
             yield shared(held)
 
-    dealt = first.select("node", "comp", "first").mapInArrow(pack, "part long, data binary, counts binary").repartition("part").sortWithinPartitions("part")
-    times = dealt.mapInArrow(count, "node long, times long").groupBy("node").agg(F.sum("times").alias("times"))
+    dealt = first.select("node", "comp", "first").mapInArrow(lean(pack), "part long, data binary, counts binary").repartition("part").sortWithinPartitions("part")
+    times = dealt.mapInArrow(lean(count), "node long, times long").groupBy("node").agg(F.sum("times").alias("times"))
     return scratch.save(times.join(need, "node").where("times >= need").select("node"), f"open_{name}")
 
 
@@ -307,7 +307,7 @@ def _meets(rows: DataFrame, open_nodes: DataFrame, width: int, similarity: float
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(digests, dtype=np.uint64).view(np.int64)), pa.array([len(h) for h in sets], pa.int64()), _lists(sets)], names=["node", "comp", "digest", "size", "s"])
 
     texts = rows.join(open_nodes, F.col("id") == F.col("node")).select("node", "comp", "text")
-    sets = scratch.save(texts.mapInArrow(run, "node long, comp long, digest long, size long, s array<long>").where("size > 0"), "open_sets")
+    sets = scratch.save(texts.mapInArrow(lean(run), "node long, comp long, digest long, size long, s array<long>").where("size > 0"), "open_sets")
     tokens = sets.select("node", "comp", "digest", "size", F.explode("s").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token", "c")
     shared = tokens.join(counts, "token").groupBy("node", "comp", "digest", "size").agg(F.sort_array(F.collect_set(F.struct("c", "token"))).alias("s"))
@@ -339,7 +339,7 @@ def _sets(rows: DataFrame, need: DataFrame, width: int) -> DataFrame:
             found = [np.unique(shingle_hashes(t, width)).tobytes() for t in utf8(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["id", "s"])
 
-    return rows.join(need, "id").mapInArrow(run, "id long, s binary")
+    return rows.join(need, "id").mapInArrow(lean(run), "id long, s binary")
 
 
 def _cluster_links(rows: DataFrame, meets: DataFrame, width: int, similarity: float, scratch: Scratch) -> DataFrame:
@@ -376,7 +376,7 @@ def _cluster_links(rows: DataFrame, meets: DataFrame, width: int, similarity: fl
         if kept:
             yield _block_links(kept, similarity)
 
-    links = scratch.save(keyed.repartition("g").sortWithinPartitions("g").mapInArrow(run, "u long, v long").distinct(), "last_links")
+    links = scratch.save(keyed.repartition("g").sortWithinPartitions("g").mapInArrow(lean(run), "u long, v long").distinct(), "last_links")
     scratch.drop("full")
     return links
 
@@ -441,7 +441,7 @@ def _similar(rows: DataFrame, pairs: DataFrame, width: int, similarity: float, s
     partners = pairs.join(parts, "u").select("u", F.pmod(F.xxhash64("v"), "parts").alias("part"), "v")
     sent = hubs.join(found, F.col("u") == F.col("id")).unionByName(partners.join(found, F.col("v") == F.col("id"))).drop("id")
     dealt = sent.repartition("u", "part").sortWithinPartitions("u", "part", F.col("v").asc_nulls_first()).select("u", "part", "v", "s")
-    links = scratch.save(dealt.mapInArrow(compare, "u long, v long").distinct(), f"{name}_links")
+    links = scratch.save(dealt.mapInArrow(lean(compare), "u long, v long").distinct(), f"{name}_links")
     scratch.drop(f"{name}_sets")
     return links
 
@@ -465,7 +465,7 @@ def _sorted_links(groups: DataFrame, names: list[str], most: int, scratch: Scrat
     orders = F.array(*(F.struct(F.lit(i * len(TURNS) + j).alias("t"), turn(n, by).alias("r")) for i, n in enumerate(names) for j, by in enumerate(TURNS)))
     tables = groups.select("node", "comp", *names, F.explode(orders).alias("o")).select("o.t", "o.r", "node", "comp", *names)
     spread = tables.repartitionByRange("t", "r", *names).sortWithinPartitions("t", "r", *names)
-    found = spread.select("t", "node", "comp", *names).mapInArrow(_compare(most, NEXT), PAIR_SCHEMA)
+    found = spread.select("t", "node", "comp", *names).mapInArrow(lean(_compare(most, NEXT)), PAIR_SCHEMA)
     return found.select("u", "v").distinct()
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._common import Scratch, mix, utf8
+from ._common import Scratch, lean, mix, utf8
 
 #: Odd bases of the polynomial hashes of bytes and of words: fixed arbitrary values.
 BYTE_BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -190,22 +190,22 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 8, id_col: str
     scratch = Scratch(docs.sparkSession, "substring")
     rest = F.struct(*carry) if carry else F.lit(0)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), rest.alias("rest"))
-    packed = rows.mapInArrow(_pack, T.StructType([T.StructField("key", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("z", T.BinaryType()), rows.schema["rest"]]))
+    packed = rows.mapInArrow(lean(_pack), T.StructType([T.StructField("key", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("z", T.BinaryType()), rows.schema["rest"]]))
     texts = scratch.save(packed, "texts")
     if not texts.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         # ids that repeat or are missing: give every row a key of its own, in the order of ids
         texts = scratch.save(texts.orderBy(F.col("doc_id").asc_nulls_last(), "z").withColumn("key", F.monotonically_increasing_id()), "ordered")
     pairs = texts.select("key", "z")
-    counted = pairs.mapInArrow(_anchor_rows(window, seed, False), "h long, c long")
+    counted = pairs.mapInArrow(lean(_anchor_rows(window, seed, False)), "h long, c long")
     shared = scratch.save(counted.groupBy("h").agg(F.sum("c").alias("c")).where("c > 1").select("h"), "shared")
-    seeds = pairs.mapInArrow(_anchor_rows(window, seed, True), "h long, r long, key long, a long, n long")
+    seeds = pairs.mapInArrow(lean(_anchor_rows(window, seed, True)), "h long, r long, key long, a long, n long")
     seeds = scratch.save(seeds.join(shared, "h"), "seeds")
     classes = scratch.save(seeds.groupBy("h", "r").agg(F.min(F.struct("key", "a")).alias("first"), F.min("n").alias("n"), F.count("*").alias("c")), "classes")
     again = seeds.join(classes.where("c > 1").select("h", "r", "first"), ["h", "r"]).where("key <> first.key or a <> first.a").select("key", F.col("a").alias("s"), (F.col("a") + F.col("n") + (window - 1)).alias("e"))
     several = scratch.save(classes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "several")
     runs = classes.join(several, "h").select(F.col("first.key").alias("key"), F.struct("h", F.col("first.a").alias("a"), "n").alias("run"))
     runs = runs.groupBy("key").agg(F.collect_list("run").alias("runs"))  # as many as the one document has anchors
-    windows = pairs.join(runs, "key").select("key", "z", "runs").mapInArrow(_window_rows(window), "h long, w long, key long, a long")
+    windows = pairs.join(runs, "key").select("key", "z", "runs").mapInArrow(lean(_window_rows(window)), "h long, w long, key long, a long")
     windows = scratch.save(windows, "windows")
     firsts = windows.groupBy("h", "w").agg(F.min(F.struct("key", "a")).alias("first"), F.count("*").alias("c")).where("c > 1")
     firsts = scratch.save(firsts.drop("c"), "firsts")
@@ -213,4 +213,4 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 8, id_col: str
     spans = again.unionByName(inner).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     spans = scratch.save(spans, "spans")
     out = T.StructType([*T._parse_datatype_string("key long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string").fields, texts.schema["rest"]])
-    return texts.join(spans, "key", "left").select("key", "doc_id", "z", "spans", "rest").mapInArrow(_cut_rows, out)
+    return texts.join(spans, "key", "left").select("key", "doc_id", "z", "spans", "rest").mapInArrow(lean(_cut_rows), out)

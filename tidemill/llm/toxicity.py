@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ._common import mix, utf8
+from ._common import lean, mix, slices, utf8
 
 BUCKETS = 1 << 16
 SIZES = (3, 4, 5)
@@ -217,7 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked.distinct()), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
     so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("id"), "id", "y"))
     rows = found.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).select("y", "text")
-    got = rows.mapInArrow(bag, "y int, words array<string>, counts array<long>").toArrow()
+    got = rows.mapInArrow(lean(bag), "y int, words array<string>, counts array<long>").toArrow()
     order = np.argsort([hash_of(w, c) for w, c in zip(got["words"].to_pylist(), got["counts"].to_pylist())], kind="stable")
     bags = [dict(zip(w, c)) for w, c in zip(got["words"].to_pylist(), got["counts"].to_pylist())]
     y = np.array(got["y"].to_pylist(), dtype=np.int64)
@@ -242,10 +242,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         f = sent.value.scorer()
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f(utf8(b.column(1))), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -255,7 +255,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.3, text_col:
 
     def run(batches):
         f = sent.value.scorer()
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([x < threshold for x in f(utf8(b.column(at)))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import Scratch, utf8
+from ._common import Scratch, lean, utf8
 
 CRLF = "\r\n"
 #: Payload bytes of an archive, about; a longer page has an archive's room for itself.
@@ -72,7 +72,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), (F.octet_length(http) + F.when(first, size).otherwise(0)).cast("string"), F.lit(CRLF * 2), http,
     )
     records = dealt.select(url_key(F.col("url")).alias("k"), "captured", "page_id", head.alias("head"), "digest", rest.alias("rest"), F.when(first, F.col("body")).otherwise(F.lit("")).alias("body"))
-    members = records.sortWithinPartitions("k", "captured", "page_id").select("head", "digest", "rest", "body").mapInArrow(_members, "value binary")
+    members = records.sortWithinPartitions("k", "captured", "page_id").select("head", "digest", "rest", "body").mapInArrow(lean(_members), "value binary")
     # the separator's bytes are given as the characters that this encoding makes of them; members are written as they are
     text = members.select(F.col("value").cast("string")).write.option("lineSep", GAP.decode("iso-8859-1")).option("encoding", "ISO-8859-1")
     text.option("maxRecordsPerFile", max(1, ARCHIVE_BYTES * n // max(total, 1))).text(path)
@@ -163,7 +163,7 @@ def read_archives(spark, path: str) -> DataFrame:
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
     names = [x.split()[0] for x in ENTRY.split(", ")]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, ENTRY).withColumn("url_key", url_key(F.col("url")))
+    return files.mapInArrow(lean(run), ENTRY).withColumn("url_key", url_key(F.col("url")))
 
 
 class LoserTree:
@@ -223,7 +223,7 @@ def merge_index(entries: DataFrame) -> DataFrame:
         merged = LoserTree([keys[a:b] for a, b in zip(starts, [*starts[1:], len(keys)])])
         yield from table.take(pa.array([k[-1] for k in merged], pa.int64())).combine_chunks().to_batches()
 
-    return entries.repartitionByRange(ranges, "url_key", "captured", "page_id", "archive", "record_offset").mapInArrow(run, entries.schema)
+    return entries.repartitionByRange(ranges, "url_key", "captured", "page_id", "archive", "record_offset").mapInArrow(lean(run), entries.schema)
 
 
 def capture_history(pages: DataFrame, path: str | None = None, **columns) -> DataFrame:

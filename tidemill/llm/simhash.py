@@ -135,7 +135,7 @@ HELD = 500_000
 #: Bits of the parity map of a set; what differs in two maps differs in the sets.
 PARITY = 2048
 #: Shingles that a task compares at a time when it looks for shared ones.
-TOKENS = 1 << 21
+TOKENS = 1 << 20
 #: Taken off a bound, so that rounding cannot lose a pair on it.
 EPS = 1e-6
 #: Partners whose sets one group of the exact check streams past a document's own.

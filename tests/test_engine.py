@@ -9,6 +9,7 @@ from tidemill import schema
 from tidemill.functions import symbols, timeutil as tu
 from tidemill.operators import analytics as an, calendar as cal, catalog, continuous as co, ingest, integrity, migrate, resilience
 from tidemill.sources import maintenance as care, reference_data as ref, store
+from tidemill.sources.catalog_store import Catalog
 from tidemill.streaming import ingest as stream
 
 NS = 1_700_000_000_000_000_000
@@ -157,7 +158,7 @@ def test_stream_is_idempotent(spark, tmp_path):
     raw.repartition(2).write.parquet(src)
     seen = []
     for checkpoint in ("c1", "c2"):
-        q = stream.ingest_stream(stream.raw_stream(spark, src), root, str(tmp_path / checkpoint), on_batch=lambda n, w: seen.append(sum(r.row_count for r in w.collect())))
+        q = stream.ingest_stream(stream.raw_stream(spark, src), root, str(tmp_path / checkpoint), on_batch=lambda n, w, c: seen.append(sum(r.row_count for r in w.collect())))
         q.awaitTermination()
     assert seen[0] == seen[1] == store.count(spark, root, "WDOJ26") > 250
 
@@ -274,3 +275,122 @@ def test_health_and_conditional_compaction(spark, tmp_path):
     assert care.compact_if_complete(spark, root, str(tmp_path / "m"), *month, ledger("failed"), none)[0] is None
     n, log = care.compact_if_complete(spark, root, str(tmp_path / "m"), *month, ledger("completed"), none)
     assert n == store.count(spark, root, "WDOJ26") > 0 and [(r.symbol, r.status) for r in log.collect()] == [("WDOJ26", "completed")]
+
+
+def test_stream_keeps_bad_rows_out(spark, tmp_path):
+    src, root = str(tmp_path / "in"), str(tmp_path / "lake")
+    raw = ref.synthetic_trades(spark, 300)
+    k = F.col("arrival")
+    bad = raw.withColumn("price", F.when(k == 7, float("nan")).when(k == 8, -1.0).otherwise(F.col("price"))).withColumn("quantity", F.when(k == 20, -5).otherwise(F.col("quantity")))
+    bad = bad.withColumn("exchange", F.when(k == 30, "Q").otherwise(F.col("exchange"))).withColumn("timestamp_ns", F.when(k == 40, -1).otherwise(F.col("timestamp_ns"))).withColumn("flags", F.when(k == 50, 1).otherwise(F.col("flags")))
+    bad.coalesce(1).write.parquet(src)
+    seen = []
+    for checkpoint in ("c1", "c2"):  # the second run replays the batch
+        q = stream.ingest_stream(stream.raw_stream(spark, src), root, str(tmp_path / checkpoint), on_batch=lambda n, w, c: seen.append((n, c)), clock=lambda: 123)
+        q.awaitTermination()
+    assert seen == [(0, {"sentinel_skips": 1, "invalid_price_skips": 1, "edits": 1, "quarantined": 3})] * 2
+    stored = store.scan(spark, root)
+    assert stored.where("exchange not in ('F', 'B') or price <= 0 or isnan(price) or quantity <= 0 or ingestion_ts_ns <> 123").isEmpty()
+    away = spark.read.parquet(f"{root}.quarantine")
+    assert {(r.violation, r.arrival) for r in away.collect()} == {("price", 7), ("quantity", 20), ("exchange", 30)}
+    book = stream.ledger(spark, root)
+    assert book.agg(F.sum("trades_count")).first()[0] == 295 and {r.status for r in book.collect()} == {"completed"}
+    q = stream.ingest_stream(stream.raw_stream(spark, src), str(tmp_path / "other"), str(tmp_path / "c3"), stop=lambda: True)
+    with pytest.raises(Exception, match="before batch 0"):
+        q.awaitTermination()
+    assert not store.exists(spark, str(tmp_path / "other")) and stream.ledger(spark, str(tmp_path / "other")).count() == 0
+
+
+def test_stored_catalog(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path / "catalog"))
+    assert c.version() == "0" and c.migrate("1.1") == ["1.0", "1.1"] and c.migrate() == ["1.2", "1.3"] and c.migrate() == [] and c.version() == "1.3"
+    a, b, now = datetime(2024, 1, 1), datetime(2024, 1, 31), datetime(2024, 2, 1, 9)
+    c.register_job("j1", "WDOJ26", "F", a, b)
+    with pytest.raises(ValueError, match="is registered"):
+        c.register_job("j1", "WDOJ26", "F", a, b)
+    with pytest.raises(ValueError, match="can't go"):
+        c.update_job("j1", status="completed")
+    c.update_job("j1", status="in_progress", started_at=now)
+    assert c.resumable("WDOJ26", "F", a, b) == "j1" and c.resumable("WDOJ26", "F", a, now) is None
+    c.update_job("j1", status="completed", completed_at=now, trades_count=5)
+    assert c.job("j1").trades_count == 5 and c.job("j1").symbol == "WDOJ26" and c.job("nope") is None
+    assert [r.job_id for r in c.jobs(["completed"]).collect()] == ["j1"] and c.jobs(["failed"]).count() == 0
+    for name in ("x.parquet", "y.parquet", "z.parquet"):
+        c.begin_partition(name, "j1", now)
+    c.commit_partition({"partition_path": "x.parquet", "symbol": "WDOJ26", "row_count": 3, "job_id": "j1"})
+    c.commit_partition({"partition_path": "x.parquet", "symbol": "WDOJ26", "row_count": 4})
+    row = c.read("partitions").first()
+    assert (row.row_count, row.job_id) == (4, "j1")
+    assert c.recover_commits(spark.createDataFrame([("y.parquet",)], "partition_path string")) == ["y.parquet"] and c.read("_pending_commits").count() == 1
+    c.register_gaps("WDOJ26", "F", [(b, now, "late"), (a, b, "missing")], now)
+    assert [r.reason for r in c.gaps("WDOJ26").collect()] == ["missing", "late"]
+    c.resolve_gap("WDOJ26", a, b, now)
+    assert [r.reason for r in c.gaps(unresolved=True).collect()] == ["late"]
+    for d, s in ((2, "completed"), (3, "failed"), (4, "no_trades")):
+        c.record_chunk("WDOJ26", "F", date(2024, 1, d), "j1", s, 1, now)
+    assert c.completed_days("WDOJ26", "F") == [date(2024, 1, 2), date(2024, 1, 4)]
+    days = cal.business_days(spark, "2024-01-01", "2024-01-05", cal.holidays(spark))
+    assert [r.day.day for r in c.resume_plan(days, "WDOJ26", "F").collect()] == [3, 5]
+    c.add_contract(symbol_root="WDO", contract_code="WDOK26", vigent_from=date(2026, 4, 1), vigent_until=date(2026, 4, 30))
+    c.add_contract(symbol_root="WDO", contract_code="WDOJ26", vigent_from=date(2026, 3, 1), vigent_until=date(2026, 3, 31), notes="n")
+    assert [r.contract_code for r in c.contracts("WDO").collect()] == ["WDOJ26", "WDOK26"]
+    with pytest.raises(ValueError, match="end before"):
+        c.add_contract(symbol_root="WDO", contract_code="X", vigent_from=date(2026, 3, 2), vigent_until=date(2026, 3, 1))
+    # a writer that broke off leaves no commit mark: the version before stays in force
+    (tmp_path / "catalog" / "gaps" / "v99").mkdir()
+    assert c.gaps().count() == 2
+
+
+def test_a_killed_compaction_is_recovered(spark, tmp_path, monkeypatch):
+    lake, months, c = str(tmp_path / "lake"), tmp_path / "months", Catalog(spark, str(tmp_path / "catalog"))
+    store.write(ingest.dedup(ingest.sequence(trades(spark))).drop("arrival"), lake)
+    day, now = date(2023, 11, 14), datetime(2024, 1, 1)
+    days = spark.createDataFrame([(day,)], "day date")
+    out_of = lambda s, e, y, m: str(months / f"{e}-{s}-{y}-{m}")
+    key = ("WDOJ26", "F", 2023, 11)
+    run = lambda: c.compact(lake, out_of(*key), "F", "WDOJ26", 2023, 11, days, now)
+    assert run() is None and c.read("compactions").count() == 0  # the ledger lacks the day
+    c.record_chunk("WDOJ26", "F", day, "j", "completed", 5, now)
+    whole = store.compact
+
+    def dies_before(*a):
+        raise KeyboardInterrupt
+
+    def dies_after(*a):
+        whole(*a)
+        raise KeyboardInterrupt
+
+    for job, action, status in ((dies_before, "revert", "reverted"), (dies_after, "complete", "completed")):
+        monkeypatch.setattr(store, "compact", job)
+        with pytest.raises(KeyboardInterrupt):
+            run()
+        assert [r.status for r in c.read("compactions").collect()] == ["in_flight"]
+        assert c.recover_compactions(lake, out_of, now) == {key: action}
+        assert [r.status for r in c.read("compactions").collect()] == [status] and store.exists(spark, out_of(*key)) == (action == "complete")
+    monkeypatch.setattr(store, "compact", whole)
+    assert run() == store.count(spark, lake, "WDOJ26") and c.recover_compactions(lake, out_of, now) == {}
+
+
+def test_ties_and_nested_contracts(spark):
+    c = spark.createDataFrame([("R", "A", date(2024, 1, 1), date(2024, 1, 31)), ("R", "B", date(2024, 1, 5), date(2024, 1, 10)), ("R", "C", date(2024, 1, 11), date(2024, 2, 10))], "symbol_root string, contract_code string, vigent_from date, vigent_until date")
+    got = sorted((r.contract_code, r.lo, r.hi) for r in co.slices(c, 0, tu.MAX_NS).collect())
+    assert [x[0] for x in got] == ["A", "C"] and got[1][1] == got[0][2] + 1
+    at = [("A", datetime(2024, 1, 15)), ("C", datetime(2024, 2, 5)), ("C", datetime(2024, 2, 5)), ("C", datetime(2024, 2, 6))]
+    t = spark.createDataFrame([(s, tu.to_ns(x), 0, float(i)) for i, (s, x) in enumerate(at)], "symbol string, timestamp_ns long, sequence_within_ns int, price double")
+    assert sum(r._rollover_event for r in co.read_continuous(t, c, "R", 0, tu.MAX_NS).collect()) == 1
+
+
+def test_integrity_severities_and_stored_order(spark):
+    t = ingest.dedup(ingest.sequence(trades(spark, 50))).withColumn("ingestion_ts_ns", F.col("timestamp_ns")).withColumn("row", F.when(F.col("arrival") == 3, 40).otherwise(F.col("arrival")))
+    lines = {r.check: r for r in integrity.report(t, physical=(["row"], ["symbol"]), versions=["0"]).collect()}
+    assert not lines["INT-3"].passed and lines["INT-11"].n_bad == t.count() and lines["INT-4"].passed
+    assert integrity.report(t, versions=["t"]).where("not passed").isEmpty()
+    parts = spark.createDataFrame([("a", "1", "1.1.0", 1, 2)], "partition_path string, checksum_sha256 string, schema_version string, first_ts_ns long, last_ts_ns long")
+    files = lambda *rows: spark.createDataFrame(rows, "partition_path string, checksum_sha256 string")
+    of = lambda f: {r.check: (r.severity, r.passed) for r in integrity.report(t, parts, f).collect()}
+    assert of(files(("a", "1"), ("b", "2")))["INT-6"] == ("high", False)
+    assert of(files(("a", "x"), ("b", "2")))["INT-6"] == ("critical", False) and of(files(("a", "x")))["INT-7"] == ("critical", False)
+
+
+def test_error_code_alone():
+    assert resilience.category_of(-1) == resilience.category_of(0) == "permanent" and resilience.category_of(7) == "unknown"

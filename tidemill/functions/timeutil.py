@@ -45,3 +45,8 @@ def date_to_ns(day: Column) -> Column:
     """First ns of a date, clamped to what a long holds."""
     days = F.unix_date(day).cast("long")
     return F.when(days >= MAX_NS // DAY_NS, F.lit(MAX_NS).cast("long")).otherwise(days * F.lit(DAY_NS).cast("long"))
+
+
+def to_datetime(ns: Column) -> Column:
+    """Zone-less time of the ns, cut off below the microsecond."""
+    return F.timestamp_micros(F.call_function("div", ns, F.lit(1000).cast("long"))).cast("timestamp_ntz")

@@ -66,3 +66,14 @@ def pending(days: DataFrame, ledger: DataFrame) -> DataFrame:
     """Planned days that the ledger doesn't have as done."""
     done = ledger.where(F.col("status").isin("completed", "no_trades")).select("symbol", F.col("chunk_date").alias("day")).distinct()
     return ledger.select("symbol").distinct().join(F.broadcast(days)).join(done, ["symbol", "day"], "left_anti")
+
+
+def pending_months(days: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Months of the plan, per symbol, of which a business day is still to do."""
+    left = pending(days, ledger)
+    return left.groupBy("symbol", F.year("day").alias("year"), F.month("day").alias("month")).agg(F.count("*").alias("n_days"))
+
+
+def holidays_by_year(closed: DataFrame) -> DataFrame:
+    """Closed days and closed weekdays of each year."""
+    return closed.groupBy(F.year("day").alias("year")).agg(F.count("*").alias("n_days"), F.count_if(F.dayofweek("day").between(2, 6)).alias("n_weekdays"))

@@ -105,3 +105,15 @@ def probe(contracts: DataFrame, trades: DataFrame, first_hour: int = 9, last_hou
     c = contracts.select("symbol_root", "contract_code", "vigent_from", "vigent_until")
     hit = c.join(days, (F.col("contract_code") == F.col("symbol")) & F.col("day").between(F.col("vigent_from"), F.col("vigent_until")), "left")
     return hit.groupBy(*c.columns).agg((F.coalesce(F.sum("n"), F.lit(0)) > 0).alias("valid"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_trades"))
+
+
+def gap_listing(gaps: DataFrame, symbol: str | None = None, unresolved: bool = False) -> DataFrame:
+    """Gaps by symbol and start; on request of one symbol, or open ones alone."""
+    rows = gaps if symbol is None else gaps.where(F.col("symbol") == symbol)
+    return (rows.where("resolved_at is null") if unresolved else rows).orderBy("symbol", "gap_start", "gap_end")
+
+
+def contract_listing(contracts: DataFrame, root: str | None = None) -> DataFrame:
+    """Contracts by root and beginning."""
+    rows = contracts if root is None else contracts.where(F.col("symbol_root") == root)
+    return rows.orderBy("symbol_root", "vigent_from", "contract_code")

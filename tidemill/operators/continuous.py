@@ -17,14 +17,16 @@ def _small(df: DataFrame) -> DataFrame:
 def slices(contracts: DataFrame, start_ns: int, end_ns: int, until_mode: str = "end_of_day") -> DataFrame:
     """``contract_code``, ``lo``, ``hi`` (inclusive ns) of each contract that overlaps the range, without overlaps.
 
-    A contract begins after the end of the one before.  ``until_mode``: "end_of_day" keeps the last day of
+    A contract begins after the last end of all before it.  ``until_mode``: "end_of_day" keeps the last day of
     validity whole, "midnight" ends at its first ns (and leaves the rest of that day to nobody).
     """
     eod = F.when(date_to_ns(F.col("vigent_until")) > F.lit((1 << 63) - 1 - DAY_NS), F.lit((1 << 63) - 1)).otherwise(date_to_ns(F.col("vigent_until")) + F.lit(DAY_NS - 1))
     end = eod if until_mode == "end_of_day" else date_to_ns(F.col("vigent_until"))
     order = Window.partitionBy("symbol_root").orderBy("vigent_from", "contract_code")
     some = contracts.withColumn("from_ns", date_to_ns(F.col("vigent_from"))).withColumn("eod", eod).withColumn("end", end).where((F.col("eod") >= start_ns) & (F.col("from_ns") <= end_ns))
-    cut = some.withColumn("floor", F.lag(F.when(F.col("eod") < F.lit((1 << 63) - 1), F.col("eod") + 1).otherwise(F.col("eod"))).over(order))
+    latest = F.max("eod").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = some.withColumn("latest", latest).withColumn("floor", F.when(F.col("latest") < F.lit((1 << 63) - 1), F.col("latest") + 1).otherwise(F.col("latest")))
+    cut = cut.where(F.col("latest").isNull() | (F.col("latest") < F.lit((1 << 63) - 1)))  # after an open end nothing is left
     return cut.select("symbol_root", "contract_code", F.greatest("from_ns", F.coalesce("floor", "from_ns"), F.lit(start_ns)).alias("lo"), F.least("end", F.lit(end_ns)).alias("hi")).where("lo <= hi")
 
 
@@ -34,20 +36,21 @@ def stitch(trades: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def firsts(stitched: DataFrame) -> DataFrame:
-    """First trade of each contract: (time, sequence)."""
-    return stitched.groupBy("_contract_code").agg(F.min(F.struct("timestamp_ns", "sequence_within_ns")).alias("first"))
+    """First trade of each contract: (time, sequence, hash of the row, which parts those that tie)."""
+    return stitched.groupBy("_contract_code").agg(F.min(F.struct("timestamp_ns", "sequence_within_ns", F.xxhash64(*sorted(stitched.columns)).alias("row"))).alias("first"))
 
 
 def rollover_flags(stitched: DataFrame) -> DataFrame:
     """``_rollover_event``: true on the first trade of each contract but the first one.
 
-    Contracts don't overlap, so their first trades tell; no window runs over all rows.
+    Contracts don't overlap, so their first trades tell; no window runs over all rows.  Of trades that tie in time and sequence one
+    is marked (rows equal in every column, which a deduplicated store doesn't hold, share the mark).
     """
     starts = firsts(stitched)
-    lead = starts.agg(F.min("first").alias("lead"))
-    marks = _small(starts.join(F.broadcast(lead)).where("first > lead").select(F.col("_contract_code").alias("__code"), F.col("first.timestamp_ns").alias("__ts"), F.col("first.sequence_within_ns").alias("__seq")))
-    joined = stitched.join(marks, (F.col("_contract_code") == F.col("__code")) & (F.col("timestamp_ns") == F.col("__ts")) & (F.col("sequence_within_ns") == F.col("__seq")), "left")
-    return joined.withColumn("_rollover_event", F.col("__code").isNotNull()).drop("__code", "__ts", "__seq")
+    lead = starts.agg(F.min("first").alias("lead"))  # one row
+    marks = starts.join(F.broadcast(lead)).where("first > lead").select(F.col("_contract_code").alias("__code"), F.col("first.timestamp_ns").alias("__ts"), F.col("first.sequence_within_ns").alias("__seq"), F.col("first.row").alias("__row"))
+    same = (F.col("_contract_code") == F.col("__code")) & (F.col("timestamp_ns") == F.col("__ts")) & (F.col("sequence_within_ns") == F.col("__seq")) & (F.xxhash64(*sorted(stitched.columns)) == F.col("__row"))
+    return stitched.join(marks, same, "left").withColumn("_rollover_event", F.col("__code").isNotNull()).drop("__code", "__ts", "__seq", "__row")
 
 
 def transitions(stitched: DataFrame) -> DataFrame:

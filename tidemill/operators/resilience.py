@@ -10,18 +10,21 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: The vendor's codes are runs of integers; outside of the two lists below they are permanent errors.
-KNOWN = [(0, 0), (-2147483647, -2147483616), (-2147483393, -2147483389)]
+#: The vendor's codes by category.
 TRANSIENT = [-2147483647, -2147483644]
 AMBIGUOUS = [-2147483636, -2147483627]
+PERMANENT = [
+    0, -1,
+    -2147483646, -2147483645, -2147483643, -2147483642, -2147483641, -2147483640, -2147483639, -2147483638, -2147483637, -2147483635, -2147483634, -2147483633, -2147483632,
+    -2147483631, -2147483630, -2147483629, -2147483628, -2147483626, -2147483625, -2147483624, -2147483623, -2147483622, -2147483621, -2147483620, -2147483619, -2147483618,
+    -2147483617, -2147483616,
+    -2147483393, -2147483392, -2147483391, -2147483390, -2147483389,
+]
 
 
 def error_category(code: Column) -> Column:
     """transient, ambiguous, permanent or unknown; null codes are unknown."""
-    known = F.lit(False)
-    for low, high in KNOWN:
-        known = known | code.between(low, high)
-    return F.when(code.isin(*TRANSIENT), "transient").when(code.isin(*AMBIGUOUS), "ambiguous").when(known, "permanent").otherwise("unknown")
+    return F.when(code.isin(*TRANSIENT), "transient").when(code.isin(*AMBIGUOUS), "ambiguous").when(code.isin(*PERMANENT), "permanent").otherwise("unknown")
 
 
 def category_of(code: int) -> str:
@@ -29,7 +32,7 @@ def category_of(code: int) -> str:
         return "transient"
     if code in AMBIGUOUS:
         return "ambiguous"
-    return "permanent" if any(low <= code <= high for low, high in KNOWN) else "unknown"
+    return "permanent" if code in PERMANENT else "unknown"
 
 
 @dataclass

@@ -365,16 +365,15 @@ def rolling_signal(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("total", total).select("symbol", "bar_ns", "close", "change", "next_change", F.when(F.col("mean_n").isNotNull(), F.round(F.col("total").cast("double") / 10, 4)).alias("mean_n"))
 
 
-@query()
+@query(f"{T}, b AS ({_BARS.format(HOUR)}), s AS (SELECT symbol, bar_ns, close, count(close) OVER w AS n, avg(close) OVER w AS m, stddev_samp(close) OVER w AS sd FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar_ns ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) SELECT symbol, bar_ns, CASE WHEN n = 10 THEN round((close - m) / nullif(sd, 0), 6) END AS zscore FROM s")
 def rolling_zscore(spark: SparkSession, d: str) -> DataFrame:
-    """Deviations in floating point depend on the order of summing, so there is no hash-exact SQL; tests compare closely."""
-    return an.signals(an.bars(ticks(spark, d), HOUR)).select("symbol", "bar_ns", "zscore")
+    """Rounded: sums in floating point depend on their order."""
+    return an.signals(an.bars(ticks(spark, d), HOUR)).select("symbol", "bar_ns", F.round("zscore", 6).alias("zscore"))
 
 
-@query()
+@query(f"{T}, t AS (SELECT symbol, CAST(make_timestamp(timestamp_ns // 1000) AS DATE) AS day, list(price ORDER BY timestamp_ns, price) AS p FROM ticks GROUP BY ALL) SELECT symbol, day, round(list_reduce(p, lambda a, x: 2.0::DOUBLE / 21 * x + (1 - 2.0::DOUBLE / 21) * a), 6) AS ema FROM t", dates=("day",))
 def ema20(spark: SparkSession, d: str) -> DataFrame:
-    """Recursive: no plain SQL; tests hold it against a loop."""
-    return an.ema(ticks(spark, d))
+    return an.ema(ticks(spark, d)).withColumn("ema", F.round("ema", 6))
 
 
 @query(f"{T}, b AS ({_BARS.format(HOUR)}), p AS (SELECT symbol, unnest(generate_series(min(bar_ns), max(bar_ns), {HOUR})) AS bar_ns FROM b GROUP BY symbol) SELECT p.symbol, p.bar_ns, last_value(b.close IGNORE NULLS) OVER (PARTITION BY p.symbol ORDER BY p.bar_ns) AS close FROM p LEFT JOIN b ON b.symbol = p.symbol AND b.bar_ns = p.bar_ns")
@@ -468,3 +467,177 @@ def partitions_of_job_or_symbol(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH c AS ({CONTRACTS}), h AS (SELECT event_type AS symbol, CAST(ts AS DATE) AS day FROM events WHERE hour(ts) BETWEEN 9 AND 17) SELECT contract_code, count(h.symbol) > 0 AS valid, count(h.symbol) AS n_trades FROM c LEFT JOIN h ON contract_code = symbol AND day BETWEEN vigent_from AND vigent_until GROUP BY symbol_root, contract_code, vigent_from, vigent_until")
 def contract_probe(spark: SparkSession, d: str) -> DataFrame:
     return catalog.probe(contracts(spark), ticks(spark, d)).select("contract_code", "valid", "n_trades")
+
+
+# --- cases of their own ----------------------------------------------------------------------
+
+_NESTED = f"{CONTRACTS.partition('FROM (VALUES')[0]}FROM (VALUES ('Q', 'whole', '2024-01-01', '2024-01-31'), ('Q', 'inner', '2024-01-05', '2024-01-10'), ('Q', 'later', '2024-01-11', '2024-02-10'), ('Q', 'last', '2024-02-09', '9999-12-31'), ('Q', 'never', '2024-03-01', '2024-04-01')) AS t(root, code, a, b)"
+
+
+@query(f"WITH c AS ({_NESTED}), n AS (SELECT contract_code, vigent_from, epoch_us(CAST(vigent_from AS TIMESTAMP)) * 1000 AS a, CASE WHEN vigent_until > DATE '2262-01-01' THEN 9223372036854775807 ELSE epoch_us(CAST(vigent_until AS TIMESTAMP)) * 1000 + 86399999999999 END AS z FROM c), w AS (SELECT *, max(z) OVER (ORDER BY vigent_from ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM n), s AS (SELECT contract_code, CASE WHEN prev IS NULL THEN a WHEN prev < 9223372036854775807 THEN greatest(a, prev + 1) END AS lo, z AS hi FROM w) SELECT * FROM s WHERE lo <= hi")
+def contract_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Validities that lie within others, overlap, or follow an open one."""
+    return co.slices(spark.sql(_NESTED), 0, _MAX).select("contract_code", "lo", "hi")
+
+
+@query(f"{T}, {_SLICES}, f AS (SELECT _contract_code, min(timestamp_ns) AS a FROM j GROUP BY ALL) SELECT _contract_code, CAST(a > (SELECT min(a) FROM f) AS INT)::BIGINT AS n_flags, 2 * (SELECT count(*) FROM j WHERE j._contract_code = f._contract_code) AS n FROM f")
+def rollover_ties(spark: SparkSession, d: str) -> DataFrame:
+    """Every trade has a second one at its time and place in sequence: each contract but the first still has one flag."""
+    t = ticks(spark, d)
+    cuts = co.slices(contracts(spark).where("symbol_root = 'R'"), 0, _MAX)
+    marked = co.rollover_flags(co.stitch(t.unionByName(t.withColumn("price", F.col("price") + 1)), cuts))
+    return marked.groupBy("_contract_code").agg(F.count_if("_rollover_event").alias("n_flags"), F.count("*").alias("n"))
+
+
+@query(f"{T}, {_SLICES}, b AS (SELECT _contract_code, min(timestamp_ns) AS a, max(timestamp_ns) AS z FROM j GROUP BY ALL), w AS (SELECT lag(_contract_code) OVER (ORDER BY a) AS from_contract, _contract_code AS to_contract, a - lag(z) OVER (ORDER BY a) AS gap FROM b) SELECT from_contract, to_contract, gap < 4 * 86400000000000 AS close_enough FROM w WHERE from_contract IS NOT NULL")
+def rollover_pauses(spark: SparkSession, d: str) -> DataFrame:
+    """Whether trading went on within four days of each contract change."""
+    return co.transitions(_series(spark, d)).select("from_contract", "to_contract", (F.col("gap_ns") < 4 * tu.DAY_NS).alias("close_enough"))
+
+
+_STORED = f"WITH b AS ({_BAD}), s AS (SELECT *, timestamp_ns - CASE arrival % 90 WHEN 5 THEN 2000000000 WHEN 6 THEN 500000000 ELSE 0 END AS ingestion, CASE WHEN arrival % 33 = 0 THEN 'x' ELSE '4.0' END AS dll FROM b)"
+_STORED_LINES = """SELECT 'INT-2' AS "check", 'critical' AS severity, count(*) = 0 AS passed, count(*) AS n_bad FROM (SELECT 1 FROM s GROUP BY symbol, timestamp_ns, price, quantity HAVING count(*) > 1)
+UNION ALL SELECT 'INT-3', 'high', count(*) = 0, count(*) FROM (SELECT timestamp_ns, lag(timestamp_ns) OVER (PARTITION BY symbol ORDER BY arrival) AS prev FROM s) WHERE timestamp_ns < prev
+UNION ALL SELECT 'INT-4', 'critical', count(*) = 0, count(*) FROM s WHERE price IS NULL OR isnan(price) OR price <= 0 OR quantity IS NULL OR quantity <= 0
+UNION ALL SELECT 'INT-5', 'critical', count(*) = 0, count(*) FROM s WHERE exchange IS NULL OR exchange NOT IN ('F', 'B')
+UNION ALL SELECT 'INT-11', 'high', count(*) = 0, count(*) FROM s WHERE dll <> '4.0'
+UNION ALL SELECT 'INT-12', 'high', count(*) = 0, count(*) FROM s WHERE timestamp_ns - ingestion > 1000000000"""
+
+
+def _stored_report(spark: SparkSession, d: str) -> DataFrame:
+    none, k = F.lit(None).cast("long"), F.col("arrival")
+    late = F.when(k % 90 == 5, 2_000_000_000).when(k % 90 == 6, 500_000_000).otherwise(0)
+    full = _bad(spark, d).withColumns({"trade_id": none, "buy_agent_id": none, "sell_agent_id": none, "sequence_within_ns": F.lit(0), "ingestion_ts_ns": F.col("timestamp_ns") - late, "dll_version": F.when(k % 33 == 0, "x").otherwise("4.0")})
+    return integrity.report(full, physical=(["arrival"], ["symbol"]), versions=["4.0"])
+
+
+@query(f"{_STORED} {_STORED_LINES}")
+def integrity_stored_order(spark: SparkSession, d: str) -> DataFrame:
+    """Checks on trades in the order they are stored in, with times that turn back, early arrivals and odd versions."""
+    return _stored_report(spark, d)
+
+
+@query(f"""{_STORED}, l AS ({_STORED_LINES}) SELECT bool_and(passed) AS passed, CASE max(CASE WHEN passed THEN 0 WHEN severity = 'critical' THEN 2 ELSE 1 END) WHEN 2 THEN 'critical' WHEN 1 THEN 'high' ELSE 'none' END AS worst, substr(sha256(string_agg(m, '|' ORDER BY m)), 1, 16) AS report_hash FROM (SELECT *, "check" || '=' || CASE WHEN passed THEN 'P' ELSE 'F' END AS m FROM l)""")
+def integrity_roll_up(spark: SparkSession, d: str) -> DataFrame:
+    return integrity.roll_up(_stored_report(spark, d))
+
+
+@query(f"""WITH {_PARTS}, c AS (SELECT *, md5(partition_path) AS s FROM parts), f AS (SELECT partition_path, CASE WHEN low % 7 = 0 THEN 'x' ELSE md5(partition_path) END AS s FROM parts UNION ALL SELECT 'stray/' || partition_path, 'y' FROM parts),
+d AS (SELECT CASE WHEN c.partition_path IS NULL THEN 'A' WHEN f.partition_path IS NULL THEN 'B' WHEN c.s <> f.s THEN 'C' END AS drift FROM c FULL JOIN f ON c.partition_path = f.partition_path)
+SELECT * FROM (SELECT 'INT-1' AS "check", 'critical' AS severity, count(*) = 0 AS passed, count(*) AS n_bad FROM parts WHERE schema_version NOT LIKE '1.%' AND schema_version NOT LIKE '2.%'
+UNION ALL SELECT 'INT-6', CASE WHEN count(*) FILTER (WHERE drift <> 'A') > 0 THEN 'critical' ELSE 'high' END, count(drift) = 0, count(drift) FROM d
+UNION ALL SELECT 'INT-7', 'critical', count(*) = 0, count(*) FROM d WHERE drift = 'C'
+UNION ALL SELECT 'INT-8', 'high', count(*) = 0, count(*) FROM parts WHERE first_ts_ns > last_ts_ns UNION ALL SELECT 'INT-10', 'high', count(*) = 0, count(*) FROM parts WHERE job_id = 'j7')""")
+def integrity_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of the catalog against files, some changed and some unknown to it, with commits left open."""
+    p, good = _parts(spark, d), F.md5(F.col("partition_path").cast("binary"))
+    files = p.select("partition_path", F.when(F.col("low") % 7 == 0, "x").otherwise(good).alias("checksum_sha256")).unionByName(p.select(F.concat(F.lit("stray/"), "partition_path").alias("partition_path"), F.lit("y").alias("checksum_sha256")))
+    none = ticks(spark, d).where("false").withColumn("ingestion_ts_ns", F.col("timestamp_ns"))
+    lines = integrity.report(none, p.withColumn("checksum_sha256", good), files, pending=p.where("job_id = 'j7'"))
+    return lines.where(F.col("check").isin("INT-1", "INT-6", "INT-7", "INT-8", "INT-10"))
+
+
+@query(f"""WITH {_PARTS} SELECT 'INT-6' AS "check", 'high' AS severity, count(*) = 0 AS passed, count(*) AS n_bad FROM parts""")
+def integrity_unregistered(spark: SparkSession, d: str) -> DataFrame:
+    """Files that the catalog lacks, and nothing else: a high finding, not a critical one."""
+    p = _parts(spark, d).withColumn("checksum_sha256", F.lit("s"))
+    files = p.select("partition_path", "checksum_sha256").unionByName(p.select(F.concat(F.lit("new/"), "partition_path").alias("partition_path"), "checksum_sha256"))
+    none = ticks(spark, d).where("false").withColumn("ingestion_ts_ns", F.col("timestamp_ns"))
+    return integrity.report(none, p, files).where("check = 'INT-6'")
+
+
+@query("SELECT code, category FROM (VALUES (0, 'permanent'), (-1, 'permanent'), (1, 'unknown'), (-2147483648, 'unknown'), (-2147483647, 'transient'), (-2147483646, 'permanent'), (-2147483644, 'transient'), (-2147483636, 'ambiguous'), (-2147483627, 'ambiguous'), (-2147483616, 'permanent'), (-2147483615, 'unknown'), (-2147483394, 'unknown'), (-2147483393, 'permanent'), (-2147483389, 'permanent'), (-2147483388, 'unknown')) AS t(code, category)")
+def error_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Codes at the ends of their runs, those alone, and some that mean nothing; the SQL states the answers."""
+    codes = spark.createDataFrame([(c,) for c in (0, -1, 1, -2147483648, -2147483647, -2147483646, -2147483644, -2147483636, -2147483627, -2147483616, -2147483615, -2147483394, -2147483393, -2147483389, -2147483388)], "code int")
+    return codes.select("code", resilience.error_category(F.col("code")).alias("category"))
+
+
+@query("SELECT count(*) FILTER (WHERE ns < 0) AS sentinel_skips, count(*) FILTER (WHERE ns >= 0 AND p <= 0) AS invalid_price_skips, count(*) FILTER (WHERE event_id % 2 = 1) AS edits, count(*) FILTER (WHERE ns >= 0 AND NOT p <= 0) AS kept FROM (SELECT event_id, CASE WHEN event_id % 17 = 0 THEN -1 ELSE 1 END AS ns, CASE WHEN event_id % 5 = 0 THEN 0 - value ELSE value END AS p FROM events)")
+def source_skips(spark: SparkSession, d: str) -> DataFrame:
+    """What a source drops, by reason; corrections are counted and stay."""
+    i = F.col("event_id")
+    raw = table(spark, d, "events").select(F.when(i % 17 == 0, -1).otherwise(1).alias("timestamp_ns"), F.when(i % 5 == 0, 0 - F.col("value")).otherwise(F.col("value")).alias("price"), (i % 4).alias("flags"))
+    kept, counts = ingest.source_filter(raw)
+    return counts.join(F.broadcast(kept.agg(F.count("*").alias("kept"))))  # one row each
+
+
+@query(f"{T} SELECT arrival, coalesce(CASE WHEN arrival % 4 = 0 THEN arrival END, 77) AS ingestion_ts_ns, '9' AS dll_version, coalesce(CASE WHEN arrival % 3 = 0 THEN 'own' END, 'c1') AS chunk_id, {_names('trade_type')} END AS trade_type_name FROM ticks")
+def enriched(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("arrival")
+    t = ticks(spark, d).withColumns({"ingestion_ts_ns": F.when(k % 4 == 0, k), "dll_version": F.lit("1"), "chunk_id": F.when(k % 3 == 0, "own")})
+    return ingest.enrich(t, ingested_ns=77, version="9", chunk="c1").select("arrival", "ingestion_ts_ns", "dll_version", "chunk_id", "trade_type_name")
+
+
+@query("WITH p AS (SELECT p_partkey, CAST(p_size % 12 + 1 AS INT) AS m, CAST(2020 + p_size % 9 AS INT) AS y FROM part) SELECT p_partkey, 'WDO' || substr('FGHJKMNQUVXZ', m, 1) || lpad(CAST(y % 100 AS VARCHAR), 2, '0') AS code, CAST(make_date(y, m, 1) - INTERVAL 1 MONTH + INTERVAL 25 DAY AS DATE) AS first_day, CAST(make_date(y, m, 1) + INTERVAL 27 DAY AS DATE) AS last_day FROM p", dates=("first_day", "last_day"))
+def contract_codes(spark: SparkSession, d: str) -> DataFrame:
+    m, y = (F.col("p_size") % 12 + 1).cast("int"), (F.col("p_size") % 9 + 2020).cast("int")
+    first, last = symbols.assumed_validity(y, m)
+    return table(spark, d, "part").select("p_partkey", symbols.contract_code(F.lit("WDO"), y, m).alias("code"), first.alias("first_day"), last.alias("last_day"))
+
+
+@query("SELECT p_partkey, replace(replace(replace(format('{:,}', n), ',', ';'), '.', ','), ';', '.') AS amount, lpad(CAST(n // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(n % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(n % 60 AS VARCHAR), 2, '0') AS took, p_size > 10 OR p_size = 10 AS recent, least(pow(2, p_size % 9), 60.0)::DOUBLE AS wait, CASE WHEN p_partkey % 3 = 0 THEN 20 WHEN p_partkey % 3 = 1 THEN 5 ELSE 1 END AS days FROM (SELECT *, CAST(p_partkey * 37 AS BIGINT) AS n FROM part)")
+def formats(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers and times as text, versions in order, waits and chunk sizes."""
+    n, k = F.col("p_partkey") * 37, F.col("p_partkey") % 3
+    symbol = F.when(k == 0, "WDOJ26").when(k == 1, "WINJ26").otherwise("PETR4")
+    version = F.concat(F.lit("1."), F.col("p_size").cast("string"), F.lit(".0"))
+    wait = symbols.retry_delay(F.col("p_size") % 9 + 1)
+    return table(spark, d, "part").select("p_partkey", symbols.number_pt(n).alias("amount"), symbols.duration(n).alias("took"), symbols.semver_at_least(version, "1.10.0").alias("recent"), wait.alias("wait"), symbols.chunk_days(symbol, {"W": 5, "WDO": 20}, 1).alias("days"))
+
+
+@query("SELECT event_id, ts AS at, epoch_us(CAST(CAST(ts AS DATE) AS TIMESTAMP)) * 1000 AS day_ns FROM events")
+def ns_and_datetime(spark: SparkSession, d: str) -> DataFrame:
+    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    return table(spark, d, "events").select("event_id", tu.to_datetime(ns + 999).alias("at"), tu.date_to_ns(tu.day_of(ns)).alias("day_ns"))
+
+
+_CLOSED = f"closed AS (SELECT day FROM (VALUES {', '.join(f'(DATE {chr(39)}{x}{chr(39)})' for x in cal.exchange_holidays())}) AS h(day) UNION SELECT DISTINCT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderpriority = '1-URGENT')"
+
+
+def _closed(spark: SparkSession, d: str) -> DataFrame:
+    extra = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    return cal.holidays(spark, extra)
+
+
+@query(f"WITH {_CLOSED} SELECT day FROM closed", dates=("day",))
+def holidays_union(spark: SparkSession, d: str) -> DataFrame:
+    return _closed(spark, d)
+
+
+@query(f"WITH {_CLOSED} SELECT CAST(year(day) AS INT) AS year, count(*) AS n_days, count(*) FILTER (WHERE isodow(day) < 6) AS n_weekdays FROM closed GROUP BY year(day)")
+def holidays_by_year(spark: SparkSession, d: str) -> DataFrame:
+    return cal.holidays_by_year(_closed(spark, d))
+
+
+@query(f"WITH {_DAYS}, {_LEDGER}, p AS (SELECT s.symbol, days.day FROM (SELECT DISTINCT symbol FROM ledger) s CROSS JOIN days WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.symbol = s.symbol AND l.chunk_date = days.day AND l.status <> 'failed')) SELECT symbol, CAST(year(day) AS INT) AS year, CAST(month(day) AS INT) AS month, count(*) AS n_days FROM p GROUP BY symbol, year(day), month(day)")
+def pending_months(spark: SparkSession, d: str) -> DataFrame:
+    return cal.pending_months(_days(spark), _ledger(spark, d))
+
+
+@query(f"WITH c AS ({CONTRACTS}) SELECT symbol_root, contract_code, vigent_from, vigent_until FROM c ORDER BY symbol_root, vigent_from, contract_code", dates=("vigent_from", "vigent_until"))
+def contract_listing(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.contract_listing(contracts(spark))
+
+
+_GAPS = "gaps AS (SELECT o_orderpriority AS symbol, o_orderdate AS gap_start, o_orderdate + INTERVAL 1 DAY AS gap_end, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + INTERVAL 2 DAY END AS resolved_at FROM orders)"
+
+
+@query(f"WITH {_GAPS} SELECT symbol, gap_start, gap_end FROM gaps WHERE resolved_at IS NULL ORDER BY symbol, gap_start, gap_end")
+def open_gaps(spark: SparkSession, d: str) -> DataFrame:
+    at = F.col("o_orderdate")
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("symbol"), at.alias("gap_start"), (at + F.expr("INTERVAL 1 DAY")).alias("gap_end"), F.when(F.col("o_orderstatus") == "F", at + F.expr("INTERVAL 2 DAY")).alias("resolved_at"))
+    return catalog.gap_listing(rows, unresolved=True).select("symbol", "gap_start", "gap_end")
+
+
+@query("""WITH p AS (SELECT user_id % 50 AS u, CAST(month(ts) AS INT) AS month, CAST(day(ts) AS INT) AS day, count(*) AS n FROM events GROUP BY ALL), daily AS (SELECT u, month, sum(n) AS n FROM p GROUP BY ALL)
+SELECT CAST(u AS VARCHAR) AS symbol, month, CASE WHEN u % 3 = 0 OR u % 3 = 1 AND n > 0 THEN 'complete' ELSE 'revert' END AS action FROM daily WHERE u % 5 <> 0""")
+def compaction_recovery(spark: SparkSession, d: str) -> DataFrame:
+    """Months in flight: some have a monthly file with all rows or more, some one row too few."""
+    e = table(spark, d, "events").select((F.col("user_id") % 50).alias("u"), F.month("ts").alias("month"), F.dayofmonth("ts").alias("day"))
+    daily = e.groupBy("u", "month", "day").agg(F.count("*").alias("row_count"))
+    months = daily.groupBy("u", "month").agg(F.sum("row_count").alias("n"))
+    monthly = months.select("u", "month", F.lit(None).cast("int").alias("day"), F.when(F.col("u") % 3 == 0, F.col("n")).when(F.col("u") % 3 == 1, F.col("n") + 1).otherwise(F.col("n") - 1).alias("row_count"))
+    parts = daily.unionByName(monthly).select(F.col("u").cast("string").alias("symbol"), F.lit("F").alias("exchange"), F.lit(2024).alias("year"), "month", "day", "row_count")
+    flight = months.select(F.col("u").cast("string").alias("symbol"), F.lit("F").alias("exchange"), F.lit(2024).alias("year"), "month", F.when(F.col("u") % 5 == 0, F.lit("2024-03-01").cast("timestamp_ntz")).alias("completed_at"))
+    return catalog.compaction_recovery(flight, parts).select("symbol", "month", "action")

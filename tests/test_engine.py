@@ -371,6 +371,49 @@ def test_a_killed_compaction_is_recovered(spark, tmp_path, monkeypatch):
     assert run() == store.count(spark, lake, "WDOJ26") and c.recover_compactions(lake, out_of, now) == {}
 
 
+def test_compacted_months_are_scanned(spark, tmp_path, monkeypatch):
+    lake, out = str(tmp_path / "lake"), str(tmp_path / "month")
+    c, now, key = Catalog(spark, str(tmp_path / "catalog")), datetime(2024, 1, 1), ("WDOJ26", "F", 2023, 11)
+    t = ingest.dedup(ingest.sequence(trades(spark)))
+    later = t.limit(5).withColumn("timestamp_ns", F.col("timestamp_ns") + 40 * tu.DAY_NS)  # 2023-12-24
+    store.write(t.unionByName(later).drop("arrival"), lake)
+    n = t.count()
+    days = spark.createDataFrame([(date(2023, 11, 14),)], "day date")
+    c.record_chunk("WDOJ26", "F", date(2023, 11, 14), "j", "completed", n, now)
+    before = store.read(spark, lake, "WDOJ26", date(2023, 11, 14), date(2023, 11, 14)).collect()
+    run = lambda: c.compact(lake, out, "F", "WDOJ26", 2023, 11, days, now, replace=True)
+    whole, moved = store.adopt, []
+
+    def dies(*a, **k):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(store, "adopt", dies)  # after the month was written, before it took the days' place
+    with pytest.raises(KeyboardInterrupt):
+        run()
+    monkeypatch.setattr(store, "adopt", whole)
+    assert store.count(spark, lake, "WDOJ26") == n + 5 and not store.adopted(spark, lake, "F", "WDOJ26", 2023, 11)
+    assert c.recover_compactions(lake, lambda *k: out, now, replace=True) == {key: "complete"}
+    assert store.adopted(spark, lake, "F", "WDOJ26", 2023, 11) and not store.exists(spark, out)
+    with pytest.raises(ValueError):
+        whole(spark, lake, out, "F", "WDOJ26", 2023, 11)  # nothing to move, so nothing is deleted
+    monkeypatch.setattr(store, "adopt", lambda *a: moved.append(whole(*a)) or dies())  # after the move, before the mark is closed
+    with pytest.raises(KeyboardInterrupt):
+        run()
+    assert moved and c.recover_compactions(lake, lambda *k: out, now, replace=True) == {key: "complete"}
+
+    read = lambda a, b: store.read(spark, lake, "WDOJ26", a, b)
+    assert read(date(2023, 11, 14), date(2023, 11, 14)).collect() == before and len(before) == n
+    assert read(date(2023, 11, 15), date(2023, 11, 30)).count() == 0 and read(date(2023, 11, 1), date(2023, 12, 31)).count() == n + 5
+    with pytest.raises(ValueError):
+        store.write(t.drop("arrival"), lake)
+    store.write(later.drop("arrival"), lake)
+    store.merge_write(t, lake)  # stored trades win
+    assert store.count(spark, lake, "WDOJ26") == n + 5
+    written = store.merge_write(t.limit(3).withColumn("timestamp_ns", F.col("timestamp_ns") + tu.DAY_NS), lake).collect()
+    assert [(r.month, r.day, r.row_count) for r in written] == [(11, store.MONTH, n + 3)]
+    assert read(date(2023, 11, 15), date(2023, 11, 15)).count() == 3 and store.adopted(spark, lake, "F", "WDOJ26", 2023, 11)
+
+
 def test_ties_and_nested_contracts(spark):
     c = spark.createDataFrame([("R", "A", date(2024, 1, 1), date(2024, 1, 31)), ("R", "B", date(2024, 1, 5), date(2024, 1, 10)), ("R", "C", date(2024, 1, 11), date(2024, 2, 10))], "symbol_root string, contract_code string, vigent_from date, vigent_until date")
     got = sorted((r.contract_code, r.lo, r.hi) for r in co.slices(c, 0, tu.MAX_NS).collect())

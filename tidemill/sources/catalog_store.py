@@ -153,8 +153,11 @@ class Catalog:
 
     # --- compaction with a mark, and its recovery ---
 
-    def compact(self, lake: str, out: str, exchange: str, symbol: str, year: int, month: int, days: DataFrame, now: datetime) -> int | None:
-        """Compacts a month that the ledger has whole.  The mark stands before the work begins and is closed after it."""
+    def compact(self, lake: str, out: str, exchange: str, symbol: str, year: int, month: int, days: DataFrame, now: datetime, replace: bool = False) -> int | None:
+        """Compacts a month that the ledger has whole.  The mark stands before the work begins and is closed after it.
+
+        ``replace`` puts the month in the place of its days, so that scans of the lake read it.
+        """
         inside = days.where((F.year("day") == year) & (F.month("day") == month))
         own = self.read("chunk_ledger").where((F.col("symbol") == symbol) & (F.col("exchange") == exchange))
         if calendar.month_complete(inside, own).where("complete").isEmpty():
@@ -162,13 +165,16 @@ class Catalog:
         line = {"symbol": symbol, "exchange": exchange, "year": year, "month": month, "started_at": now}
         self.upsert("compactions", [line | {"status": "in_flight"}])
         n = store.compact(self.spark, lake, out, exchange, symbol, year, month)
+        if replace:
+            store.adopt(self.spark, lake, out, exchange, symbol, year, month)
         self.upsert("compactions", [line | {"status": "completed", "completed_at": now}])
         return n
 
-    def recover_compactions(self, lake: str, out_of, now: datetime) -> dict[tuple, str]:
+    def recover_compactions(self, lake: str, out_of, now: datetime, replace: bool = False) -> dict[tuple, str]:
         """Closes what a crash left in flight: a monthly file with all rows of the days counts, any other is deleted.
 
-        ``out_of``: the month's folder for (symbol, exchange, year, month).  Nothing of the days is touched.
+        ``out_of``: the month's folder for (symbol, exchange, year, month).  Nothing of the days is touched, unless
+        ``replace`` says that finished months take their place, as they would have without the crash.
         """
         found = {}
         for r in self.read("compactions").where("completed_at is null").collect():  # months in flight
@@ -176,7 +182,10 @@ class Catalog:
             at = out_of(*key)
             daily = store.scan(self.spark, lake).where((F.col("exchange") == r.exchange) & (F.col("symbol") == r.symbol) & (F.col("year") == r.year) & (F.col("month") == r.month)).count()
             monthly = self.spark.read.parquet(at).count() if store.exists(self.spark, f"{at}/_SUCCESS") else 0
-            found[key] = "complete" if monthly >= daily and monthly > 0 else "revert"
+            moved = replace and not monthly and store.adopted(self.spark, lake, r.exchange, r.symbol, r.year, r.month)
+            found[key] = "complete" if moved or monthly >= daily and monthly > 0 else "revert"
+            if replace and not moved and found[key] == "complete":
+                store.adopt(self.spark, lake, at, r.exchange, r.symbol, r.year, r.month)
             if found[key] == "revert":
                 store.delete(self.spark, at)
             self.upsert("compactions", [r.asDict() | {"status": {"complete": "completed", "revert": "reverted"}[found[key]], "completed_at": now}])

@@ -47,7 +47,7 @@ def register_missing(spark: SparkSession, root: str, partitions: DataFrame, vers
     rows = store.scan(spark, root).select(*store.KEYS, "timestamp_ns", F.col("_metadata.file_path").alias("__file"))
     base = root.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
     held = rows.groupBy(F.substring_index("__file", base, -1).alias("partition_path"), *store.KEYS).agg(F.count("*").alias("row_count"), F.min("timestamp_ns").alias("first_ts_ns"), F.max("timestamp_ns").alias("last_ts_ns"))
-    new = lacking.join(held, "partition_path").withColumn("schema_version", F.lit(version))
+    new = lacking.join(held, "partition_path").withColumns({"schema_version": F.lit(version), "day": F.nullif("day", F.lit(store.MONTH))})
     types = {f.name: f.dataType for f in partitions.schema}
     return partitions.unionByName(new.select(*((F.col(c) if c in new.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items())))
 
@@ -90,7 +90,7 @@ def migrate_store(spark: SparkSession, root: str, start: str, end: str = schema.
     old = spark.read.schema(_old_schema() if start == "1.0.0" else store._file_schema()).parquet(root)
     if not store.exists(spark, f"{staged}/_SUCCESS"):
         keep = [c for c in old.columns if c not in store.KEYS[2:]]
-        store.with_keys(migrate.migrate(old.select(*keep), start, end)).write.mode("overwrite").partitionBy(*store.KEYS).parquet(staged)
+        store.routed(migrate.migrate(old.select(*keep), start, end), root).write.mode("overwrite").partitionBy(*store.KEYS).parquet(staged)
     count = lambda df, name: df.groupBy(*store.KEYS).agg(F.count("*").alias(name))
     both = count(old, "a").join(count(spark.read.schema(store._file_schema()).parquet(staged), "b"), store.KEYS, "full_outer")
     if not both.where("not (a <=> b)").isEmpty():

@@ -14,6 +14,8 @@ from ..operators import ingest
 #: Rows one partition may hold.
 ROW_LIMIT = 50_000_000
 KEYS = ["exchange", "symbol", "year", "month", "day"]
+#: Day key of the one partition that a compacted month has in place of its days.
+MONTH = 0
 
 
 def with_keys(df: DataFrame) -> DataFrame:
@@ -21,6 +23,18 @@ def with_keys(df: DataFrame) -> DataFrame:
     return df.withColumns({"year": F.year(day), "month": F.month(day), "day": F.dayofmonth(day)})
 
 
+def compacted(spark: SparkSession, root: str) -> DataFrame:
+    """Months that lie as one partition: exchange, symbol, year and month.  Only footers of these are read."""
+    return scan(spark, root).where(F.col("day") == MONTH).select(*KEYS[:4]).distinct()
+
+
+def routed(rows: DataFrame, root: str) -> DataFrame:
+    """Trades with the keys of the partition that each belongs to: its month's where that is compacted, else its day's."""
+    months = compacted(rows.sparkSession, root).withColumn("__whole", F.lit(True))
+    day = F.when(F.col("__whole"), MONTH).otherwise(F.col("day"))
+    return with_keys(rows).join(months, KEYS[:4], "left").withColumn("day", day).select(*rows.columns, *KEYS[2:])
+
+
 def _file_schema():
     from pyspark.sql import types as T
 
@@ -38,7 +52,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """All trades under the root with their partition keys; a missing root is an empty, typed frame."""
+    """All trades under the root with their partition keys, of days and compacted months; a missing root is an empty, typed frame."""
     if not exists(spark, root):
         return spark.createDataFrame([], _file_schema())
     return spark.read.schema(_file_schema()).parquet(root)
@@ -56,8 +70,10 @@ def read(spark: SparkSession, root: str, symbol: str, start: datetime | date, en
     if lo > hi:
         raise ValueError("start is after end")
     first, last = (x if not isinstance(x, datetime) else x.date() for x in (start, end))
-    day = F.col("year") * 10000 + F.col("month") * 100 + F.col("day")
-    rows = scan(spark, root).where((F.col("exchange") == exchange) & (F.col("symbol") == symbol) & day.between(first.year * 10000 + first.month * 100 + first.day, last.year * 10000 + last.month * 100 + last.day)).where(F.col("timestamp_ns").between(lo, hi))
+    month = F.col("year") * 100 + F.col("month")
+    inside = (month * 100 + F.col("day")).between(first.year * 10000 + first.month * 100 + first.day, last.year * 10000 + last.month * 100 + last.day)
+    whole = (F.col("day") == MONTH) & month.between(first.year * 100 + first.month, last.year * 100 + last.month)
+    rows = scan(spark, root).where((F.col("exchange") == exchange) & (F.col("symbol") == symbol) & (inside | whole)).where(F.col("timestamp_ns").between(lo, hi))
     return project(rows.select(*schema.TRADE.names, "sequence_within_ns").select(*schema.TRADE.names).orderBy("timestamp_ns", "sequence_within_ns"), columns)
 
 
@@ -77,15 +93,25 @@ def prepare(raw: DataFrame, *, ingested_ns: int, version: str, chunk: str | None
 
 
 def write(df: DataFrame, root: str, *, row_limit: int = ROW_LIMIT) -> DataFrame:
-    """Overwrites the days that the frame holds, and only these; returns what was written per partition."""
+    """Overwrites the days that the frame holds, and only these; returns what was written per partition.
+
+    A day of a compacted month can't be overwritten alone and is refused; ``merge_write`` adds to such months.
+    """
     rows = with_keys(schema.canonical(df))
+    months = compacted(df.sparkSession, root)
+    if not months.isEmpty() and not months.join(rows, KEYS[:4], "left_semi").isEmpty():
+        raise ValueError("the frame holds days of a compacted month")
+    return _write(rows, root, row_limit)
+
+
+def _write(rows: DataFrame, root: str, row_limit: int = ROW_LIMIT) -> DataFrame:
     summary = rows.groupBy(*KEYS).agg(F.count("*").alias("row_count"), F.min("timestamp_ns").alias("first_ts_ns"), F.max("timestamp_ns").alias("last_ts_ns"))
     most = summary.agg(F.max("row_count")).first()[0] or 0
     if most > row_limit:
         raise ValueError(f"a partition of {most} rows; the limit is {row_limit}")
     sorted_rows = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "timestamp_ns", "sequence_within_ns")
     sorted_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(*KEYS).parquet(root)
-    return summarise(df.sparkSession, root, summary.select(*KEYS))
+    return summarise(rows.sparkSession, root, summary.select(*KEYS))
 
 
 def summarise(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
@@ -95,21 +121,21 @@ def summarise(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
 
 
 def merge_write(new: DataFrame, root: str) -> DataFrame:
-    """Merges a prepared batch (with ``arrival``) into the stored days it touches; stored rows win.
+    """Merges a prepared batch (with ``arrival``) into the stored days and compacted months it touches; stored rows win.
 
     The result is staged first, since a plan must not overwrite what it reads.
     """
     spark = new.sparkSession
-    days = with_keys(new).select(*KEYS).distinct()
+    days = routed(new, root).select(*KEYS).distinct()
     stored = scan(spark, root).join(days, KEYS, "left_semi").select(*schema.TRADE.names).withColumn("arrival", F.monotonically_increasing_id())
     merged = ingest.merge(stored, new.select(*schema.TRADE.names, "arrival"))
     staging = f"{root}.staging-{uuid.uuid4().hex}"
     schema.canonical(merged.drop("arrival")).write.parquet(staging)
     try:
-        write(spark.read.schema(schema.TRADE).parquet(staging), root)
+        _write(routed(spark.read.schema(schema.TRADE).parquet(staging), root), root)
     finally:
         delete(spark, staging)
-    return summarise(spark, root, days)
+    return summarise(spark, root, routed(new, root).select(*KEYS).distinct())  # listed anew: the files before are gone
 
 
 def compact(spark: SparkSession, root: str, out: str, exchange: str, symbol: str, year: int, month: int) -> int:
@@ -120,6 +146,36 @@ def compact(spark: SparkSession, root: str, out: str, exchange: str, symbol: str
     return spark.read.schema(schema.TRADE).parquet(out).count()
 
 
+def month_path(spark: SparkSession, root: str, exchange: str, symbol: str, year: int, month: int) -> str:
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    return f"{root.rstrip('/')}/exchange={escape(exchange)}/symbol={escape(symbol)}/year={year}/month={month}"
+
+
+def adopt(spark: SparkSession, root: str, out: str, exchange: str, symbol: str, year: int, month: int) -> None:
+    """Puts a month that ``compact`` wrote (on the lake's file system) in the place of its days.
+
+    The days go first, so that no read counts a trade twice; a run that broke off is done again, since ``out`` holds the
+    whole month until it is moved.
+    """
+    if not exists(spark, f"{out}/_SUCCESS"):
+        raise ValueError(f"no finished month in {out}")
+    at = month_path(spark, root, exchange, symbol, year, month)
+    delete(spark, at)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path(at))
+    if not fs.rename(path(out), path(f"{at}/day={MONTH}")):
+        raise OSError(f"{out} could not be moved")
+
+
+def adopted(spark: SparkSession, root: str, exchange: str, symbol: str, year: int, month: int) -> bool:
+    """Whether the month lies as one partition and has no days beside it."""
+    at = month_path(spark, root, exchange, symbol, year, month)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(path(at)) and [f.getPath().getName() for f in fs.listStatus(path(at))] == [f"day={MONTH}"]
+
+
 def files(spark: SparkSession, root: str, checksums: bool = True) -> DataFrame:
     """Parquet files under the root with their path below it, size and SHA-256; temporary files are left out."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(root).where(~F.col("path").contains(".tmp."))

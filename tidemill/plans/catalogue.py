@@ -92,16 +92,18 @@ def dedup_long_key(spark: SparkSession, d: str) -> DataFrame:
     return ingest.dedup(ingest.sequence(lines(spark, d))).select("symbol", "timestamp_ns", "trade_id", "price", "quantity", "buy_agent_id", "sell_agent_id", "sequence_within_ns")
 
 
-@query(f"{T}, a AS (SELECT *, 0 AS prio FROM ticks WHERE event_is(arrival)), b AS (SELECT * REPLACE (price + 1000 AS price), 1 AS prio FROM ticks WHERE trade_id IS NOT NULL) SELECT symbol, timestamp_ns, trade_id, price FROM (SELECT *, row_number() OVER (PARTITION BY symbol, timestamp_ns, trade_id, CASE WHEN trade_id IS NULL THEN price END, CASE WHEN trade_id IS NULL THEN quantity END ORDER BY prio, arrival) AS rn FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) WHERE rn = 1".replace("event_is(arrival)", "arrival % 2 = 0"))
+@query(f"{T}, b AS (SELECT * REPLACE (price + 1000 AS price, CASE WHEN arrival % 2 = 0 THEN trade_id ELSE 0 - trade_id END AS trade_id), 1 AS prio FROM ticks) SELECT symbol, timestamp_ns, trade_id, price FROM (SELECT *, row_number() OVER (PARTITION BY symbol, timestamp_ns, trade_id, CASE WHEN trade_id IS NULL THEN price END, CASE WHEN trade_id IS NULL THEN quantity END ORDER BY prio, arrival) AS rn FROM (SELECT *, 0 AS prio FROM ticks UNION ALL SELECT * FROM b)) WHERE rn = 1")
 def merge_existing_first(spark: SparkSession, d: str) -> DataFrame:
-    t = ticks(spark, d)
-    return ingest.merge(t.where("arrival % 2 = 0"), t.where("trade_id is not null").withColumn("price", F.col("price") + 1000)).select("symbol", "timestamp_ns", "trade_id", "price")
+    t, own = ticks(spark, d), F.col("trade_id")
+    new = t.withColumns({"price": F.col("price") + 1000, "trade_id": F.when(F.col("arrival") % 2 == 0, own).otherwise(0 - own)})  # half the ids meet stored ones
+    return ingest.merge(t, new).select("symbol", "timestamp_ns", "trade_id", "price")
 
 
-@query(f"{T} SELECT arrival, symbol, trade_id FROM ticks b WHERE b.arrival % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM ticks a WHERE a.arrival % 4 = 0 AND a.symbol = b.symbol AND a.timestamp_ns = b.timestamp_ns AND a.trade_id IS NOT DISTINCT FROM b.trade_id)")
+@query(f"{T}, a AS (SELECT * REPLACE (CASE WHEN arrival % 4 = 0 THEN trade_id ELSE 0 - arrival END AS trade_id) FROM ticks) SELECT arrival, symbol, trade_id FROM ticks b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.symbol = b.symbol AND a.timestamp_ns = b.timestamp_ns AND a.trade_id IS NOT DISTINCT FROM b.trade_id)")
 def anti_join_new_rows(spark: SparkSession, d: str) -> DataFrame:
-    t = ticks(spark, d)
-    return ingest.new_rows(t.where("arrival % 3 <> 0"), t.where("arrival % 4 = 0"), ["symbol", "timestamp_ns", "trade_id"]).select("arrival", "symbol", "trade_id")
+    t, i = ticks(spark, d), F.col("arrival")
+    stored = t.withColumn("trade_id", F.when(i % 4 == 0, F.col("trade_id")).otherwise(0 - i))
+    return ingest.new_rows(t, stored, ["symbol", "timestamp_ns", "trade_id"]).select("arrival", "symbol", "trade_id")
 
 
 _BAD = "SELECT event_type AS symbol, event_id AS arrival, CASE event_id % 50 WHEN 1 THEN 0.0 WHEN 2 THEN -1.0 WHEN 3 THEN 'NaN'::DOUBLE WHEN 4 THEN NULL ELSE value END AS price, CASE WHEN event_id % 41 = 7 THEN 0 ELSE user_id % 100 + 1 END AS quantity, CASE event_id % 60 WHEN 11 THEN 'X' WHEN 12 THEN '' WHEN 13 THEN NULL ELSE 'F' END AS exchange, CASE WHEN event_id % 70 = 9 THEN 0 ELSE epoch_us(ts) * 1000 END AS timestamp_ns FROM events"
@@ -283,17 +285,23 @@ def _parts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(path.alias("partition_path"), "symbol", "row_count", "first_ts_ns", "last_ts_ns", "file_size_bytes", F.concat(F.lit("j"), F.col("low") % 40).alias("job_id"), "low", F.when(F.col("low") % 3 == 0, "1.0.0").otherwise("1.1.0").alias("schema_version"))
 
 
-@query(f"WITH {_PARTS}, c AS (SELECT partition_path, md5(partition_path) AS s FROM parts WHERE low % 5 <> 0), f AS (SELECT partition_path, CASE WHEN low % 7 = 0 THEN 'x' ELSE md5(partition_path) END AS s FROM parts WHERE low % 4 <> 0) SELECT coalesce(c.partition_path, f.partition_path) AS partition_path, CASE WHEN c.partition_path IS NULL THEN 'A' WHEN f.partition_path IS NULL THEN 'B' WHEN c.s <> f.s THEN 'C' END AS drift FROM c FULL JOIN f ON c.partition_path = f.partition_path")
+@query(f"WITH {_PARTS}, c AS (SELECT CASE WHEN low % 5 = 0 THEN 'gone/' || partition_path ELSE partition_path END AS partition_path, md5(partition_path) AS s FROM parts), f AS (SELECT CASE WHEN low % 4 = 0 THEN 'stray/' || partition_path ELSE partition_path END AS partition_path, CASE WHEN low % 7 = 0 THEN 'x' ELSE md5(partition_path) END AS s FROM parts) SELECT coalesce(c.partition_path, f.partition_path) AS partition_path, CASE WHEN c.partition_path IS NULL THEN 'A' WHEN f.partition_path IS NULL THEN 'B' WHEN c.s <> f.s THEN 'C' END AS drift FROM c FULL JOIN f ON c.partition_path = f.partition_path")
 def reconcile_drift(spark: SparkSession, d: str) -> DataFrame:
     p, good = _parts(spark, d), F.md5(F.col("partition_path").cast("binary"))
-    return catalog.reconcile(p.where("low % 5 <> 0").select("partition_path", good.alias("checksum_sha256")), p.where("low % 4 <> 0").select("partition_path", F.when(F.col("low") % 7 == 0, "x").otherwise(good).alias("checksum_sha256")))
+    listed = p.select(_elsewhere("gone/", F.col("low") % 5 == 0), good.alias("checksum_sha256"))
+    return catalog.reconcile(listed, p.select(_elsewhere("stray/", F.col("low") % 4 == 0), F.when(F.col("low") % 7 == 0, "x").otherwise(good).alias("checksum_sha256")))
+
+
+def _elsewhere(folder: str, moved):
+    path = F.col("partition_path")
+    return F.when(moved, F.concat(F.lit(folder), path)).otherwise(path).alias("partition_path")
 
 
-@query(f"WITH {_PARTS}, old AS (SELECT * FROM parts WHERE low % 3 <> 0), new AS (SELECT partition_path, row_count + 1 AS row_count, CASE WHEN low % 2 = 0 THEN NULL ELSE 'new' END AS job_id FROM parts WHERE low % 2 = 0 OR low % 5 = 0) SELECT coalesce(old.partition_path, new.partition_path) AS partition_path, coalesce(new.row_count, old.row_count) AS row_count, coalesce(new.job_id, old.job_id) AS job_id FROM old FULL JOIN new ON old.partition_path = new.partition_path")
+@query(f"WITH {_PARTS}, new AS (SELECT CASE WHEN low % 3 = 0 THEN 'new/' || partition_path ELSE partition_path END AS partition_path, row_count + 1 AS row_count, CASE WHEN low % 2 = 0 THEN NULL ELSE 'new' END AS job_id FROM parts) SELECT coalesce(old.partition_path, new.partition_path) AS partition_path, coalesce(new.row_count, old.row_count) AS row_count, coalesce(new.job_id, old.job_id) AS job_id FROM parts old FULL JOIN new ON old.partition_path = new.partition_path")
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     p = _parts(spark, d)
-    new = p.where("low % 2 = 0 or low % 5 = 0").select("partition_path", (F.col("row_count") + 1).alias("row_count"), F.when(F.col("low") % 2 != 0, "new").alias("job_id"))
-    return catalog.upsert(p.where("low % 3 <> 0").select("partition_path", "row_count", "job_id"), new, ["partition_path"], ("job_id",))
+    new = p.select(_elsewhere("new/", F.col("low") % 3 == 0), (F.col("row_count") + 1).alias("row_count"), F.when(F.col("low") % 2 != 0, "new").alias("job_id"))
+    return catalog.upsert(p.select("partition_path", "row_count", "job_id"), new, ["partition_path"], ("job_id",))
 
 
 _JOBS = "jobs AS (SELECT 'j' || o_orderkey AS job_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'partial' END AS status, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate END AS started_at, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate + INTERVAL 1 HOUR END AS completed_at, o_orderpriority AS dll_version FROM orders)"

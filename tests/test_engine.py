@@ -7,10 +7,12 @@ from pyspark.sql import Row, functions as F
 
 from tidemill import schema
 from tidemill.functions import symbols, timeutil as tu
+from tidemill.functions.redaction import BLANK, redact
 from tidemill.operators import analytics as an, calendar as cal, catalog, continuous as co, ingest, integrity, migrate, resilience
 from tidemill.sources import maintenance as care, reference_data as ref, store
 from tidemill.sources.catalog_store import Catalog
 from tidemill.streaming import ingest as stream
+from tidemill.streaming.progress import Progress, Registry, Switch
 
 NS = 1_700_000_000_000_000_000
 
@@ -437,3 +439,71 @@ def test_integrity_severities_and_stored_order(spark):
 
 def test_error_code_alone():
     assert resilience.category_of(-1) == resilience.category_of(0) == "permanent" and resilience.category_of(7) == "unknown"
+
+
+def test_footers_hold_the_schema_version(spark, tmp_path):
+    root, bare = str(tmp_path / "lake"), str(tmp_path / "bare")
+    t = store.prepare(trades(spark, 40), ingested_ns=1, version="t").withColumn("symbol", F.lit("A%20B"))
+    store.write(t.drop("arrival"), root)
+    assert {r.schema_version for r in store.versions(spark, root).collect()} == {schema.VERSION}
+    assert store.scan(spark, root).count() == t.count()
+    lines = integrity.report(t, footers=store.versions(spark, root))
+    assert lines.where("check = 'INT-1' and passed").count() == 1
+    t.write.parquet(bare)
+    assert integrity.report(t, footers=store.versions(spark, bare)).where("check = 'INT-1' and not passed").count() == 1
+
+
+def test_average_and_filling_by_parts(spark):
+    minute = 60_000_000_000
+    rows = [("a", day * 1440 * minute + m * minute + k, k, float(day + m % 7 + k)) for day in (1, 2, 9) for m in (5, 6, 700) for k in range(4)] + [("b", 3 * minute, 0, 2.0)]
+    t = spark.createDataFrame(rows, "symbol string, timestamp_ns long, sequence_within_ns int, price double").withColumn("quantity", F.lit(1))
+    for r in an.ema(t).collect():
+        e = None
+        for x in sorted(x for x in rows if x[0] == r.symbol and x[1] // (1440 * minute) == (r.day - r.day.fromtimestamp(0)).days):
+            e = x[3] if e is None else 2 / 21 * x[3] + 19 / 21 * e
+        assert r.ema == pytest.approx(e, rel=1e-12)
+    for size in (minute, 7 * minute):
+        closes = {(x[0], x[1] // size * size): x[3] for x in sorted(rows)}
+        expected = {}
+        for s in "ab":
+            at = [k[1] for k in closes if k[0] == s]
+            for b in range(min(at), max(at) + 1, size):
+                expected[s, b] = closes.get((s, b), expected.get((s, b - size)))
+        assert {(r.symbol, r.bar_ns): r.close for r in an.resample_ffill(t, size).collect()} == expected
+
+
+def test_progress_switch_and_metrics(spark, tmp_path):
+    src, root = str(tmp_path / "in"), str(tmp_path / "lake")
+    ref.synthetic_trades(spark, 200).repartition(2).write.parquet(src)
+    now, seen = [0.0], []
+    watch, meter, switch = Progress(total=2, clock=lambda: now[0]), Registry({"stream_batch_seconds": (0.0, 1e6)}), Switch()
+    watch.observe(lambda e: 1 / 0)
+    off = watch.observe(seen.append)
+    stream.ingest_stream(stream.raw_stream(spark, src, 1), root, str(tmp_path / "c"), stop=switch, progress=watch, metrics=meter).awaitTermination()
+    assert [e.done for e in seen] == [1, 2] and seen[-1].eta_s == 0 and seen[-1].trades == 200
+    text = meter.render().splitlines()
+    assert 'stream_trades_total{job="stream"} 200' in text and 'stream_batch_seconds_bucket{job="stream",le="+Inf"} 2' in text and 'stream_batch_seconds_count{job="stream"} 2' in text
+    off()
+    watch.flush()
+    assert len(seen) == 2
+    some = Progress(total=10, clock=lambda: now[0])
+    some.observe(seen.append)
+    for now[0] in (1.0, 1.2, 1.4, 1.6):
+        some.batch(5)
+    assert [(e.done, e.trades) for e in seen[2:]] == [(1, 5), (4, 20)] and seen[-1].eta_s == pytest.approx(6 * 1.6 / 4)
+    switch.pause()
+    switch.cancel()
+    assert switch() is True
+    with pytest.raises(ValueError):
+        meter.gauge("stream_trades_total", 1)
+    with pytest.raises(ValueError):
+        meter.count("x", -1)
+
+
+def test_secrets_are_blanked(spark):
+    rows = [("u", "p", 7, {"Token": "t", "a": "b"}, [("x", "y")], None), (None, None, None, None, None, ("k", 1))]
+    df = spark.createDataFrame(rows, "user string, `nl.Password` string, token_no int, m map<string,string>, l array<struct<api_key:string,b:string>>, s struct<secret:string,n:int>")
+    a, b = redact(df).collect()
+    assert (a.user, a["nl.Password"], a.token_no, a.m, a.s) == ("u", BLANK, None, {"Token": BLANK, "a": "b"}, None)
+    assert (a.l[0].api_key, a.l[0].b) == (BLANK, "y") and b["nl.Password"] is None and (b.s.secret, b.s.n) == (BLANK, 1) and b.m is None
+    assert redact(df, allowed=("token_no",)).first().token_no == 7 and redact(df).schema.simpleString() == df.schema.simpleString()

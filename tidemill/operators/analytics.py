@@ -27,10 +27,18 @@ def vwap(trades: DataFrame, *by: str) -> DataFrame:
 
 
 def ema(trades: DataFrame, period: int = 20) -> DataFrame:
-    """Recursive average per symbol and day, begun with the day's first price: a fold over the day's sorted prices."""
+    """Recursive average per symbol and day, begun with the day's first price.
+
+    A step is a linear map of the average so far, and so are many in a row: each minute's trades fold into one
+    (its first price, their number and what they add), and a day folds its 1,440 minutes at most.
+    """
     alpha = 2.0 / (period + 1)
-    days = trades.groupBy("symbol", day_of(F.col("timestamp_ns")).alias("day")).agg(F.sort_array(F.collect_list(F.struct("timestamp_ns", "sequence_within_ns", "price"))).alias("t"))  # a symbol's day
-    fold = F.aggregate("t", F.lit(None).cast("double"), lambda a, x: F.coalesce(F.lit(alpha) * x["price"] + F.lit(1 - alpha) * a, x["price"]))
+    order = F.sort_array(F.collect_list(F.struct("timestamp_ns", "sequence_within_ns", "price")))
+    minutes = trades.groupBy("symbol", day_of(F.col("timestamp_ns")).alias("day"), bucket(F.col("timestamp_ns"), MINUTE_NS).alias("minute")).agg(order.alias("t"))
+    adds = F.aggregate("t", F.lit(0.0), lambda a, x: F.lit(alpha) * x["price"] + F.lit(1 - alpha) * a)
+    folded = minutes.select("symbol", "day", F.struct("minute", F.element_at("t", 1)["price"].alias("first"), F.pow(F.lit(1 - alpha), F.size("t")).alias("keeps"), adds.alias("adds")).alias("m"))
+    days = folded.groupBy("symbol", "day").agg(F.sort_array(F.collect_list("m")).alias("m"))
+    fold = F.aggregate("m", F.element_at("m", 1)["first"], lambda a, m: m["adds"] + m["keeps"] * a)
     return days.select("symbol", "day", fold.alias("ema"))
 
 
@@ -43,12 +51,17 @@ def signals(minute_closes: DataFrame, n: int = 10) -> DataFrame:
 
 
 def resample_ffill(trades: DataFrame, size: int = MINUTE_NS) -> DataFrame:
-    """Last price per bucket, buckets without trades carrying the one before; a symbol's spine is built by day."""
+    """Last price per bucket, buckets without trades carrying the one before.
+
+    Each day with trades is filled by itself, from its first bucket to the one before the next such day's first: its first
+    bucket has a price, so nothing is carried in from elsewhere, and a symbol's history needn't meet in one task.
+    """
     closes = bars(trades, size).select("symbol", "bar_ns", "close")
-    span = closes.groupBy("symbol").agg(F.min("bar_ns").alias("a"), F.max("bar_ns").alias("b"))
-    spine = span.select("symbol", F.explode(F.sequence("a", "b", F.lit(size).cast("long"))).alias("bar_ns"))
-    filled = F.last("close", ignorenulls=True).over(Window.partitionBy("symbol").orderBy("bar_ns"))
-    return spine.join(closes, ["symbol", "bar_ns"], "left").withColumn("close", filled)
+    days = closes.groupBy("symbol", F.expr(f"bar_ns div {DAY_NS}").alias("day")).agg(F.min("bar_ns").alias("a"), F.max("bar_ns").alias("b"))
+    until = F.coalesce(F.lead("a").over(Window.partitionBy("symbol").orderBy("day")) - size, F.col("b"))  # one row per symbol and day
+    spine = days.withColumn("until", until).select("symbol", "day", F.explode(F.sequence("a", "until", F.lit(size).cast("long"))).alias("bar_ns"))
+    filled = F.last("close", ignorenulls=True).over(Window.partitionBy("symbol", "day").orderBy("bar_ns"))
+    return spine.join(closes, ["symbol", "bar_ns"], "left").withColumn("close", filled).drop("day")
 
 
 def notional_breaches(trades: DataFrame, root: Column, limit: float) -> DataFrame:

@@ -6,14 +6,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.timeutil import DAY_NS, date_to_ns
 
-#: Contracts broadcast at most; more of them join by shuffle.
-BROADCAST_CONTRACTS = 100_000
-
-
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_CONTRACTS + 1).count() <= BROADCAST_CONTRACTS else df
-
-
 def slices(contracts: DataFrame, start_ns: int, end_ns: int, until_mode: str = "end_of_day") -> DataFrame:
     """``contract_code``, ``lo``, ``hi`` (inclusive ns) of each contract that overlaps the range, without overlaps.
 
@@ -31,8 +23,8 @@ def slices(contracts: DataFrame, start_ns: int, end_ns: int, until_mode: str = "
 
 
 def stitch(trades: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Trades of each contract inside its slice, with ``_contract_code``: an equality on the code, then the range."""
-    return trades.join(_small(cuts.select("contract_code", "lo", "hi")), (F.col("symbol") == F.col("contract_code")) & F.col("timestamp_ns").between(F.col("lo"), F.col("hi"))).drop("lo", "hi").withColumnRenamed("contract_code", "_contract_code")
+    """Trades of each contract inside its slice, with ``_contract_code``: an equality on the code, then the range; its size decides how the join runs."""
+    return trades.join(cuts.select("contract_code", "lo", "hi"), (F.col("symbol") == F.col("contract_code")) & F.col("timestamp_ns").between(F.col("lo"), F.col("hi"))).drop("lo", "hi").withColumnRenamed("contract_code", "_contract_code")
 
 
 def firsts(stitched: DataFrame) -> DataFrame:
@@ -68,6 +60,6 @@ def read_continuous(trades: DataFrame, contracts: DataFrame, root: str, start_ns
 
 def vigent(dates: DataFrame, contracts: DataFrame) -> DataFrame:
     """Contract valid on each (symbol_root, day); where several are, the one that began last."""
-    c = _small(contracts.select(F.col("symbol_root").alias("__root"), "contract_code", "vigent_from", "vigent_until"))
+    c = contracts.select(F.col("symbol_root").alias("__root"), "contract_code", "vigent_from", "vigent_until")
     hit = dates.join(c, (F.col("symbol_root") == F.col("__root")) & F.col("day").between(F.col("vigent_from"), F.col("vigent_until")))
     return hit.groupBy("symbol_root", "day").agg(F.max(F.struct("vigent_from", "contract_code")).alias("c")).select("symbol_root", "day", "c.contract_code")

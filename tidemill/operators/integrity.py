@@ -30,12 +30,14 @@ def _line(df: DataFrame, check: str, severity: str) -> DataFrame:
 def report(
     trades: DataFrame, partitions: DataFrame | None = None, files: DataFrame | None = None, strict: bool = True, *, physical: tuple[list[str], list[str]] | None = None,
     gaps: DataFrame | None = None, pending: DataFrame | None = None, versions: list[str] | None = None,
+    footers: DataFrame | None = None,
 ) -> DataFrame:
     """INT-1 to INT-12 as far as the inputs allow; an empty table passes all.
 
     ``physical``: columns that give the order in which rows are stored, and those of its runs (files): INT-3 then looks at
     that order; without it times are compared in their logical order (symbol and day), which finds nothing but broken sorts.
-    ``gaps``: unexpected gaps (INT-9); ``pending``: open commits (INT-10); ``versions``: library versions approved (INT-11).
+    ``gaps``: unexpected gaps (INT-9); ``pending``: open commits (INT-10); ``versions``: library versions approved (INT-11);
+    ``footers``: the schema versions that files hold, by which INT-1 goes instead of by those registered.
     """
     bad = violations()
     exchange = ~F.col("exchange").isin("F", "B") | (F.col("exchange").isNull() if strict else F.lit(False))
@@ -51,8 +53,10 @@ def report(
     else:
         turned = regressions(trades, *physical)
     lines = [rows, _line(duplicate_keys(trades), "INT-2", "critical"), _line(turned, "INT-3", "high")]
+    named = footers if footers is not None else partitions
+    if named is not None:
+        lines.append(_line(named.where(~F.col("schema_version").rlike(r"^[12]\.") | F.col("schema_version").isNull()), "INT-1", "critical"))
     if partitions is not None:
-        lines.append(_line(partitions.where(~F.col("schema_version").rlike(r"^[12]\.") | F.col("schema_version").isNull()), "INT-1", "critical"))
         lines.append(_line(partitions.where("first_ts_ns > last_ts_ns"), "INT-8", "high"))
     if partitions is not None and files is not None:
         from .catalog import reconcile

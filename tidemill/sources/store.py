@@ -109,11 +109,19 @@ def _write(rows: DataFrame, root: str, row_limit: int = ROW_LIMIT) -> DataFrame:
     most = summary.agg(F.max("row_count")).first()[0] or 0
     if most > row_limit:
         raise ValueError(f"a partition of {most} rows; the limit is {row_limit}")
-    sorted_rows = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "timestamp_ns", "sequence_within_ns")
+    sorted_rows = stamped(rows).repartition(*KEYS).sortWithinPartitions(*KEYS, "timestamp_ns", "sequence_within_ns")
     sorted_rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(*KEYS).parquet(root)
     return summarise(rows.sparkSession, root, summary.select(*KEYS))
 
 
+def stamped(rows: DataFrame, **marks: str) -> DataFrame:
+    """The rows with key-values for the footers of the files they go to.
+
+    Spark's writer puts the metadata of columns into each footer; ``footer`` and ``versions`` read them from there.
+    """
+    return rows.withMetadata("timestamp_ns", {"schema_version": schema.VERSION} | marks)
+
+
 def summarise(spark: SparkSession, root: str, keys: DataFrame) -> DataFrame:
     """What the store holds now in the partitions named."""
     stored = spark.read.schema(_file_schema()).parquet(root).join(keys, KEYS, "left_semi")
@@ -142,7 +150,7 @@ def compact(spark: SparkSession, root: str, out: str, exchange: str, symbol: str
     """Writes a month's days as one sorted file; returns its rows."""
     days = scan(spark, root).where((F.col("exchange") == exchange) & (F.col("symbol") == symbol) & (F.col("year") == year) & (F.col("month") == month))
     rows = ingest.dedup(days.select(*schema.TRADE.names).withColumn("arrival", F.struct("timestamp_ns", "sequence_within_ns"))).drop("arrival")
-    rows.coalesce(1).sortWithinPartitions("timestamp_ns", "sequence_within_ns").write.mode("overwrite").parquet(out)
+    stamped(rows).coalesce(1).sortWithinPartitions("timestamp_ns", "sequence_within_ns").write.mode("overwrite").parquet(out)
     return spark.read.schema(schema.TRADE).parquet(out).count()
 
 
@@ -184,16 +192,42 @@ def files(spark: SparkSession, root: str, checksums: bool = True) -> DataFrame:
     return rows.select(path.alias("partition_path"), F.col("length").alias("file_size_bytes"), *([F.sha2("content", 256).alias("checksum_sha256")] if checksums else []))
 
 
-def footer(spark: SparkSession, root: str) -> DataFrame:
-    """Footer key-values of the files under the root."""
-    import io
+def _footers(spark: SparkSession, root: str) -> DataFrame:
+    """``path`` and ``marks`` (a map) per Parquet file; executors read the files' tails only."""
 
     def run(batches):
+        import json
+
         import pandas as pd
+        import pyarrow.fs as pafs
         import pyarrow.parquet as pq
 
+        def marks(path: str) -> dict[str, str]:
+            scheme, _, rest = path.partition(":")
+            if scheme == "file" or not rest:  # names are taken as they are: symbols may hold signs that URIs escape
+                fs, at = pafs.LocalFileSystem(), "/" + (rest or path).lstrip("/")
+            else:
+                host, _, at = rest.lstrip("/").partition("/")
+                fs, base = pafs.FileSystem.from_uri(f"{scheme}://{host}/")
+                at = f"{base.rstrip('/')}/{at}"
+            with fs.open_input_file(at) as f:
+                pairs = {k.decode(): v.decode("utf-8", "replace") for k, v in (pq.read_metadata(f).metadata or {}).items()}
+            for field in json.loads(pairs.get("org.apache.spark.sql.parquet.row.metadata", "{}")).get("fields", []):
+                pairs |= {k: str(v) for k, v in field["metadata"].items()}
+            return pairs
+
         for pdf in batches:
-            rows = [(p, k.decode(), v.decode("utf-8", "replace")) for p, c in zip(pdf["path"], pdf["content"]) for k, v in (pq.read_metadata(io.BytesIO(c)).metadata or {}).items()]
-            yield pd.DataFrame(rows, columns=["path", "key", "value"])
+            yield pd.DataFrame({"path": pdf["path"], "marks": [marks(p) for p in pdf["path"]]})
+
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(root)
+    return listed.select("path").mapInPandas(run, "path string, marks map<string,string>")
+
+
+def footer(spark: SparkSession, root: str) -> DataFrame:
+    """Footer key-values of the files under the root, those that ``stamped`` gave them included."""
+    return _footers(spark, root).select("path", F.explode("marks").alias("key", "value"))
+
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(root).select("path", "content").mapInPandas(run, "path string, key string, value string")
+def versions(spark: SparkSession, root: str) -> DataFrame:
+    """The schema version in each file's footer; null where it names none."""
+    return _footers(spark, root).select("path", F.try_element_at("marks", F.lit("schema_version")).alias("schema_version"))

@@ -12,6 +12,7 @@ from .. import schema
 from ..functions.timeutil import day_of
 from ..operators import ingest
 from ..sources import store
+from .progress import Metrics, Progress
 
 
 def raw_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -20,7 +21,7 @@ def raw_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
 
 
 def ingest_stream(
-    raw: DataFrame, root: str, checkpoint: str, *, version: str = "0", agents: DataFrame | None = None, on_batch: Callable | None = None, job: str = "stream", clock: Callable[[], int] = time.time_ns, stop: Callable[[], bool] | None = None,
+    raw: DataFrame, root: str, checkpoint: str, *, version: str = "0", agents: DataFrame | None = None, on_batch: Callable | None = None, job: str = "stream", clock: Callable[[], int] = time.time_ns, stop: Callable[[], bool] | None = None, progress: Progress | None = None, metrics: Metrics | None = None,
 ) -> StreamingQuery:
     """Runs what is there to its end; batches replayed after a failure change nothing, since merging is idempotent.
 
@@ -28,7 +29,8 @@ def ingest_stream(
     a rule are kept under ``<root>.quarantine`` with the rule's name, and nothing of them reaches the store.  Each batch
     writes its days to the ledger under ``<root>.ledger``; both folders have one part a batch, which a replay overwrites.
     ``on_batch`` gets the batch number, what its partitions now hold and the counts.  ``stop`` is asked before each
-    batch; if it says so, the batch is not begun, and the next run starts with it.
+    batch; if it says so, the batch is not begun, and the next run starts with it (a ``Switch`` can also hold it back).
+    ``progress`` and ``metrics`` are told of a batch once all of it is committed.
     """
     root = root.rstrip("/")
 
@@ -36,6 +38,7 @@ def ingest_stream(
         if stop is not None and stop():
             raise Stopped(f"before batch {number}")
         batch.persist()
+        begun = time.monotonic()
         try:
             kept, skipped = ingest.source_filter(batch)
             marked = ingest.with_violation(ingest.to_canonical(kept, agents, version=version, ingested_ns=clock(), chunk=f"{job}-{number}"))
@@ -45,9 +48,18 @@ def ingest_stream(
             days = trades.groupBy("symbol", "exchange", day_of(F.col("timestamp_ns")).alias("chunk_date")).agg(F.count("*").alias("trades_count"))
             line = days.select("symbol", "exchange", "chunk_date", F.lit(f"{job}-{number}").alias("job_id"), F.lit("completed").alias("status"), "trades_count", F.expr("localtimestamp()").alias("written_at"))
             line.write.mode("overwrite").parquet(f"{root}.ledger/job={job}/batch={number}")
-            if on_batch:
+            if on_batch or metrics:
                 counts = skipped.first().asDict() | {"quarantined": marked.where("violation is not null").count()}
+            if on_batch:
                 on_batch(number, written, counts)
+            if progress or metrics:
+                n = trades.count()
+            if metrics:
+                for name, by in (counts | {"trades": n, "batches": 1}).items():
+                    metrics.count(f"stream_{name}_total", by, job=job)
+                metrics.observe("stream_batch_seconds", time.monotonic() - begun, job=job)
+            if progress:
+                progress.batch(n)
         finally:
             batch.unpersist()
 

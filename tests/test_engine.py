@@ -154,6 +154,21 @@ def test_symbols(spark):
     assert (row.a, row.b, row.c, row.d.day, row.e, row.f, row.g) == ("WDOFUT", "WDOJ26", None, 3, True, "1.234.567", "01:02:05")
 
 
+def test_formats_agrees_with_its_sql_on_long_times_and_nulls(spark, tmp_path):
+    import duckdb
+    from tidemill.plans import catalogue
+
+    rows = [(0, 1), (9729, 10), (9730, 9), (27028, 50), (9_999_999, None), (None, 3), (-1, 4), (-100, 5), (-9730, 6)]
+    parts = spark.createDataFrame(rows, "p_partkey long, p_size int")
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got, want = catalogue.QUERIES["formats"](spark, str(tmp_path)), con.sql(catalogue.ORACLE_SQL["formats"]).fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) == len(rows)
+    whole = {r.p_partkey: r.t for r in parts.select("p_partkey", symbols.duration(F.col("p_partkey") * 37).alias("t")).collect()}
+    assert (whole[9729], whole[9730], whole[9_999_999], whole[None]) == ("99:59:33", "100:00:10", "102777:46:03", None)
+
+
 def test_stream_is_idempotent(spark, tmp_path):
     src, root = str(tmp_path / "in"), str(tmp_path / "lake")
     raw = ref.synthetic_trades(spark, 300)

@@ -79,8 +79,10 @@ def number_pt(c: Column, decimals: int = 0) -> Column:
 
 
 def duration(seconds: Column) -> Column:
+    """Hours in as many digits as they take, minutes and seconds; null for null."""
     s = seconds.cast("long")
-    return F.format_string("%02d:%02d:%02d", F.call_function("div", s, F.lit(3600).cast("long")), F.call_function("div", s % 3600, F.lit(60).cast("long")), s % 60)
+    text = F.format_string("%02d:%02d:%02d", F.call_function("div", s, F.lit(3600).cast("long")), F.call_function("div", s % 3600, F.lit(60).cast("long")), s % 60)
+    return F.when(s.isNotNull(), text)  # the format writes nulls as a word
 
 
 def retry_delay(attempt: Column, base: float = 1.0, factor: float = 2.0, cap: float = 60.0) -> Column:

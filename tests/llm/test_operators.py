@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -659,3 +660,36 @@ def test_a_cluster_must_name_its_shared_folder():
     assert shared_folder(session("spark://x:7077", "hdfs://x/y/")) == "hdfs://x/y" and shared_folder(session("local[4]", "")).startswith("file:")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(session("spark://x:7077", ""))
+
+
+def test_toxicity_is_learned_off_the_driver(spark, monkeypatch):
+    here, fit = os.getpid(), toxicity.fit
+
+    def away(*a, **k):
+        assert os.getpid() != here
+        return fit(*a, **k)
+
+    docs = spark.createDataFrame([(i, f"{'vile' if i % 5 == 0 else 'fine'} day {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id long, toxic int")
+    plain = toxicity.train(docs, labels)
+    known = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    bags = [dict(Counter(toxicity.normal(t) for t in f"{'vile' if i % 5 == 0 else 'fine'} day {i}".encode().split())) for i in known]
+    order = np.argsort([toxicity.hash_of(b.keys(), b.values()) for b in bags], kind="stable")
+    want = fit([bags[i] for i in order], np.array([known[i] % 5 == 0 for i in order], dtype=np.int64))
+    assert np.allclose(plain.vectors, want.vectors) and np.allclose(plain.weights, want.weights) and np.allclose(plain.bias, want.bias)
+    monkeypatch.setattr(toxicity, "fit", away)
+    model = toxicity.train(docs, labels)
+    assert model.constant is None and np.array_equal(model.vectors, plain.vectors) and np.array_equal(model.bias, plain.bias)
+
+
+@pytest.mark.parametrize("few", [10**6, 400, 10])
+def test_few_edges_are_joined_up_in_one_task(spark, few):
+    rng = random.Random(3)
+    edges = [(rng.randrange(500), rng.randrange(500)) for _ in range(300)] + [(600 + i, 601 + i) for i in range(90)]
+    scratch = Scratch(spark, "few")
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "u long, v long"), scratch, few=few).collect()}
+    want = roots({x for e in edges for x in e}, edges)
+    assert got == {n: r for n, r in want.items() if n != r}
+    rounds = [x for x in os.listdir(scratch.root.removeprefix("file://")) if x.startswith("cc") and x not in ("cc0", "cc_stars")]
+    assert bool(rounds) == (few == 10)
+    assert components.connected_components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t"), few=few).count() == 0

@@ -327,7 +327,7 @@ def _merge(groups: DataFrame, links: DataFrame, names: list[str], scratch: Scrat
     """``groups`` with the components (smallest node) of their own links and the new ones."""
     of = groups.select("node", "comp").distinct()
     edges = links.unionByName(of.where("node <> comp").select(F.col("node").alias("u"), F.col("comp").alias("v")))
-    roots = connected_components(edges, scratch, f"{name}_cc").select(F.col("node").alias("of"), "root")
+    roots = connected_components(edges, scratch, f"{name}_cc", few=HELD).select(F.col("node").alias("of"), "root")
     return scratch.save(groups.join(roots, F.col("node") == F.col("of"), "left").select("node", F.coalesce("root", "node").alias("comp"), *names), f"{name}_groups")
 
 
@@ -349,7 +349,7 @@ def _cluster_links(rows: DataFrame, meets: DataFrame, width: int, similarity: fl
     a set is sent as often as its cluster has blocks, however many partners it has.
     """
     edges = meets.select(F.col("comp").alias("u"), F.col("other").alias("v"))
-    roots = connected_components(edges, scratch, "cluster").select(F.col("node").alias("of"), F.col("root").alias("cluster"))
+    roots = connected_components(edges, scratch, "cluster", few=HELD).select(F.col("node").alias("of"), F.col("root").alias("cluster"))
     roots = scratch.save(roots.unionByName(roots.select(F.col("cluster").alias("of"), "cluster").distinct()), "clusters")
     inside = scratch.save(meets.select("node", "comp").distinct().join(roots, F.col("comp") == F.col("of")).drop("of"), "inside")
     sets = _sets(rows, inside.select(F.col("node").alias("id")), width)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import string
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 from operator import mul
 
@@ -203,32 +204,38 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample)
         picked = some if picked is None else picked.unionByName(some)
 
-    def bag(batches):
+    def learn(batches):
+        y, bags = [], []
         for b in batches:
-            bags = []
+            y += b.column(0).to_pylist()
             for t in utf8(b.column(1)):
                 c = Counter()
                 for token, n in Counter((t or b"").split()).items():
                     c[normal(token)] += n
                 bags.append(c)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(c) for c in bags], pa.list_(pa.string())), pa.array([list(c.values()) for c in bags], pa.list_(pa.int64()))], names=["y", "words", "counts"])
+        order = np.argsort([hash_of(c.keys(), c.values()) for c in bags], kind="stable")
+        m = fit([bags[i] for i in order], np.array(y, dtype=np.int64)[order])
+        arrays = [pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in (m.vectors, m.weights, m.bias)]
+        yield pa.RecordBatch.from_arrays([*arrays, pa.array([m.constant], pa.float64()), pa.array([sum(y)], pa.int64()), pa.array([len(y)], pa.int64())], names=["vectors", "weights", "bias", "constant", "toxic", "n"])
 
     # the sample's size bounds this broadcast, and what comes after it
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked.distinct()), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
     so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("id"), "id", "y"))
     rows = found.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).select("y", "text")
-    got = rows.mapInArrow(lean(bag), "y int, words array<string>, counts array<long>").toArrow()
-    order = np.argsort([hash_of(w, c) for w, c in zip(got["words"].to_pylist(), got["counts"].to_pylist())], kind="stable")
-    bags = [dict(zip(w, c)) for w, c in zip(got["words"].to_pylist(), got["counts"].to_pylist())]
-    y = np.array(got["y"].to_pylist(), dtype=np.int64)
-    model = fit([bags[i] for i in order], y[order])
+    # one task learns and sends the model alone: texts, bags and what training holds never are the driver's
+    got = rows.coalesce(1).mapInArrow(lean(learn), "vectors binary, weights binary, bias binary, constant double, toxic long, n long").collect()
+    if not got:  # nothing to learn from, not even a partition
+        return fit([], np.zeros(0))
+    r = got[0]
+    vectors, weights, bias = (np.frombuffer(x, dtype=np.float64).copy() for x in (r["vectors"], r["weights"], r["bias"]))
+    model = Model(vectors.reshape(BUCKETS, -1), weights.reshape(2, -1), bias, r["constant"])
     total = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
     if model.constant is None:  # the sample takes the classes evenly; the score counts them as the labels do
-        model.bias[1] += np.log(total[1] / total[0]) - np.log((y == 1).sum() / (y == 0).sum())
+        model.bias[1] += np.log(total[1] / total[0]) - np.log(r["toxic"] / (r["n"] - r["toxic"]))
     return model
 
 
-def hash_of(words: list[str], counts: list[int]) -> int:
+def hash_of(words: Iterable[str], counts: Iterable[int]) -> int:
     """An order of the sample that doesn't depend on how the tasks ran."""
     return xxhash.xxh64_intdigest(" ".join(f"{w}:{c}" for w, c in zip(words, counts)).encode()) >> 1
 
